@@ -57,12 +57,6 @@ def numeric_profile_nulls(spark, sf_dir):
     return rounded(P.numeric_profile(lineitem_gaps(spark, sf_dir)))
 
 
-@query("numeric_profile_narrowed", _numeric_sql("lineitem", LINEITEM_NUMBERS))
-def numeric_profile_narrowed(spark, sf_dir):
-    """The plan of large inputs, on the same columns."""
-    return rounded(P.numeric_profile(table(spark, sf_dir, "lineitem"), LINEITEM_NUMBERS, small=False))
-
-
 ORDERS_CLASSES = {
     "o_orderkey": "int", "o_custkey": "int", "o_orderstatus": "object", "o_totalprice": "float",
     "o_orderdate": "datetime64", "o_orderpriority": "object",

@@ -17,7 +17,6 @@ from ..core import (
     columns_of,
     empty,
     group_keys,
-    is_small,
     numeric_columns,
     percent,
     require_columns,
@@ -26,7 +25,7 @@ from ..core import (
     union_all,
 )
 from .frequency import distinct_counts, top_values, value_counts
-from .quantiles import exact_quantiles, percentile_columns
+from .quantiles import exact_quantiles
 
 PROFILE_PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
@@ -162,7 +161,6 @@ def numeric_profile(
     probs: Sequence[float] = PROFILE_PROBS,
     *,
     sample_std: bool = False,
-    small: bool | None = None,
 ) -> DataFrame:
     """(column, count, missing, missing_pct, mean, std, min, max, p..) per numeric column."""
     df = clean_nan(df)
@@ -171,9 +169,7 @@ def numeric_profile(
     if not cols:
         return empty(df.sparkSession, "column string, count long, missing long, missing_pct double, mean double, "
                      "std double, min double, max double" + "".join(f", {n} double" for n in names))
-    if small is None:
-        small = is_small(df.select(*[col(c) for c in cols]))
-    fitted = None if small else exact_quantiles(df, cols, probs, small=False)
+    fitted = exact_quantiles(df, cols, probs)
     std = F.stddev_samp if sample_std else F.stddev_pop
     parts = []
     for part in chunks(cols):
@@ -182,14 +178,9 @@ def numeric_profile(
             v = col(c).cast("double")
             aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), std(v).alias(f"s{i}"),
                      F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-        if small:
-            aggs += [q.alias(f"q{i}") for i, q in enumerate(percentile_columns(part, probs))]
         structs = []
         for i, c in enumerate(part):
-            quantile = [
-                (F.get(F.col(f"q{i}"), F.lit(j)) if small else F.lit(fitted[c][j]).cast("double")).alias(names[j])
-                for j in range(len(probs))
-            ]
+            quantile = [F.lit(fitted[c][j]).cast("double").alias(names[j]) for j in range(len(probs))]
             missing = F.col("_rows") - F.col(f"n{i}")
             structs.append(F.struct(
                 F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), missing.alias("missing"),
@@ -207,7 +198,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def iqr_outliers(
-    df: DataFrame, cols: Sequence[str] | None = None, *, fence: str = "tukey", small: bool | None = None
+    df: DataFrame, cols: Sequence[str] | None = None, *, fence: str = "tukey"
 ) -> DataFrame:
     """(column, iqr, outliers_low, outliers_high, outliers_pct).
 
@@ -220,7 +211,7 @@ def iqr_outliers(
     schema = "column string, iqr double, outliers_low long, outliers_high long, outliers_pct double"
     if not cols:
         return empty(df.sparkSession, schema)
-    quartiles = exact_quantiles(df, cols, (0.25, 0.75), small=small)
+    quartiles = exact_quantiles(df, cols, (0.25, 0.75))
     sign = 1.5 if fence == "tukey" else -1.5
     parts = []
     for part in chunks(cols):
@@ -255,7 +246,7 @@ def correlation(a: Column, b: Column) -> Column:
 
 
 # Above this many columns pair aggregates give way to block sums in numpy.
-PAIR_COLUMNS = 24
+PAIR_COLUMNS = 5
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -1,49 +1,52 @@
 """Exact quantiles (linear interpolation) without moving the data.
 
-Small inputs use Spark's exact `percentile`, whose buffer holds one entry per
-distinct value. Larger inputs are narrowed instead: a mergeable sketch brackets
-each wanted rank, one counting pass proves how many rows lie below, on and
-inside the bracket, and the next round sketches only the open interval. Only
-bracket bounds and counts reach the driver. When few distinct rows are left in
-an interval they are counted by value and the rank is read off exactly.
+A small random sample only proposes pivots. One counting pass then proves, for
+every column at once, how many rows lie on each pivot and between neighbours;
+tasks send a histogram, never rows. A wanted rank that falls on a pivot is
+settled; one that falls between two pivots is searched again inside that open
+interval. When few rows are left in all intervals they are counted by value.
+The driver sees pivots and counts. The result does not depend on the sample.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import chunks, col, is_small
+from ..core import chunks, col
 
-SKETCH_ACCURACY = 10_000
-# Open intervals with at most this many rows are settled by counting values.
+# Rows sampled per round, and pivots kept per interval.
+SAMPLE_ROWS = 20_000
+PIVOTS = 1_000
+# Open intervals with at most this many rows in total are settled by counting values.
 SETTLE_ROWS = 1_000_000
+COLUMNS_PER_PASS = 20
 
 
-def percentile_columns(cols: Sequence[str], probs: Sequence[float]) -> list[Column]:
-    return [F.percentile(col(c).cast("double"), [float(p) for p in probs]).alias(c) for c in cols]
-
-
-@dataclass
-class _Search:
-    """One order statistic being narrowed: row number `rank` (0-based) of a column."""
+@dataclass(frozen=True)
+class _Span:
+    """Open interval of one column; `below` rows lie to its left, `inside` in it."""
 
     column: str
-    rank: int
     low: float
     high: float
-    below: int = 0  # rows known to lie at or before the open interval's left end
-    inside: int = 0  # rows in the open interval
-    value: float | None = None
+    below: int
+    inside: int
 
-
-def _between(c: str, low: float, high: float) -> Column:
-    v = col(c).cast("double")
-    return (v > low) & (v < high)
+    def holds(self) -> Column:
+        v = col(self.column).cast("double")
+        inside = v.isNotNull()
+        if self.low > -math.inf:
+            inside = inside & (v > self.low)
+        if self.high < math.inf:
+            inside = inside & (v < self.high)
+        return inside
 
 
 def exact_quantiles(
@@ -51,156 +54,177 @@ def exact_quantiles(
     cols: Sequence[str],
     probs: Sequence[float],
     *,
-    small: bool | None = None,
     settle_rows: int = SETTLE_ROWS,
-    accuracy: int = SKETCH_ACCURACY,
+    sample_rows: int = SAMPLE_ROWS,
+    pivots: int = PIVOTS,
 ) -> dict[str, list[float | None]]:
     """Quantiles per column as fitted constants; [None, ...] for an all-null column."""
-    cols = list(cols)
-    if not cols:
-        return {}
-    if small is None:
-        small = is_small(df.select(*[col(c) for c in cols]))
+    cols = list(dict.fromkeys(cols))
     out: dict[str, list[float | None]] = {}
-    for part in chunks(cols, 20):
-        if small:
-            row = df.agg(*percentile_columns(part, probs)).first()
-            for c in part:
-                got = row[c]
-                out[c] = list(got) if got is not None else [None] * len(probs)
-        else:
-            out.update(_narrow(df, part, probs, settle_rows, accuracy))
+    if not cols:
+        return out
+    rows = df.count()
+    for part in chunks(cols, COLUMNS_PER_PASS):
+        out.update(_search(df, list(part), list(probs), rows, settle_rows, sample_rows, pivots))
     return out
 
 
-def _narrow(df, cols, probs, settle_rows, accuracy) -> dict[str, list[float | None]]:
-    row = df.agg(
-        *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(cols)],
-        *[F.min(col(c)).cast("double").alias(f"lo{i}") for i, c in enumerate(cols)],
-        *[F.max(col(c)).cast("double").alias(f"hi{i}") for i, c in enumerate(cols)],
-    ).first()
-    count = {c: row[f"n{i}"] for i, c in enumerate(cols)}
-    searches: dict[tuple[str, int], _Search] = {}
-    for i, c in enumerate(cols):
-        for p in probs:
-            if not count[c]:
-                continue
-            position = (count[c] - 1) * p
-            for rank in {math.floor(position), math.ceil(position)}:
-                searches[(c, rank)] = _Search(c, rank, row[f"lo{i}"], row[f"hi{i}"], 0, count[c])
-    # The ends themselves are candidates, so the first open interval is one step wider.
-    for s in searches.values():
-        s.low, s.high = math.nextafter(s.low, -math.inf), math.nextafter(s.high, math.inf)
-    while True:
-        open_ = [s for s in searches.values() if s.value is None]
-        if not open_:
-            break
-        intervals = {(s.column, s.low, s.high): s.inside for s in open_}
-        if sum(intervals.values()) <= settle_rows:
-            _settle(df, open_)
-            break
-        _bracket(df, open_, accuracy)
-        _count(df, open_)
-    out: dict[str, list[float | None]] = {}
-    for c in cols:
-        if not count[c]:
-            out[c] = [None] * len(probs)
-            continue
-        out[c] = []
-        for p in probs:
-            position = (count[c] - 1) * p
-            a, b = math.floor(position), math.ceil(position)
-            low, high = searches[(c, a)].value, searches[(c, b)].value
-            out[c].append(low if low == high else (b - position) * low + (position - a) * high)
+def _search(df, cols, probs, rows, settle_rows, sample_rows, pivots):
+    spans = [_Span(c, -math.inf, math.inf, 0, rows) for c in cols]
+    counts, points = _count_between(df, spans, _propose(df, spans, sample_rows, pivots))
+    filled = {s.column: int(counts[i].sum()) for i, s in enumerate(spans)}
+    wanted = {
+        (c, rank)
+        for c in cols
+        if filled[c]
+        for p in probs
+        for rank in (math.floor((filled[c] - 1) * p), math.ceil((filled[c] - 1) * p))
+    }
+    values: dict[tuple[str, int], float] = {}
+    open_ = _locate(spans, counts, points, wanted, values)
+    while open_ and sum(s.inside for s in open_) > settle_rows:
+        spans = sorted(open_, key=lambda s: (s.column, s.low))
+        counts, points = _count_between(df, spans, _propose(df, spans, sample_rows, pivots))
+        open_ = _locate(spans, counts, points, {w for w in wanted if w not in values}, values)
+    if open_:
+        _settle(df, sorted(open_, key=lambda s: (s.column, s.low)), {w for w in wanted if w not in values}, values)
+
+    def at(c: str, p: float) -> float | None:
+        if not filled[c]:
+            return None
+        position = (filled[c] - 1) * p
+        a, b = math.floor(position), math.ceil(position)
+        low, high = values[(c, a)], values[(c, b)]
+        return low if low == high else (b - position) * low + (position - a) * high
+
+    return {c: [at(c, p) for p in probs] for c in cols}
+
+
+def _any_holds(spans: Sequence[_Span]) -> Column:
+    """Rows with a value between the outer ends of some column's spans (reaches the scan)."""
+    keep = None
+    for c in dict.fromkeys(s.column for s in spans):
+        own = [s for s in spans if s.column == c]
+        hull = _Span(c, min(s.low for s in own), max(s.high for s in own), 0, 0).holds()
+        keep = hull if keep is None else keep | hull
+    return keep
+
+
+def _values_inside(df: DataFrame, spans: Sequence[_Span]) -> DataFrame:
+    """(span, v, n): values lying inside the spans, pre-counted per Arrow batch."""
+    names = list(dict.fromkeys(s.column for s in spans))
+    limits = [(names.index(s.column), s.low, s.high) for s in spans]
+
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            data = pdf.to_numpy(dtype=float)
+            span, value, count = [], [], []
+            for i, (c, low, high) in enumerate(limits):
+                v = data[:, c]
+                v, n = np.unique(v[(v > low) & (v < high)], return_counts=True)
+                span.append(np.full(len(v), i, dtype=np.int32))
+                value.append(v)
+                count.append(n)
+            yield pd.DataFrame(
+                {"span": np.concatenate(span), "v": np.concatenate(value), "n": np.concatenate(count)}
+            )
+
+    numbers = df.where(_any_holds(spans)).select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    return numbers.mapInPandas(extract, "span int, v double, n long")
+
+
+def _propose(df: DataFrame, spans: Sequence[_Span], sample_rows: int, pivots: int) -> list[np.ndarray]:
+    """Pivots for each span from a sample of bounded size."""
+    whole = all(s.low == -math.inf and s.high == math.inf for s in spans)
+    if whole:
+        source = df.select(*[col(s.column).cast("double").alias(f"v{i}") for i, s in enumerate(spans)])
+        expected = max(s.inside for s in spans)
+    else:
+        source = _values_inside(df, spans).select("span", "v")
+        expected = sum(s.inside for s in spans)
+    fraction = min(1.0, sample_rows / max(expected, 1))
+    # limit() bounds what the driver gets even if the sample runs over its size
+    got = (source if fraction >= 1.0 else source.sample(fraction, seed=42)).limit(4 * sample_rows).toPandas()
+    out = []
+    for i in range(len(spans)):
+        v = got[f"v{i}"].to_numpy(float) if whole else got.loc[got["span"] == i, "v"].to_numpy(float)
+        v = np.sort(v[~np.isnan(v)])
+        if len(v) > pivots:
+            v = v[np.linspace(0, len(v) - 1, pivots).astype(int)]
+        out.append(np.unique(v))
     return out
 
 
-def _bracket(df: DataFrame, open_: list[_Search], accuracy: int) -> None:
-    """Replace each search interval by sketch values safely around the wanted rank."""
-    error = 2.0 / accuracy
-    wanted: dict[tuple[str, float, float], list[_Search]] = {}
-    for s in open_:
-        wanted.setdefault((s.column, s.low, s.high), []).append(s)
-    aggs = []
-    for i, ((c, low, high), group) in enumerate(wanted.items()):
-        fractions = []
-        for s in group:
-            at = (s.rank - s.below + 0.5) / s.inside
-            fractions += [max(0.0, at - error), min(1.0, at + error)]
-        value = F.when(_between(c, low, high), col(c).cast("double"))
-        aggs.append(F.percentile_approx(value, fractions, accuracy).alias(f"q{i}"))
-    row = df.agg(*aggs).first()
-    for i, group in enumerate(wanted.values()):
-        for j, s in enumerate(group):
-            s.low, s.high = row[i][2 * j], row[i][2 * j + 1]
-
-
-def _count(df: DataFrame, open_: list[_Search]) -> None:
-    """Prove where the rank lies: on an end of the bracket, or inside it."""
-    spans = sorted({(s.column, s.low, s.high) for s in open_})
-    aggs = []
-    for i, (c, low, high) in enumerate(spans):
-        v = col(c).cast("double")
-        aggs += [
-            F.count_if(v < low).alias(f"lt{i}"),
-            F.count_if(v == low).alias(f"at{i}"),
-            F.count_if((v > low) & (v < high)).alias(f"in{i}"),
-            F.count_if((v == high) & (v > low)).alias(f"to{i}"),
-            F.count_if(v > high).alias(f"gt{i}"),
-            F.min(v).alias(f"min{i}"),
-            F.max(v).alias(f"max{i}"),
-        ]
-    row = df.agg(*aggs).first()
-    place = {span: i for i, span in enumerate(spans)}
-    for s in open_:
-        i = place[(s.column, s.low, s.high)]
-        below, at, inside, to = (row[f"{k}{i}"] for k in ("lt", "at", "in", "to"))
-        if s.rank < below:  # sketch missed: search everything left of the bracket
-            s.high, s.low = s.low, math.nextafter(row[f"min{i}"], -math.inf)
-            s.below, s.inside = 0, below
-        elif s.rank < below + at:
-            s.value = s.low
-        elif s.rank < below + at + inside:
-            s.below, s.inside = below + at, inside
-        elif s.rank < below + at + inside + to:
-            s.value = s.high
-        else:  # sketch missed on the other side
-            s.low, s.high = s.high, math.nextafter(row[f"max{i}"], math.inf)
-            s.below = below + at + inside + to
-            s.inside = row[f"gt{i}"]
-
-
-def _settle(df: DataFrame, open_: list[_Search]) -> None:
-    """Few rows left: count them by value and read the ranks off a running sum."""
-    spans = sorted({(s.column, s.low, s.high) for s in open_})
-    inside = [
-        F.when(
-            _between(c, low, high),
-            F.struct(F.lit(i).alias("span"), col(c).cast("double").alias("v")),
-        )
-        for i, (c, low, high) in enumerate(spans)
-    ]
-    hits = (
-        df.select(F.explode(F.filter(F.array(*inside), lambda x: x.isNotNull())).alias("h"))
-        .groupBy("h.span", "h.v")
-        .count()
+def _count_between(df: DataFrame, spans: Sequence[_Span], points: list[np.ndarray]):
+    """Rows per bin of each span: bin 2i+1 is pivot i itself, bin 2i the gap before it."""
+    bounds = [(s.low, s.high) for s in spans]
+    names = list(dict.fromkeys(s.column for s in spans))
+    place = [names.index(s.column) for s in spans]
+
+    def histogram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals = [np.zeros(2 * len(p) + 1, dtype=np.int64) for p in points]
+        for pdf in batches:
+            data = pdf.to_numpy(dtype=float)
+            for i, p in enumerate(points):
+                v = data[:, place[i]]
+                low, high = bounds[i]
+                v = v[~np.isnan(v)] if low == -np.inf and high == np.inf else v[(v > low) & (v < high)]
+                left = np.searchsorted(p, v, side="left")
+                right = np.searchsorted(p, v, side="right")
+                totals[i] += np.bincount(left + right, minlength=len(totals[i]))
+        for i, t in enumerate(totals):
+            used = np.flatnonzero(t)
+            if len(used):
+                yield pd.DataFrame({"span": i, "bin": used, "n": t[used]})
+
+    found = (
+        df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+        .mapInPandas(histogram, "span int, bin int, n long")
+        .groupBy("span", "bin")
+        .agg(F.sum("n").alias("n"))
+        .toPandas()
     )
-    upto = F.sum("count").over(Window.partitionBy("span").orderBy("v"))
-    ends = hits.select("span", "v", "count", upto.alias("upto"))
-    place = {span: i for i, span in enumerate(spans)}
-    targets = [
-        F.struct(F.lit(place[(s.column, s.low, s.high)]).alias("span"), F.lit(n).alias("id"),
-                 F.lit(s.rank - s.below).cast("long").alias("nth"))
-        for n, s in enumerate(open_)
+    counts = [np.zeros(2 * len(p) + 1, dtype=np.int64) for p in points]
+    for span, group in found.groupby("span"):
+        counts[span][group["bin"].to_numpy()] = group["n"].to_numpy()
+    return counts, points
+
+
+def _locate(spans, counts, points, wanted, values) -> set[_Span]:
+    """Settle ranks that fall on a pivot; return the open intervals of the others."""
+    open_: set[_Span] = set()
+    for i, s in enumerate(spans):
+        ends = s.below + np.cumsum(counts[i])
+        for c, rank in wanted:
+            if c != s.column or not (s.below <= rank < ends[-1]):
+                continue
+            b = int(np.searchsorted(ends, rank, side="right"))
+            if b % 2:
+                values[(c, rank)] = float(points[i][b // 2])
+                continue
+            low = points[i][b // 2 - 1] if b else s.low
+            high = points[i][b // 2] if b // 2 < len(points[i]) else s.high
+            open_.add(_Span(c, float(low), float(high), int(ends[b] - counts[i][b]), int(counts[i][b])))
+    return open_
+
+
+def _settle(df: DataFrame, spans, wanted, values) -> None:
+    """Few rows left: count them by value and read the ranks off a running sum."""
+    ranks = [
+        sorted(rank for c, rank in wanted if c == s.column and s.below <= rank < s.below + s.inside) for s in spans
     ]
+    nth = F.array(*[F.array(*[F.lit(r - s.below).cast("long") for r in rs]) for s, rs in zip(spans, ranks)])
+    upto = F.sum("n").over(Window.partitionBy("span").orderBy("v"))
     found = (
-        ends.select("*", F.explode(F.filter(
-            F.array(*targets),
-            lambda t: (t["span"] == F.col("span")) & (t["nth"] < F.col("upto"))
-            & (t["nth"] >= F.col("upto") - F.col("count")),
-        )).alias("t"))
-        .select("t.id", "v")
+        _values_inside(df, spans)
+        .groupBy("span", "v")
+        .agg(F.sum("n").alias("n"))
+        .select("span", "v", "n", upto.alias("upto"))
+        .where(F.exists(F.get(nth, F.col("span")), lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))))
         .collect()
     )
-    for r in found:
-        open_[r["id"]].value = r["v"]
+    for row in found:
+        span = spans[row["span"]]
+        for rank in ranks[row["span"]]:
+            if row["upto"] - row["n"] <= rank - span.below < row["upto"]:
+                values[(span.column, rank)] = row["v"]
