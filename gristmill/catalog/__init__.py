@@ -1,6 +1,6 @@
 """Named queries over the benchmark tables."""
 
-from . import tables, text  # noqa: F401
+from . import evaluation, tables, text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -177,3 +177,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A path below the work folder that no other run uses."""
     token = spark.range(1).select(F.expr("uuid()")).first()[0]
     return f"{work_dir(spark).rstrip('/')}/{name}-{token}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table once to the shared work folder and read it back.
+
+    For results several later jobs read: the stages behind it are not repeated,
+    and a lost executor costs nothing that is already written.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

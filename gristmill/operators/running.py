@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import broadcast_if_small, col, is_small
+from ..core import broadcast_if_small, col, is_small, materialize
 from ..functions.ordering import bucket_of
 
 BUCKET_ROWS = 1_000_000
@@ -56,6 +56,7 @@ def running_totals(
         )
         return df.select("*", *[F.sum(v).over(w).alias(v + suffix) for v in values])
 
+    df = materialize(df, "ordered")
     bounds = range_bounds(df, order, bucket_rows)
     placed = df.withColumn("_range", bucket_of(F.col(order), bounds))
     totals = placed.groupBy(*groups, "_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
