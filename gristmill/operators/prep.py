@@ -36,7 +36,7 @@ def text_sql(value: str) -> str:
 
 def double_sql(name: str) -> str:
     """Column as a double with NaN read as missing."""
-    return f"nullif(cast({quoted(name)} AS double), double('NaN'))"
+    return f"nanvl(cast({quoted(name)} AS double), cast(NULL AS double))"
 
 
 def category_sql(df: DataFrame, name: str) -> str:
