@@ -1,6 +1,6 @@
 """Named queries over the benchmark tables."""
 
-from . import evaluation, models, prep, tables, text  # noqa: F401
+from . import drift, evaluation, models, prep, tables, text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
