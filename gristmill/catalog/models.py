@@ -26,7 +26,7 @@ def segments(spark, sf_dir):
 
 def _board(spark, sf_dir, **options):
     train, test = parts(random_split(segments(spark, sf_dir), ["o_orderkey"], 0.2))
-    return M.run_leaderboard(train.drop("o_orderkey"), test, "o_orderstatus", **LIGHT, **options), test
+    return M.run_leaderboard(train.drop("o_orderkey"), test, "o_orderstatus", **LIGHT, **options), train, test
 
 
 @query("leaderboard_classification")
@@ -53,7 +53,7 @@ def linear_regression_predictions(spark, sf_dir):
 
 @query("permutation_importance")
 def permutation_importance(spark, sf_dir):
-    board, test = _board(spark, sf_dir, boosted=False)
+    board, _, test = _board(spark, sf_dir, boosted=False)
     return X.permutation_importance(
         board.models[board.best], test, "o_orderstatus", ["o_totalprice", "c_acctbal", "c_mktsegment", "o_orderpriority"], ["o_orderkey"]
     )
