@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..core import spread
 from ..functions import text as X
 from ..operators import textprep as C
 from ..operators import textprofile as P
@@ -203,7 +204,7 @@ SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) A
 def tfidf_weights(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = C.fit_term_vectors(docs, "text", max_features=500)
-    return rounded(C.vector_entries(model.transform(docs), "features", ["doc_id"], C.vocabulary_of(model)))
+    return rounded(C.vector_entries(model.transform(spread(docs)), "features", ["doc_id"], C.vocabulary_of(model)))
 
 
 @query("bag_of_words", """

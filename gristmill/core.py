@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 # distributed plan, which gives the same result.
 SMALL_BYTES = 64 * 1024 * 1024
 
+# Small inputs are dealt out in pieces of about this size.
+SPREAD_BYTES = 1024 * 1024
+
 # Wide tables are aggregated this many columns at a time.
 COLUMNS_PER_JOB = 50
 
@@ -36,6 +39,19 @@ def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if is_small(df, limit) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input over the cores before costly per-row work.
+
+    A small file is often a single split and would keep one core busy. Inputs
+    above the size limit have splits enough and are left as they are.
+    """
+    size = plan_bytes(df)
+    if size is None or size > SMALL_BYTES:
+        return df
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, 1 + size // SPREAD_BYTES)
+    return df.repartition(tasks) if tasks > 1 else df
+
+
 def type_class(dtype: T.DataType) -> str:
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return "datetime64"

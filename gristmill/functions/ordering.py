@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -16,21 +17,25 @@ def shuffle_key(keys: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("\u0001", F.lit(str(seed)), *parts))
 
 
-def bucket_of(value: Column, bounds: Sequence[float], fanout: int = 32) -> Column:
-    """How many of the ascending bounds lie below `value` (0 .. len(bounds)).
+def bucket_of(value: Column, bounds: Sequence[float], *, inclusive: bool = False) -> Column:
+    """How many of the ascending bounds lie below `value` (or at it, if inclusive).
 
-    Two short scans (first over every fanout-th bound, then inside the block
+    Two short scans (over the last bound of each block, then inside the block
     found) instead of one over all bounds.
     """
     bounds = [float(b) for b in bounds]
     if not bounds:
         return F.lit(0)
     v = value.cast("double")
-    if len(bounds) <= fanout:
-        return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < v))
-    blocks = [bounds[i : i + fanout] for i in range(0, len(bounds), fanout)]
-    lasts = F.array(*[F.lit(block[-1]) for block in blocks])
+
+    def passed(listed: Column) -> Column:
+        return F.size(F.filter(listed, lambda b: b <= v if inclusive else b < v))
+
+    width = math.isqrt(len(bounds) - 1) + 1
+    if len(bounds) <= 16:
+        return passed(F.array(*map(F.lit, bounds)))
+    blocks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    full = passed(F.array(*[F.lit(block[-1]) for block in blocks]))
     nested = F.array(*[F.array(*map(F.lit, block)) for block in blocks])
-    full = F.size(F.filter(lasts, lambda b: b < v))
-    inside = F.size(F.filter(F.coalesce(F.get(nested, full), F.array().cast("array<double>")), lambda b: b < v))
-    return F.when(full == len(blocks), F.lit(len(bounds))).otherwise(full * fanout + inside)
+    inside = passed(F.coalesce(F.get(nested, full), F.array().cast("array<double>")))
+    return F.when(full == len(blocks), F.lit(len(bounds))).otherwise(full * width + inside)

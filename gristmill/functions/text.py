@@ -61,13 +61,10 @@ def ngrams(words: Column, n: int, separator: str = " ") -> Column:
     return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
-def bigrams(words: Column) -> Column:
-    """Adjacent pairs joined by a space."""
-    n = F.size(words)
-    pairs = F.zip_with(
-        F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1), lambda a, b: F.concat_ws(" ", a, b)
-    )
-    return F.when(n >= 2, pairs).otherwise(F.array().cast("array<string>"))
+def word_pairs(words: Column) -> Column:
+    """Adjacent words as an array of structs (a, b)."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(words, F.lit(1), n).alias("a"), F.slice(words, F.lit(2), n).alias("b"))
 
 
 def is_blank(text: Column) -> Column:

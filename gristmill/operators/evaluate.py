@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..core import broadcast_if_small, clean_nan, col, json_safe, ratio_or_zero, type_class
+from ..functions.ordering import bucket_of
 from .profile import distinct_more_than
 from .running import running_totals
 
@@ -306,7 +307,7 @@ def threshold_sweep(
     listed = F.array(*map(F.lit, cuts))
     hits = (
         df.where(col(y_true).isNotNull())
-        .select(F.size(F.filter(listed, lambda t: t <= col(proba))).alias("passed"), (col(y_true) == F.lit(pos_label)).alias("hit"))
+        .select(bucket_of(col(proba), cuts, inclusive=True).alias("passed"), (col(y_true) == F.lit(pos_label)).alias("hit"))
         .groupBy("passed")
         .agg(F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg"))
     )

@@ -10,21 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import chunks, clean_nan, col, numeric_columns, percent, require_columns, rows_of, type_class, union_all
+from ..core import chunks, clean_nan, col, numeric_columns, percent, require_columns, rows_of, spread, type_class, union_all
 
-# What counts as a number, and the date formats tried in order.
+# What counts as a number, and the date formats with their shapes.
 NUMBER = r"^-?[0-9]+(\.[0-9]+)?$"
 NUMBER_SHARE = 0.9
 DATE_SHARE = 0.8
+ISO_DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T].*)?$"
 DATE_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "dd.MM.yyyy",
-    "MMM d yyyy",
-    "d MMM yyyy",
-    "yyyyMMdd",
+    ("yyyy/MM/dd", r"^[0-9]{4}/[0-9]{2}/[0-9]{2}$"),
+    ("MM/dd/yyyy", r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$"),
+    ("dd.MM.yyyy", r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$"),
+    ("MMM d yyyy", r"^[A-Z][a-z]{2} [0-9]{1,2} [0-9]{4}$"),
+    ("d MMM yyyy", r"^[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4}$"),
+    ("yyyyMMdd", r"^[0-9]{8}$"),
 ]
 
 
@@ -101,8 +100,11 @@ def table_preview(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFra
 
 
 def parse_date(value: Column) -> Column:
-    tries = [F.try_to_timestamp(value)] + [F.try_to_timestamp(value, F.lit(f)) for f in DATE_FORMATS]
-    return F.coalesce(*tries)
+    """Timestamp of a text; a format is tried only where the text has its shape."""
+    parsed = F.when(value.rlike(ISO_DATE), value.try_cast("timestamp"))
+    for pattern, shape in DATE_FORMATS:
+        parsed = parsed.when(value.rlike(shape), F.try_to_timestamp(value, F.lit(pattern)))
+    return parsed
 
 
 def inferred_types(df: DataFrame, *, try_datetime: bool = True) -> dict[str, str]:
@@ -110,11 +112,12 @@ def inferred_types(df: DataFrame, *, try_datetime: bool = True) -> dict[str, str
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     out: dict[str, str] = {}
     for part in chunks(cols):
+        texts = spread(df.select(*[col(c) for c in part]))
         aggs = [F.count(F.lit(1)).alias("_rows")]
         for i, c in enumerate(part):
             aggs += [F.count(col(c)).alias(f"n{i}"), F.count_if(col(c).rlike(NUMBER)).alias(f"m{i}"),
                      F.count(parse_date(col(c))).alias(f"d{i}")]
-        row = df.agg(*aggs).first()
+        row = texts.agg(*aggs).first()
         for i, c in enumerate(part):
             dated = try_datetime or "date" in c.lower() or "time" in c.lower()
             if row[f"n{i}"] and row[f"m{i}"] / row[f"n{i}"] > NUMBER_SHARE:

@@ -1,13 +1,14 @@
 """Reproducible exact-size samples and train/test splits.
 
 Rows are ordered by the MD5 text of their key. The cut for the wanted number of
-rows is found from counts per hash prefix (at most 16^5 per class), then inside
+rows is found from counts per hash prefix (at most 16^6 in all), then inside
 the one prefix the cut falls into. Assigning rows is a comparison with the cut:
 no sort and no limit over the data. Rows that share a key stay together.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,14 +17,17 @@ from pyspark.sql import functions as F
 from ..core import as_key, col, require_columns
 from ..functions.ordering import shuffle_key
 
-PREFIX = 5
+# Hash prefixes are made long enough to leave about this many rows in each.
+PREFIX_ROWS = 4096
+LONGEST_PREFIX = 6
 MAX_STRATA = 100_000
 
 
 def _cuts(df: DataFrame, keys: Sequence[str], seed: int, want: Column, stratum: Column) -> list[tuple[str, str]]:
     """(stratum, hash): the last hash taken per stratum; `want` is computed from `total`."""
+    digits = math.ceil(math.log(max(df.count() / PREFIX_ROWS, 1), 16))
     hashed = df.select(stratum.alias("s"), shuffle_key(keys, seed).alias("h")).withColumn(
-        "prefix", F.substring("h", 1, PREFIX)
+        "prefix", F.substring("h", 1, min(max(digits, 1), LONGEST_PREFIX))
     )
     counts = hashed.groupBy("s", "prefix").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.partitionBy("s").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import as_key, col, fingerprint, require_columns, rows_of
+from ..core import as_key, col, fingerprint, require_columns, rows_of, spread
 from ..functions import text as X
 from .profile import class_preview, prob_name
 
@@ -38,7 +38,7 @@ def whole_number_profile(df: DataFrame, measures: dict[str, Column], probs: Sequ
     The rows are reduced to (measure, value, n) on the map side; everything
     else, exact quantiles included, is computed from that short table.
     """
-    long = df.select(*[m.cast("long").alias(name) for name, m in measures.items()]).unpivot(
+    long = spread(df).select(*[m.cast("long").alias(name) for name, m in measures.items()]).unpivot(
         [], [col(n) for n in measures], "column", "value"
     )
     freq = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -61,7 +61,7 @@ def length_profile(df: DataFrame, text: str, null_text: str | None = None) -> Da
     """Statistics of characters and words per text, from one scan."""
     require_columns(df, text)
     value = text_column(text, null_text)
-    return whole_number_profile(df, {
+    return whole_number_profile(df.select(col(text)), {
         "char_lengths": F.length(value),
         "word_lengths": F.when(value.isNotNull(), F.size(X.tokens(value))),
     })
@@ -71,8 +71,12 @@ def token_counts(df: DataFrame, text: str, *, n: int = 1, null_text: str | None
     """(token, count) of all words, or of adjacent word pairs with n=2."""
     require_columns(df, text)
     words = X.tokens(text_column(text, null_text))
-    grams = words if n == 1 else X.bigrams(words)
-    return df.select(F.explode(grams).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+    texts = spread(df.select(col(text)))
+    if n == 1:
+        return texts.select(F.explode(words).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+    # pairs stay two columns until they are counted
+    counted = texts.select(F.inline(X.word_pairs(words))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"))
+    return counted.select(F.concat_ws(" ", "a", "b").alias("token"), "count")
 
 
 def top_tokens(df: DataFrame, text: str, *, n: int = 1, k: int = 30, null_text: str | None = None) -> DataFrame:
@@ -88,7 +92,8 @@ def label_lengths(df: DataFrame, text: str, label: str, null_text: str | None =
     require_columns(df, text, label)
     value = text_column(text, null_text)
     return (
-        df.select(as_key(col(label)).alias("label"), F.length(value).alias("c"),
+        spread(df.select(col(text), col(label)))
+        .select(as_key(col(label)).alias("label"), F.length(value).alias("c"),
                   F.when(value.isNotNull(), F.size(X.tokens(value))).alias("w"))
         .groupBy("label")
         .agg(F.coalesce(F.avg("c"), F.lit(0.0)).alias("mean_chars"), F.coalesce(F.avg("w"), F.lit(0.0)).alias("mean_words"))
@@ -135,7 +140,7 @@ def character_makeup(df: DataFrame, text: str, null_text: str | None = None) ->
     def mean_share(pattern):
         return F.coalesce(F.avg(F.when(value.isNotNull(), X.share_of(value, pattern))), F.lit(0.0))
 
-    return df.agg(
+    return spread(df.select(col(text))).agg(
         mean_share(X.DIGIT).alias("digits_pct_mean"),
         mean_share(X.PUNCTUATION).alias("punct_pct_mean"),
         mean_share(X.UPPER).alias("upper_pct_mean"),
