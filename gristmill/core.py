@@ -14,6 +14,12 @@ from pyspark.sql import types as T
 # distributed plan, which gives the same result.
 SMALL_BYTES = 64 * 1024 * 1024
 
+# Sides of a join up to this estimate may be broadcast.
+BROADCAST_BYTES = 16 * 1024 * 1024
+
+# Fitted models hold their vocabulary on the driver; beyond this many values they refuse.
+MAX_VOCABULARY = 1 << 20
+
 # Small inputs are dealt out in pieces of about this size.
 SPREAD_BYTES = 1024 * 1024
 
@@ -36,7 +42,7 @@ def is_small(df: DataFrame, limit: int | None = None) -> bool:
 
 def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Broadcast hint behind a size check; otherwise Spark picks a shuffle join."""
-    return F.broadcast(df) if is_small(df, limit) else df
+    return F.broadcast(df) if is_small(df, BROADCAST_BYTES if limit is None else limit) else df
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -168,6 +174,14 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def bounded_values(df: DataFrame, what: str, limit: int = MAX_VOCABULARY) -> list:
+    """Rows of a table that has to fit a fitted model; an error if there are too many."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} {what}")
+    return rows
+
+
 def require_columns(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import broadcast_if_small, clean_nan, col, json_safe, ratio_or_zero, type_class
+from ..core import bounded_values, broadcast_if_small, clean_nan, col, is_small, json_safe, materialize, ratio_or_zero, type_class
 from ..functions.ordering import bucket_of
 from .profile import distinct_more_than
 from .running import running_totals
@@ -71,9 +71,7 @@ def confusion_matrix(
         seen = class_table(counts)
         if true_labels_only:
             seen = seen.where(F.col("support") > 0)
-        labels = [r["label"] for r in seen.select("label").orderBy("label").limit(MAX_CLASSES + 1).collect()]
-    if len(labels) > MAX_CLASSES:
-        raise ValueError("too many labels for a full matrix; use confusion_counts")
+        labels = [r[0] for r in bounded_values(seen.select("label").orderBy("label"), "labels; use confusion_counts", MAX_CLASSES)]
     dtype = counts.schema["y_true"].dataType
     listed = df.sparkSession.createDataFrame([(v,) for v in labels], T.StructType([T.StructField("y_true", dtype)]))
     cells = listed.select("y_true", F.explode(F.array(*[F.lit(v).cast(dtype) for v in labels])).alias("y_pred"))
@@ -165,10 +163,7 @@ def class_labels(df: DataFrame, y_true: str, y_pred: str | None = None) -> list:
     seen = df.select(col(y_true).alias("l"))
     if y_pred is not None:
         seen = seen.union(df.select(col(y_pred).cast(df.schema[y_true].dataType)))
-    got = seen.where(F.col("l").isNotNull()).distinct().orderBy("l").limit(MAX_CLASSES + 1).collect()
-    if len(got) > MAX_CLASSES:
-        raise ValueError("too many classes")
-    return [r["l"] for r in got]
+    return [r["l"] for r in bounded_values(seen.where(F.col("l").isNotNull()).distinct().orderBy("l"), "classes", MAX_CLASSES)]
 
 
 def positive_probability(df: DataFrame, proba: str, labels: Sequence, pos_label=None) -> Column:
@@ -189,7 +184,8 @@ def log_loss(df: DataFrame, y_true: str, proba: str, labels: Sequence | None = N
     else:
         index = F.array_position(F.array(*map(F.lit, labels)), col(y_true)) - 1
         p_true = F.when(F.size(col(proba)) == len(labels), F.get(col(proba), index.cast("int"))).cast("double")
-    p_true = F.least(F.greatest(p_true, F.lit(EPS)), F.lit(1.0 - EPS))
+    # greatest and least pass over NULLs, which must stay NULL here
+    p_true = F.when(p_true.isNotNull(), F.least(F.greatest(p_true, F.lit(EPS)), F.lit(1.0 - EPS)))
     return df.where(col(y_true).isNotNull()).agg(json_safe(F.avg(-F.ln(p_true))).alias("log_loss"))
 
 
@@ -218,7 +214,14 @@ def score_table(
     )
 
 
-def ranked_scores(scores: DataFrame, *, small: bool | None = None, bucket_rows: int | None = None) -> DataFrame:
+def settled(scores: DataFrame, options: dict) -> DataFrame:
+    """A score table several steps can read: written once unless it is small."""
+    if options.get("small") is None:
+        options["small"] = is_small(scores)
+    return scores if options["small"] else materialize(scores, "scores")
+
+
+def ranked_scores(scores: DataFrame, *, small: bool, bucket_rows: int | None = None) -> DataFrame:
     """score_table with running tp, fp (score and above) and the class totals."""
     options = {} if bucket_rows is None else {"bucket_rows": bucket_rows}
     run = running_totals(scores, "score", ["pos", "neg"], groups=["label"], descending=True, small=small, **options)
@@ -229,7 +232,8 @@ def ranked_scores(scores: DataFrame, *, small: bool | None = None, bucket_rows:
 
 def curve_scores(df: DataFrame, y_true: str, proba: str, labels=None, pos_label=None, **options) -> DataFrame:
     """(label, auc, ap) for the positive class, or for each class against the rest."""
-    ranked = ranked_scores(score_table(df, y_true, proba, labels, pos_label), **options)
+    scores = settled(score_table(df, y_true, proba, labels, pos_label), options)
+    ranked = ranked_scores(scores, **options)
     d = lambda c: F.col(c).cast("double")
     area = F.sum(d("neg") * (d("tp") - d("pos") / 2.0))
     return ranked.groupBy("label").agg(
@@ -252,7 +256,7 @@ def roc_curve(
 
     Points on a straight line between their neighbours are dropped by default.
     """
-    scores = score_table(df, y_true, proba, labels, pos_label)
+    scores = settled(score_table(df, y_true, proba, labels, pos_label), options)
     ranked = ranked_scores(scores, **options)
     if drop_intermediate:
         ranked = _corner_points(ranked)
@@ -287,7 +291,7 @@ def _corner_points(ranked: DataFrame) -> DataFrame:
 
 def pr_curve(df: DataFrame, y_true: str, proba: str, labels=None, pos_label=None, **options) -> DataFrame:
     """(label, threshold, precision, recall); the end point (1, 0) has no threshold."""
-    scores = score_table(df, y_true, proba, labels, pos_label)
+    scores = settled(score_table(df, y_true, proba, labels, pos_label), options)
     points = ranked_scores(scores, **options).select(
         "label", F.col("score").alias("threshold"),
         ratio_or_zero(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),

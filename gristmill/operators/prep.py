@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import broadcast_if_small, clean_nan, col, columns_of, is_small, materialize, numeric_columns, quoted, require_columns, type_class
+from ..core import bounded_values, broadcast_if_small, clean_nan, col, columns_of, is_small, materialize, numeric_columns, quoted, require_columns, type_class
 from .frequency import most_frequent, top_per_group, value_counts, value_text
 from .quantiles import exact_quantiles
 
@@ -193,7 +193,8 @@ class LabelEncode(Estimator):
         filled = fill.transform(df)
         stages = [fill]
         for c in self.cols:
-            labels = [r[0] for r in filled.select(col(c)).distinct().orderBy(quoted(c)).collect()]
+            values = filled.select(col(c)).distinct().orderBy(quoted(c))
+            labels = [r[0] for r in bounded_values(values, f"values in {c}; use label_encode")]
             stages.append(StringIndexerModel.from_labels(labels, inputCol=c, outputCol=f"_code_{c}", handleInvalid="error"))
         stages.append(SQLTransformer(statement="SELECT * EXCEPT ({0}), {1} FROM __THIS__".format(
             ", ".join(f"{quoted(c)}, {quoted('_code_' + c)}" for c in self.cols),
@@ -207,10 +208,8 @@ def one_hot(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     made = []
     for c in cols:
         text = value_text(df, c)
-        values = [r[0] for r in df.select(text.alias("v")).where(F.col("v").isNotNull()).distinct()
-                  .orderBy("v").limit(MAX_DUMMY_COLUMNS + 1).collect()]
-        if len(values) > MAX_DUMMY_COLUMNS:
-            raise ValueError(f"{c} has too many values for one column each; use the vector encoder")
+        distinct = df.select(text.alias("v")).where(F.col("v").isNotNull()).distinct().orderBy("v")
+        values = [r[0] for r in bounded_values(distinct, f"values in {c}; use the vector encoder", MAX_DUMMY_COLUMNS)]
         made += [text.eqNullSafe(F.lit(v)).alias(f"{c}_{v}") for v in values]
     return df.select(*kept, *made)
 
@@ -237,7 +236,7 @@ class OneHotVector(Estimator):
         if limit is not None:
             counted = top_per_group(counted, ["column"], [F.col("n").desc(), F.col("value")], limit + 1)
         found: dict[str, list[tuple[int, str]]] = {c: [] for c in self.cols}
-        for r in counted.collect():
+        for r in bounded_values(counted, "categories; set max_categories"):
             found[r["column"]].append((-r["n"], r["value"]))
         out = {}
         for c, values in found.items():

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import broadcast_if_small, col, is_small, materialize
+from ..core import broadcast_if_small, col, is_small
 from ..functions.ordering import bucket_of
 
 BUCKET_ROWS = 1_000_000
@@ -42,6 +42,7 @@ def running_totals(
     Rows must be unique on (groups, order); numeric `order`. Above the size
     limit rows are cut into value ranges; a window runs inside each range and
     the sums of the earlier ranges, one short row per range, are added on top.
+    That plan reads `df` several times: pass a written table, not a long plan.
     """
     groups = list(groups)
 
@@ -56,7 +57,6 @@ def running_totals(
         )
         return df.select("*", *[F.sum(v).over(w).alias(v + suffix) for v in values])
 
-    df = materialize(df, "ordered")
     bounds = range_bounds(df, order, bucket_rows)
     placed = df.withColumn("_range", bucket_of(F.col(order), bounds))
     totals = placed.groupBy(*groups, "_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])

@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..core import broadcast_if_small, col
 from .tables import is_missing
 
 # File extensions per modality, in the order they are tried.
@@ -87,14 +88,14 @@ def files_of_modality(listing: DataFrame, modality: str, limit: int | None = Non
     return hits if limit is None else hits.orderBy("path").limit(limit)
 
 
-def dataset_modality(listing: DataFrame) -> DataFrame:
-    """(modality): tabular, image, audio, video, text, unknown - the first with any file."""
+def dataset_modality(listing: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """(groups.., modality): tabular, image, audio, video, text, unknown - the first with any file."""
     ext = extension(F.col("path"))
-    seen = listing.agg(*[F.bool_or(ext.isin(v)).alias(k) for k, v in EXTENSIONS.items()])
+    seen = listing.groupBy(*groups).agg(*[F.bool_or(ext.isin(v)).alias(k) for k, v in EXTENSIONS.items()])
     kind = F.lit("unknown")
     for name in reversed(list(EXTENSIONS)):
         kind = F.when(F.col(name), name).otherwise(kind)
-    return seen.select(kind.alias("modality"))
+    return seen.select(*groups, kind.alias("modality"))
 
 
 def detect_modality(spark: SparkSession, path: str, hint: str | None = None) -> str:
@@ -188,9 +189,8 @@ def plain_path(path: Column) -> Column:
 
 def manifest_files(manifest: DataFrame, column: str, listing: DataFrame, base_dir: str | None = None) -> DataFrame:
     """Manifest rows with (full_path, found): a left join to the file listing."""
-    from ..core import col
-
     present = listing.select(plain_path(F.col("path")).alias("full_path"), F.lit(True).alias("_there")).distinct()
+    present = broadcast_if_small(present)
     return (
         manifest.withColumn("full_path", plain_path(resolve(col(column), base_dir)))
         .join(present, "full_path", "left")

@@ -130,6 +130,7 @@ def _as_array(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lines = [held, *lines]
         if lines:
             held = lines.pop()
+        if lines:
             yield pd.DataFrame({"value": [line + "," for line in lines]})
     yield pd.DataFrame({"value": ([held] if held is not None else []) + ["]"]})
 
