@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,20 +49,14 @@ def tfidf_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TFIDF_TOKEN), F.lit(0))
 
 
-def ngrams(words: Column, n: int, separator: str = " ") -> Column:
-    if n == 1:
-        return words
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size(words) - (n - 1)),
-        lambda i: F.array_join(F.slice(words, i, n), separator),
-    )
-    return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
-
-
 def word_pairs(words: Column) -> Column:
     """Adjacent words as an array of structs (a, b)."""
-    n = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.arrays_zip(F.slice(words, F.lit(1), n).alias("a"), F.slice(words, F.lit(2), n).alias("b"))
+    def pairs(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.arrays_zip(F.slice(w, F.lit(1), n).alias("a"), F.slice(w, F.lit(2), n).alias("b"))
+
+    # binding the words to a lambda variable tokenizes each text once
+    return F.get(F.transform(F.array(words), pairs), F.lit(0)).cast("array<struct<a:string,b:string>>")
 
 
 def is_blank(text: Column) -> Column:
@@ -83,14 +75,6 @@ def stopwords(language: str = "english") -> list[str]:
     return StopWordsRemover.loadDefaultStopWords(language)
 
 
-def without(words: Column, drop: Sequence[str]) -> Column:
-    """Remove the given words, keeping order and repeats of the others."""
-    if not drop:
-        return words
-    listed = F.array(*map(F.lit, drop))
-    return F.filter(words, lambda w: ~F.array_contains(listed, w))
-
-
 def expand_contractions(text: Column) -> Column:
     for short, long in CONTRACTIONS:
         text = F.regexp_replace(text, "(?i)" + short, long)

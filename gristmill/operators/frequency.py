@@ -62,10 +62,10 @@ def top_per_group(
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def top_values(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
+def top_values(df: DataFrame, cols: Sequence[str], k: int, *, small: bool | None = None) -> DataFrame:
     """(column, value, n, rank): k most frequent values per column, missing included."""
     order = [F.col("n").desc(), F.col("value").asc_nulls_last()]
-    if is_small(df):
+    if is_small(df) if small is None else small:
         return top_per_group(value_counts(df, cols), ["column"], order, k)
     best = top_per_group(value_counts(df, cols, compact=True), ["column"], order, k)
     # Fingerprinted winners (at most k per column) get their text back from the data.

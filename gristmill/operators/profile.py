@@ -17,6 +17,7 @@ from ..core import (
     columns_of,
     empty,
     group_keys,
+    is_small,
     numeric_columns,
     percent,
     require_columns,
@@ -24,7 +25,7 @@ from ..core import (
     type_class,
     union_all,
 )
-from .frequency import distinct_counts, top_values, value_counts
+from .frequency import top_values, value_counts
 from .quantiles import exact_quantiles
 
 PROFILE_PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -57,18 +58,20 @@ def column_types(df: DataFrame) -> DataFrame:
 
 
 def schema_summary(df: DataFrame) -> DataFrame:
-    """(column, dtype, null_count, nunique, high_cardinality)"""
+    """(column, dtype, null_count, nunique, high_cardinality), all from one frequency table."""
     df = clean_nan(df)
-    nulls = missingness(df)
-    unique = distinct_counts(df, df.columns)
-    types = F.create_map(*[x for f in df.schema.fields for x in (F.lit(f.name), F.lit(type_class(f.dataType)))])
+    counted = value_counts(df, df.columns, compact=True).groupBy("column").agg(
+        F.count("value").alias("nunique"), F.sum("n").alias("rows"),
+        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("null_count"),
+    )
+    listed = df.sparkSession.createDataFrame(
+        [(f.name, type_class(f.dataType)) for f in df.schema.fields], "column string, dtype string"
+    )
+    zero = F.lit(0).cast("long")
     # both sides hold one row per column of the table
-    return nulls.join(F.broadcast(unique), "column").select(
-        "column",
-        types[F.col("column")].alias("dtype"),
-        F.col("missing").alias("null_count"),
-        "nunique",
-        (F.col("nunique") > F.greatest(F.lit(50), F.floor(F.lit(0.2) * F.col("rows")))).alias("high_cardinality"),
+    return listed.join(F.broadcast(counted), "column", "left").select(
+        "column", "dtype", F.coalesce("null_count", zero).alias("null_count"), F.coalesce("nunique", zero).alias("nunique"),
+        (F.coalesce("nunique", zero) > F.greatest(F.lit(50), F.floor(F.lit(0.2) * F.coalesce("rows", zero)))).alias("high_cardinality"),
     )
 
 
@@ -161,34 +164,33 @@ def numeric_profile(
     probs: Sequence[float] = PROFILE_PROBS,
     *,
     sample_std: bool = False,
+    quantiles: dict[str, list[float | None]] | None = None,
 ) -> DataFrame:
-    """(column, count, missing, missing_pct, mean, std, min, max, p..) per numeric column."""
+    """(column, count, missing, missing_pct, mean, std, min, max, p..) per numeric column.
+
+    `quantiles` passes values fitted before for the same probs.
+    """
     df = clean_nan(df)
     cols = numeric_columns(df) if cols is None else list(cols)
-    names = [prob_name(p) for p in probs]
-    if not cols:
-        return empty(df.sparkSession, "column string, count long, missing long, missing_pct double, mean double, "
-                     "std double, min double, max double" + "".join(f", {n} double" for n in names))
-    fitted = exact_quantiles(df, cols, probs)
     std = F.stddev_samp if sample_std else F.stddev_pop
-    parts = []
+    out: dict[str, list] = {}
+    rows = None
     for part in chunks(cols):
         aggs = [F.count(F.lit(1)).alias("_rows")]
         for i, c in enumerate(part):
             v = col(c).cast("double")
             aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), std(v).alias(f"s{i}"),
                      F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-        structs = []
+        row = df.agg(*aggs).first()
+        rows = row["_rows"]
         for i, c in enumerate(part):
-            quantile = [F.lit(fitted[c][j]).cast("double").alias(names[j]) for j in range(len(probs))]
-            missing = F.col("_rows") - F.col(f"n{i}")
-            structs.append(F.struct(
-                F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), missing.alias("missing"),
-                percent(missing, F.col("_rows")).alias("missing_pct"), F.col(f"m{i}").alias("mean"),
-                F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"), *quantile,
-            ))
-        parts.append(rows_of(df.agg(*aggs), structs))
-    return union_all(parts)
+            missing = rows - row[f"n{i}"]
+            out[c] = [row[f"n{i}"], missing, missing / rows * 100.0 if rows else 0.0] + [row[f"{k}{i}"] for k in ("m", "s", "lo", "hi")]
+    fitted = exact_quantiles(df, cols, probs, rows=rows) if quantiles is None else quantiles
+    schema = ("column string, count long, missing long, missing_pct double, mean double, std double, min double, max double"
+              + "".join(f", {prob_name(p)} double" for p in probs))
+    # one short row per column
+    return df.sparkSession.createDataFrame([(c, *out[c], *fitted[c]) for c in cols], schema)
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -198,7 +200,8 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def iqr_outliers(
-    df: DataFrame, cols: Sequence[str] | None = None, *, fence: str = "tukey"
+    df: DataFrame, cols: Sequence[str] | None = None, *, fence: str = "tukey",
+    quartiles: dict[str, tuple[float | None, float | None]] | None = None,
 ) -> DataFrame:
     """(column, iqr, outliers_low, outliers_high, outliers_pct).
 
@@ -211,7 +214,7 @@ def iqr_outliers(
     schema = "column string, iqr double, outliers_low long, outliers_high long, outliers_pct double"
     if not cols:
         return empty(df.sparkSession, schema)
-    quartiles = exact_quantiles(df, cols, (0.25, 0.75))
+    quartiles = exact_quantiles(df, cols, (0.25, 0.75)) if quartiles is None else quartiles
     sign = 1.5 if fence == "tukey" else -1.5
     parts = []
     for part in chunks(cols):
@@ -328,8 +331,11 @@ def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None, k: int
     if not cols:
         return empty(df.sparkSession, "column string, nunique long, rank int, value string, n long")
     df = clean_nan(df)
-    unique = distinct_counts(df, cols)
-    best = top_values(df, cols, k)
+    small = is_small(df)
+    counted = value_counts(df, cols, compact=not small)
+    best = top_values(df, cols, k, small=small)
+    # both results read the counts of one shuffle: using `n` here too keeps the plans alike
+    unique = counted.groupBy("column").agg(F.count("value").alias("nunique"), F.sum("n").alias("_rows")).where("_rows > 0")
     return best.join(F.broadcast(unique), "column").select(
         "column", "nunique", "rank", as_key(F.col("value")).alias("value"), "n"
     )

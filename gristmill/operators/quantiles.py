@@ -54,16 +54,20 @@ def exact_quantiles(
     cols: Sequence[str],
     probs: Sequence[float],
     *,
+    rows: int | None = None,
     settle_rows: int = SETTLE_ROWS,
     sample_rows: int = SAMPLE_ROWS,
     pivots: int = PIVOTS,
 ) -> dict[str, list[float | None]]:
-    """Quantiles per column as fitted constants; [None, ...] for an all-null column."""
+    """Quantiles per column as fitted constants; [None, ...] for an all-null column.
+
+    `rows` saves a count where the caller knows the number of rows.
+    """
     cols = list(dict.fromkeys(cols))
     out: dict[str, list[float | None]] = {}
     if not cols:
         return out
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     for part in chunks(cols, COLUMNS_PER_PASS):
         out.update(_search(df, list(part), list(probs), rows, settle_rows, sample_rows, pivots))
     return out

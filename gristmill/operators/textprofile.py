@@ -109,8 +109,8 @@ def text_repeats(df: DataFrame, text: str, null_text: str | None = None) -> Data
     require_columns(df, text)
     value = text_column(text, null_text)
     return (
-        df.select(fingerprint(value).alias("key"), F.substring(value, 1, 120).alias("head"))
-        .where(F.col("key").isNotNull())
+        df.where(value.isNotNull())
+        .select(fingerprint(value).alias("key"), F.substring(value, 1, 120).alias("head"))
         .groupBy("key")
         .agg(F.any_value("head").alias("head"), F.count(F.lit(1)).alias("count"))
         .where(F.col("count") > 1)

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..core import col, empty, require_columns
+from ..core import clean_nan, col, empty, numeric_columns, require_columns
 from ..operators import media as I
 from ..operators import profile as P
 from ..operators import textprofile as X
+from ..operators.quantiles import exact_quantiles
 from ..sources import files as S
 from ..sources.tables import read_table, record, suffix
 
@@ -52,6 +53,16 @@ def _collect(spark: SparkSession, sections: dict[str, Callable[[], DataFrame]])
 def table_report(df: DataFrame, target: str | None = None, *, k: int = 30) -> DataFrame:
     """Schema, memory, duplicates, dates, numbers, categories, missing values, target."""
     column = F.col("column")
+    fitted: dict = {}
+
+    def numbers():
+        fitted.update(exact_quantiles(clean_nan(df), numeric_columns(df), P.PROFILE_PROBS))
+        return _tidy(P.numeric_profile(df, quantiles=fitted), "numeric_stats", column)
+
+    def outliers():
+        at = [P.PROFILE_PROBS.index(p) for p in (0.25, 0.75)]
+        quartiles = {c: tuple(q[i] for i in at) for c, q in fitted.items()}
+        return _tidy(P.iqr_outliers(df, quartiles=quartiles or None), "outliers", column)
 
     def correlations():
         pairs = P.correlation_pairs(df)
@@ -70,8 +81,8 @@ def table_report(df: DataFrame, target: str | None = None, *, k: int = 30) -> Da
         "memory_summary": lambda: _tidy(P.memory_summary(df), "memory_summary", column),
         "duplicate_summary": lambda: _tidy(P.duplicate_summary(df), "duplicate_summary"),
         "datetime_overview": lambda: _tidy(P.datetime_overview(df), "datetime_overview", column, ("min", "max")),
-        "numeric_stats": lambda: _tidy(P.numeric_profile(df), "numeric_stats", column),
-        "outliers": lambda: _tidy(P.iqr_outliers(df), "outliers", column),
+        "numeric_stats": numbers,
+        "outliers": outliers,
         "pearson_corr_top": correlations,
         "categorical_stats": categories,
         "missingness_summary": lambda: _tidy(P.missingness(df), "missingness_summary", column),
