@@ -116,6 +116,11 @@ def folder_classes(spark, sf_dir):
     return paths(spark, sf_dir).groupBy(S.class_of(F.col("path"), "/data").alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("video_inventory", f"SELECT path, lang AS class FROM {PATHS} WHERE doc_id % 8 = 3")
+def video_inventory(spark, sf_dir):
+    return S.class_videos(paths(spark, sf_dir), "/data")
+
+
 @query("split_folders", """
 SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' END AS split, lang AS class FROM documents""")
 def split_folders(spark, sf_dir):

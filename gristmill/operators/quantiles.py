@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 
 from ..core import chunks, col
 
-# Rows sampled per round, and pivots kept per interval.
+# Rows sampled per round; inputs of LARGE_ROWS and more get ten times as many.
 SAMPLE_ROWS = 20_000
-PIVOTS = 1_000
+LARGE_ROWS = 100_000_000
+# Pivots are set around each wanted position, at these multiples of its sampling error.
+PIVOT_STEPS = (-4.0, -2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0, 4.0)
 # Open intervals with at most this many rows in total are settled by counting values.
 SETTLE_ROWS = 1_000_000
 COLUMNS_PER_PASS = 20
@@ -56,8 +58,7 @@ def exact_quantiles(
     *,
     rows: int | None = None,
     settle_rows: int = SETTLE_ROWS,
-    sample_rows: int = SAMPLE_ROWS,
-    pivots: int = PIVOTS,
+    sample_rows: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Quantiles per column as fitted constants; [None, ...] for an all-null column.
 
@@ -68,14 +69,16 @@ def exact_quantiles(
     if not cols:
         return out
     rows = df.count() if rows is None else rows
+    if sample_rows is None:
+        sample_rows = SAMPLE_ROWS * (10 if rows >= LARGE_ROWS else 1)
     for part in chunks(cols, COLUMNS_PER_PASS):
-        out.update(_search(df, list(part), list(probs), rows, settle_rows, sample_rows, pivots))
+        out.update(_search(df, list(part), list(probs), rows, settle_rows, sample_rows))
     return out
 
 
-def _search(df, cols, probs, rows, settle_rows, sample_rows, pivots):
+def _search(df, cols, probs, rows, settle_rows, sample_rows):
     spans = [_Span(c, -math.inf, math.inf, 0, rows) for c in cols]
-    counts, points = _count_between(df, spans, _propose(df, spans, sample_rows, pivots))
+    counts, points = _count_between(df, spans, _propose(df, spans, [probs] * len(spans), sample_rows, seed=0))
     filled = {s.column: int(counts[i].sum()) for i, s in enumerate(spans)}
     wanted = {
         (c, rank)
@@ -86,10 +89,17 @@ def _search(df, cols, probs, rows, settle_rows, sample_rows, pivots):
     }
     values: dict[tuple[str, int], float] = {}
     open_ = _locate(spans, counts, points, wanted, values)
+    seed = 0
     while open_ and sum(s.inside for s in open_) > settle_rows:
+        seed += 1
         spans = sorted(open_, key=lambda s: (s.column, s.low))
-        counts, points = _count_between(df, spans, _propose(df, spans, sample_rows, pivots))
-        open_ = _locate(spans, counts, points, {w for w in wanted if w not in values}, values)
+        left = {w for w in wanted if w not in values}
+        at = [
+            [(rank - s.below + 0.5) / s.inside for c, rank in left if c == s.column and s.below <= rank < s.below + s.inside]
+            for s in spans
+        ]
+        counts, points = _count_between(df, spans, _propose(df, spans, at, sample_rows, seed))
+        open_ = _locate(spans, counts, points, left, values)
     if open_:
         _settle(df, sorted(open_, key=lambda s: (s.column, s.low)), {w for w in wanted if w not in values}, values)
 
@@ -137,8 +147,11 @@ def _values_inside(df: DataFrame, spans: Sequence[_Span]) -> DataFrame:
     return numbers.mapInPandas(extract, "span int, v double, n long")
 
 
-def _propose(df: DataFrame, spans: Sequence[_Span], sample_rows: int, pivots: int) -> list[np.ndarray]:
-    """Pivots for each span from a sample of bounded size."""
+def _propose(df: DataFrame, spans: Sequence[_Span], at: Sequence[Sequence[float]], sample_rows: int, seed: int) -> list[np.ndarray]:
+    """Pivots around the wanted fractions of each span, from a sample of bounded size.
+
+    A few pivots per rank keep what each task reports short.
+    """
     whole = all(s.low == -math.inf and s.high == math.inf for s in spans)
     if whole:
         source = df.select(*[col(s.column).cast("double").alias(f"v{i}") for i, s in enumerate(spans)])
@@ -148,13 +161,15 @@ def _propose(df: DataFrame, spans: Sequence[_Span], sample_rows: int, pivots: in
         expected = sum(s.inside for s in spans)
     fraction = min(1.0, sample_rows / max(expected, 1))
     # limit() bounds what the driver gets even if the sample runs over its size
-    got = (source if fraction >= 1.0 else source.sample(fraction, seed=42)).limit(4 * sample_rows).toPandas()
+    got = (source if fraction >= 1.0 else source.sample(fraction, seed=seed)).limit(4 * sample_rows).toPandas()
     out = []
     for i in range(len(spans)):
         v = got[f"v{i}"].to_numpy(float) if whole else got.loc[got["span"] == i, "v"].to_numpy(float)
         v = np.sort(v[~np.isnan(v)])
-        if len(v) > pivots:
-            v = v[np.linspace(0, len(v) - 1, pivots).astype(int)]
+        if len(v) > len(PIVOT_STEPS):
+            f = np.asarray(at[i], dtype=float)[:, None]
+            places = f * (len(v) - 1) + np.asarray(PIVOT_STEPS) * (1.0 + np.sqrt(len(v) * f * (1.0 - f)))
+            v = v[np.clip(np.rint(places), 0, len(v) - 1).astype(int).ravel()]
         out.append(np.unique(v))
     return out
 

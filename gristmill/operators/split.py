@@ -1,7 +1,7 @@
 """Reproducible exact-size samples and train/test splits.
 
 Rows are ordered by the MD5 text of their key. The cut for the wanted number of
-rows is found from counts per hash prefix (at most 16^6 in all), then inside
+rows is found from counts per hash prefix (at most 16^5 per class), then inside
 the one prefix the cut falls into. Assigning rows is a comparison with the cut:
 no sort and no limit over the data. Rows that share a key stay together.
 """
@@ -19,7 +19,7 @@ from ..functions.ordering import shuffle_key
 
 # Hash prefixes are made long enough to leave about this many rows in each.
 PREFIX_ROWS = 4096
-LONGEST_PREFIX = 6
+LONGEST_PREFIX = 5
 MAX_STRATA = 100_000
 
 

@@ -195,11 +195,10 @@ def image_dataset_report(
 def model_card(train: DataFrame, test: DataFrame, target: str, scores: DataFrame, name: str) -> DataFrame:
     """(card): one JSON row with schema, split sizes and metrics of a model."""
     schema = F.array(*[F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type")) for f in train.schema.fields])
-    sizes = train.agg(F.count(F.lit(1)).alias("train_rows")).join(F.broadcast(test.agg(F.count(F.lit(1)).alias("test_rows"))), F.lit(True))
-    metrics = scores.limit(1).select(F.struct(*[col(c) for c in scores.columns]).alias("metrics"))
-    return sizes.join(F.broadcast(metrics), F.lit(True)).select(
-        F.to_json(F.struct(F.lit(name).alias("model"), F.lit(target).alias("target"), schema.alias("columns"),
-                           "train_rows", "test_rows", "metrics")).alias("card")
+    sizes = [F.lit(train.count()).alias("train_rows"), F.lit(test.count()).alias("test_rows")]
+    metrics = F.struct(*[col(c) for c in scores.columns]).alias("metrics")
+    return scores.limit(1).select(
+        F.to_json(F.struct(F.lit(name).alias("model"), F.lit(target).alias("target"), schema.alias("columns"), *sizes, metrics)).alias("card")
     )
 
 

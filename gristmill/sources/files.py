@@ -174,6 +174,14 @@ def labelled_files(spark: SparkSession, root: str, exts: Sequence[str]) -> DataF
     return list_files(spark, root, exts).select("path", class_of(F.col("path"), root).alias("class"))
 
 
+def class_videos(listing: DataFrame, root: str) -> DataFrame:
+    """(path, class) of the videos lying directly in a class folder below the root."""
+    parts = F.split(relative_path(F.col("path"), root), "/")
+    return listing.where(extension(F.col("path")).isin(CLASS_VIDEO_EXTENSIONS) & (F.size(parts) == 2)).select(
+        "path", parts[0].alias("class")
+    )
+
+
 def resolve(path: Column, base_dir: str | None) -> Column:
     """Absolute form of a manifest path, relative ones taken from base_dir."""
     text = path.cast("string")

@@ -26,7 +26,7 @@ def test_many_rounds(spark):
     rng = np.random.default_rng(2)
     hot = np.where(rng.random(4000) < 0.4, 7.0, rng.lognormal(0, 3, 4000))
     check(spark, {"heavy": rng.lognormal(0, 5, 4000), "hot": hot, "const": np.full(4000, 3.0),
-                  "neg": -rng.random(4000)}, settle_rows=20, sample_rows=50, pivots=7)
+                  "neg": -rng.random(4000)}, settle_rows=20, sample_rows=50)
 
 
 def test_nulls_and_all_null(spark):
@@ -44,6 +44,6 @@ def test_empty(spark):
 
 def test_partition_invariance(spark):
     df = spark.range(5000).select((F.hash("id") % 1000).alias("x"))
-    a = exact_quantiles(df.coalesce(1), ["x"], PROBS, settle_rows=10, sample_rows=100, pivots=10)
+    a = exact_quantiles(df.coalesce(1), ["x"], PROBS, settle_rows=10, sample_rows=100)
     b = exact_quantiles(df.repartition(8), ["x"], PROBS)
     assert a == b
