@@ -22,7 +22,8 @@ def shuffled_column(df: DataFrame, column: str, keys: Sequence[str], *, seed: in
     """The table with one column's values moved to other rows.
 
     Rows are dealt into random buckets of bounded size by key hash; inside each,
-    every row takes the value of the next one in hash order.
+    every row takes the value of the next one in hash order. The keys must
+    identify rows: copies of one key would share a bucket.
     """
     rows = df.count() if rows is None else rows
     digits = max(0, math.ceil(math.log(max(rows, 1) / ROWS_PER_BUCKET, 16)))

@@ -79,12 +79,19 @@ def token_counts(df: DataFrame, text: str, *, n: int = 1, null_text: str | None
     return counted.select(F.concat_ws(" ", "a", "b").alias("token"), "count")
 
 
+def most_common(counts: DataFrame, k: int = 30) -> DataFrame:
+    """The k most frequent entries of a (token, count) table."""
+    return counts.orderBy(F.col("count").desc(), "token").limit(k)
+
+
 def top_tokens(df: DataFrame, text: str, *, n: int = 1, k: int = 30, null_text: str | None = None) -> DataFrame:
-    return token_counts(df, text, n=n, null_text=null_text).orderBy(F.col("count").desc(), "token").limit(k)
+    return most_common(token_counts(df, text, n=n, null_text=null_text), k)
 
 
-def vocabulary_size(df: DataFrame, text: str, *, null_text: str | None = None) -> DataFrame:
-    return token_counts(df, text, null_text=null_text).agg(F.count(F.lit(1)).alias("vocab_estimate"))
+def vocabulary_size(df: DataFrame, text: str, *, null_text: str | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """(vocab_estimate): number of different words; `counts` passes a token table made before."""
+    counts = token_counts(df, text, null_text=null_text) if counts is None else counts
+    return counts.agg(F.count(F.lit(1)).alias("vocab_estimate"))
 
 
 def label_lengths(df: DataFrame, text: str, label: str, null_text: str | None = None) -> DataFrame:
@@ -118,16 +125,19 @@ def text_repeats(df: DataFrame, text: str, null_text: str | None = None) -> Data
     )
 
 
-def duplicate_texts(df: DataFrame, text: str, null_text: str | None = None) -> DataFrame:
+def duplicate_texts(df: DataFrame, text: str, null_text: str | None = None, repeats: DataFrame | None = None) -> DataFrame:
     """(duplicate_texts): how many different texts occur more than once."""
-    return text_repeats(df, text, null_text).agg(F.count(F.lit(1)).alias("duplicate_texts"))
+    repeats = text_repeats(df, text, null_text) if repeats is None else repeats
+    return repeats.agg(F.count(F.lit(1)).alias("duplicate_texts"))
 
 
-def top_duplicate_texts(df: DataFrame, text: str, k: int = 10, null_text: str | None = None) -> DataFrame:
+def top_duplicate_texts(
+    df: DataFrame, text: str, k: int = 10, null_text: str | None = None, repeats: DataFrame | None = None
+) -> DataFrame:
     """(text, count) of the most repeated texts, cut to 120 characters."""
+    repeats = text_repeats(df, text, null_text) if repeats is None else repeats
     return (
-        text_repeats(df, text, null_text)
-        .orderBy(F.col("count").desc(), "head").limit(k)
+        repeats.orderBy(F.col("count").desc(), "head").limit(k)
         .select(F.col("head").alias("text"), "count")
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..core import clean_nan, col, empty, numeric_columns, require_columns
+from ..core import clean_nan, col, empty, is_small, materialize, numeric_columns, require_columns
 from ..operators import media as I
 from ..operators import profile as P
 from ..operators import textprofile as X
@@ -97,32 +97,36 @@ def text_report(
     """Counts, lengths, tokens, labels, duplicates and character make-up of a text column."""
     require_columns(df, text)
     column = F.col("column")
+    # On large inputs tables that two sections read are written once.
+    keep = (lambda t, name: t) if is_small(df) else materialize
+    words = keep(X.token_counts(df, text, null_text=null_text), "tokens")
+    copies = keep(X.text_repeats(df, text, null_text), "repeats")
 
-    def tokens(n: int, name: str):
-        return X.top_tokens(df, text, n=n, k=k, null_text=null_text).select(
+    def tokens(counts: DataFrame, name: str):
+        return X.most_common(counts, k).select(
             F.lit("token_stats").alias("section"), F.lit(None).cast("string").alias("column"), F.lit(name).alias("metric"),
             F.col("count").cast("double").alias("value"), F.col("token").alias("text"))
 
     def repeats():
-        return X.top_duplicate_texts(df, text, null_text=null_text).select(
+        return X.top_duplicate_texts(df, text, repeats=copies).select(
             F.lit("duplicates").alias("section"), F.lit(None).cast("string").alias("column"), F.lit("top_duplicate_text").alias("metric"),
             F.col("count").cast("double").alias("value"), "text")
 
     sections = {
         "counts": lambda: _tidy(X.text_counts(df, text), "counts"),
         "lengths": lambda: _tidy(X.length_profile(df, text, null_text), "lengths", column),
-        "vocabulary": lambda: _tidy(X.vocabulary_size(df, text, null_text=null_text), "token_stats"),
-        "top_unigrams": lambda: tokens(1, "top_unigram"),
+        "vocabulary": lambda: _tidy(X.vocabulary_size(df, text, counts=words), "token_stats"),
+        "top_unigrams": lambda: tokens(words, "top_unigram"),
     }
     if bigrams:
-        sections["top_bigrams"] = lambda: tokens(2, "top_bigram")
+        sections["top_bigrams"] = lambda: tokens(X.token_counts(df, text, n=2, null_text=null_text), "top_bigram")
     if target and target in df.columns:
         sections["label_preview"] = lambda: _pairs(X.label_preview(df, target), "label_preview")
         sections["per_label_text_len"] = lambda: _tidy(
             X.label_lengths(df, text, target, null_text), "per_label_text_len", F.col("label"), ("label",)
         ).where(F.col("metric") != "label")
     sections["duplicate_rows"] = lambda: _tidy(P.duplicate_summary(df), "duplicates")
-    sections["duplicate_texts"] = lambda: _tidy(X.duplicate_texts(df, text, null_text), "duplicates")
+    sections["duplicate_texts"] = lambda: _tidy(X.duplicate_texts(df, text, repeats=copies), "duplicates")
     sections["top_duplicate_texts"] = repeats
     sections["char_composition"] = lambda: _tidy(X.character_makeup(df, text, null_text), "char_composition")
     return _collect(df.sparkSession, sections)
