@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -188,6 +190,30 @@ def require_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"columns not found: {missing}")
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once per application).
+
+    Needed where the workers cannot import it, that is unless it is installed
+    on the nodes or was passed with --py-files.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="gristmill-code-"), "gristmill.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(archive)  # Spark distributes the file to the executors
+    _shipped.add(context.applicationId)
+
+
 def work_dir(spark: SparkSession) -> str:
     """Folder for written intermediate tables: the one the cluster names.
 

@@ -8,6 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import SparkSession
 
+from gristmill.core import ship_package
 from gristmill.operators.drift import fit_baseline
 from gristmill.sources.tables import read_table, write_report
 from gristmill.streaming.incremental import read_drift, read_files, start_drift
@@ -21,6 +22,7 @@ def main() -> None:
     ap.add_argument("--lateness", default="1 hour")
     args = ap.parse_args()
     spark = SparkSession.builder.appName("monitor-drift").getOrCreate()
+    ship_package(spark)
     baseline = read_table(spark, args.baseline)
     base = fit_baseline(baseline, args.column)
     stream = read_files(spark, args.folder, baseline.schema)

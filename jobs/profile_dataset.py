@@ -8,6 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import SparkSession
 
+from gristmill.core import ship_package
 from gristmill.plans.reports import image_dataset_report, table_report, text_report
 from gristmill.sources.files import detect_modality
 from gristmill.sources.tables import read_table, suffix, write_report
@@ -21,6 +22,7 @@ def main() -> None:
     ap.add_argument("--text")
     args = ap.parse_args()
     spark = SparkSession.builder.appName("profile-dataset").getOrCreate()
+    ship_package(spark)
     if not suffix(args.source) and detect_modality(spark, args.source) == "image":
         report = image_dataset_report(spark, args.source)
     else:

@@ -8,6 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import SparkSession
 
+from gristmill.core import ship_package
 from gristmill.operators.split import parts, random_split
 from gristmill.plans.reports import model_card
 from gristmill.plans.training import run_leaderboard, save_model
@@ -23,6 +24,7 @@ def main() -> None:
     ap.add_argument("--test-share", type=float, default=0.2)
     args = ap.parse_args()
     spark = SparkSession.builder.appName("train-tabular").getOrCreate()
+    ship_package(spark)
     df = read_table(spark, args.table)
     train, test = parts(random_split(df, args.key, args.test_share))
     board = run_leaderboard(train.drop(*args.key), test, args.target)

@@ -8,6 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import SparkSession
 
+from gristmill.core import ship_package
 from gristmill.operators.explain import top_class_terms
 from gristmill.plans.training import save_model, train_text_classifier
 from gristmill.sources.tables import read_table, write_report
@@ -22,6 +23,7 @@ def main() -> None:
     ap.add_argument("--key", nargs="+", required=True)
     args = ap.parse_args()
     spark = SparkSession.builder.appName("train-text").getOrCreate()
+    ship_package(spark)
     got = train_text_classifier(read_table(spark, args.table), args.text, args.target, args.key)
     save_model(got.model, f"{args.out}/model")
     write_report(got.scores, f"{args.out}/scores")
