@@ -33,20 +33,21 @@ COLUMNS_PER_PASS = 20
 
 @dataclass(frozen=True)
 class _Span:
-    """Open interval of one column; `below` rows lie to its left, `inside` in it."""
+    """Open interval of one column (None: no end on that side); `below` rows lie
+    to its left, `inside` in it."""
 
     column: str
-    low: float
-    high: float
+    low: float | None
+    high: float | None
     below: int
     inside: int
 
     def holds(self) -> Column:
         v = col(self.column).cast("double")
         inside = v.isNotNull()
-        if self.low > -math.inf:
+        if self.low is not None:
             inside = inside & (v > self.low)
-        if self.high < math.inf:
+        if self.high is not None:
             inside = inside & (v < self.high)
         return inside
 
@@ -77,7 +78,7 @@ def exact_quantiles(
 
 
 def _search(df, cols, probs, rows, settle_rows, sample_rows):
-    spans = [_Span(c, -math.inf, math.inf, 0, rows) for c in cols]
+    spans = [_Span(c, None, None, 0, rows) for c in cols]
     counts, points = _count_between(df, spans, _propose(df, spans, [probs] * len(spans), sample_rows, seed=0))
     filled = {s.column: int(counts[i].sum()) for i, s in enumerate(spans)}
     wanted = {
@@ -92,7 +93,7 @@ def _search(df, cols, probs, rows, settle_rows, sample_rows):
     seed = 0
     while open_ and sum(s.inside for s in open_) > settle_rows:
         seed += 1
-        spans = sorted(open_, key=lambda s: (s.column, s.low))
+        spans = sorted(open_, key=lambda s: (s.column, s.below))
         left = {w for w in wanted if w not in values}
         at = [
             [(rank - s.below + 0.5) / s.inside for c, rank in left if c == s.column and s.below <= rank < s.below + s.inside]
@@ -101,7 +102,7 @@ def _search(df, cols, probs, rows, settle_rows, sample_rows):
         counts, points = _count_between(df, spans, _propose(df, spans, at, sample_rows, seed))
         open_ = _locate(spans, counts, points, left, values)
     if open_:
-        _settle(df, sorted(open_, key=lambda s: (s.column, s.low)), {w for w in wanted if w not in values}, values)
+        _settle(df, sorted(open_, key=lambda s: (s.column, s.below)), {w for w in wanted if w not in values}, values)
 
     def at(c: str, p: float) -> float | None:
         if not filled[c]:
@@ -114,12 +115,22 @@ def _search(df, cols, probs, rows, settle_rows, sample_rows):
     return {c: [at(c, p) for p in probs] for c in cols}
 
 
+def _inside(v: np.ndarray, low: float | None, high: float | None) -> np.ndarray:
+    keep = ~np.isnan(v)
+    if low is not None:
+        keep &= v > low
+    if high is not None:
+        keep &= v < high
+    return v[keep]
+
+
 def _any_holds(spans: Sequence[_Span]) -> Column:
     """Rows with a value between the outer ends of some column's spans (reaches the scan)."""
     keep = None
     for c in dict.fromkeys(s.column for s in spans):
         own = [s for s in spans if s.column == c]
-        hull = _Span(c, min(s.low for s in own), max(s.high for s in own), 0, 0).holds()
+        lows, highs = [s.low for s in own], [s.high for s in own]
+        hull = _Span(c, None if None in lows else min(lows), None if None in highs else max(highs), 0, 0).holds()
         keep = hull if keep is None else keep | hull
     return keep
 
@@ -134,8 +145,7 @@ def _values_inside(df: DataFrame, spans: Sequence[_Span]) -> DataFrame:
             data = pdf.to_numpy(dtype=float)
             span, value, count = [], [], []
             for i, (c, low, high) in enumerate(limits):
-                v = data[:, c]
-                v, n = np.unique(v[(v > low) & (v < high)], return_counts=True)
+                v, n = np.unique(_inside(data[:, c], low, high), return_counts=True)
                 span.append(np.full(len(v), i, dtype=np.int32))
                 value.append(v)
                 count.append(n)
@@ -152,7 +162,7 @@ def _propose(df: DataFrame, spans: Sequence[_Span], at: Sequence[Sequence[float]
 
     A few pivots per rank keep what each task reports short.
     """
-    whole = all(s.low == -math.inf and s.high == math.inf for s in spans)
+    whole = all(s.low is None and s.high is None for s in spans)
     if whole:
         source = df.select(*[col(s.column).cast("double").alias(f"v{i}") for i, s in enumerate(spans)])
         expected = max(s.inside for s in spans)
@@ -185,9 +195,7 @@ def _count_between(df: DataFrame, spans: Sequence[_Span], points: list[np.ndarra
         for pdf in batches:
             data = pdf.to_numpy(dtype=float)
             for i, p in enumerate(points):
-                v = data[:, place[i]]
-                low, high = bounds[i]
-                v = v[~np.isnan(v)] if low == -np.inf and high == np.inf else v[(v > low) & (v < high)]
+                v = _inside(data[:, place[i]], *bounds[i])
                 left = np.searchsorted(p, v, side="left")
                 right = np.searchsorted(p, v, side="right")
                 totals[i] += np.bincount(left + right, minlength=len(totals[i]))
@@ -223,7 +231,8 @@ def _locate(spans, counts, points, wanted, values) -> set[_Span]:
                 continue
             low = points[i][b // 2 - 1] if b else s.low
             high = points[i][b // 2] if b // 2 < len(points[i]) else s.high
-            open_.add(_Span(c, float(low), float(high), int(ends[b] - counts[i][b]), int(counts[i][b])))
+            low, high = (None if x is None else float(x) for x in (low, high))
+            open_.add(_Span(c, low, high, int(ends[b] - counts[i][b]), int(counts[i][b])))
     return open_
 
 

@@ -47,3 +47,11 @@ def test_partition_invariance(spark):
     a = exact_quantiles(df.coalesce(1), ["x"], PROBS, settle_rows=10, sample_rows=100)
     b = exact_quantiles(df.repartition(8), ["x"], PROBS)
     assert a == b
+
+
+def test_infinite_values(spark):
+    data = [float("-inf")] * 3 + [float(i) for i in range(50)] + [float("inf")] * 4
+    df = spark.createDataFrame([(v,) for v in data], "x double").repartition(3)
+    for options in ({}, {"settle_rows": 2, "sample_rows": 5}):
+        got = exact_quantiles(df, ["x"], [0.0, 3 / 56, 0.5, 1.0], **options)["x"]
+        assert got == [float("-inf"), 0.0, 25.0, float("inf")]
