@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import bounded_values, broadcast_if_small, clean_nan, col, columns_of, is_small, materialize, numeric_columns, quoted, require_columns, type_class
+from ..core import bounded_values, broadcast_if_small, clean_nan, col, columns_of, is_small, materialize, numeric_columns, quoted, type_class
 from .frequency import most_frequent, top_per_group, value_counts, value_text
 from .quantiles import exact_quantiles
 

@@ -1,4 +1,3 @@
-import io
 import struct
 import wave
 import zipfile

@@ -2,7 +2,6 @@ import math
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
