@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -74,17 +76,24 @@ def components(edges: DataFrame) -> DataFrame:
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 
+#: Latin letters whose small form does not depend on what stands around them.
+_PLAIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+
+
 class WordTokenizer:
     """Token ids of whole texts, encoding each different word once per worker.
 
     Both vocabularies split a text between a word and the white space after it
-    before any merge, so the ids of a text are those of its space-led words in turn.
+    before any merge, so the ids of a text are those of its words in turn. Plain
+    words are encoded many at a time, and parted again where the vocabulary marks
+    the border of a word: behind a last piece, or before a piece with a leading space.
     Two generations of words are kept, at most 2 * KEEP words of at most LONGEST
     characters; others are encoded again when they come back. Ids are 16-bit.
     """
 
-    KEEP = 250_000
+    KEEP = 400_000
     LONGEST = 40
+    TOGETHER = 200
     cached: dict[int, "WordTokenizer"] = {}
 
     def __init__(self, spec: str):
@@ -92,7 +101,15 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
-        self.split = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+").findall
+        vocabulary = self.tokenizer.get_vocab()
+        self.suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+        border = (lambda p: p.endswith(self.suffix)) if self.suffix else (lambda p: p.startswith("Ġ"))
+        self.border = np.zeros(1 << 16, bool)
+        self.border[[i for p, i in vocabulary.items() if border(p)]] = True
+        self.plain = re.compile(f"[ \n]*([{_PLAIN}]+)([.,]?)" if self.suffix else f"( [{_PLAIN}]+)([.,]?)").fullmatch
+        led = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+").findall
+        self.split = (lambda t: t.replace("\n", " ").split(" ")) if self.suffix else led
+        self.tails = {t: self._ids([t])[0] for t in ".,"} | {"": b""}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -104,27 +121,52 @@ class WordTokenizer:
             cls.cached[key] = cls(spec)
         return cls.cached[key]
 
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain_ids(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Of plain words, each with the border mark of its own, by encoding lines of them."""
+        for start in range(0, len(words), 50 * self.TOGETHER):
+            lines = [words[i : i + self.TOGETHER] for i in range(start, min(start + 50 * self.TOGETHER, len(words)), self.TOGETHER)]
+            for line, data in zip(lines, self._ids([(" " if self.suffix else "").join(line) for line in lines])):
+                marks = np.flatnonzero(self.border[np.frombuffer(data, np.uint16)]) * 2
+                ends = (marks + 2 if self.suffix else np.append(marks[1:], len(data))).tolist()
+                if len(ends) != len(line):  # a border where none was expected: each for itself
+                    yield from zip(line, self._ids(line))
+                else:
+                    yield from ((w, data[a:b]) for w, a, b in zip(line, [0, *ends], ends))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 16-bit integers; none for null."""
         parts = [self.split(t) if t else [] for t in texts]
-        found = self.new
+        found, old = self.new, self.old
         unknown = {w for p in parts for w in p if w not in found}
-        for w in [w for w in unknown if w in self.old]:
-            found[w] = self.old[w]
-            unknown.discard(w)
-        words = list(unknown)
-        for start in range(0, len(words), 20_000):
-            some = words[start : start + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                found[w] = array("H", e.ids).tobytes()
+        plain, composed, other = set(), [], []
+        for w in unknown:
+            if w in old:
+                found[w] = old[w]
+            elif m := self.plain(w):
+                core = m[1].lower() if self.suffix else m[1]
+                composed.append((w, core, m[2]))
+                if core not in found:
+                    if core in old:
+                        found[core] = old[core]
+                    else:
+                        plain.add(core)
+            else:
+                other.append(w)
+        found.update(self._plain_ids(list(plain)))
+        for w, core, tail in composed:
+            found[w] = found[core] + self.tails[tail]
+        for start in range(0, len(other), 20_000):
+            some = other[start : start + 20_000]
+            found.update(zip(some, self._ids(some)))
         out = [b"".join(map(found.__getitem__, p)) for p in parts]
-        for w in words:
+        for w in other:
             if len(w) > self.LONGEST:
                 del found[w]
         if len(found) > self.KEEP:
-            self.old, self.new = found, {}
-            if len(found) > 2 * self.KEEP:
-                self.old = {}
+            self.old, self.new = found if len(found) <= 2 * self.KEEP else {}, {}
         return out
 
 
