@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
@@ -97,6 +98,7 @@ class WordTokenizer:
     cached: dict[int, "WordTokenizer"] = {}
 
     def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
@@ -140,7 +142,9 @@ class WordTokenizer:
         """Ids as little-endian unsigned 16-bit integers; none for null."""
         parts = [self.split(t) if t else [] for t in texts]
         found, old = self.new, self.old
-        unknown = {w for p in parts for w in p if w not in found}
+        known = [list(map(found.get, p)) for p in parts]
+        missing = [[i for i, x in enumerate(k) if x is None] for k in known]
+        unknown = {p[i] for p, m in zip(parts, missing) for i in m}
         plain, composed, other = set(), [], []
         for w in unknown:
             if w in old:
@@ -161,7 +165,10 @@ class WordTokenizer:
         for start in range(0, len(other), 20_000):
             some = other[start : start + 20_000]
             found.update(zip(some, self._ids(some)))
-        out = [b"".join(map(found.__getitem__, p)) for p in parts]
+        for p, k, m in zip(parts, known, missing):
+            for i in m:
+                k[i] = found[p[i]]
+        out = list(map(b"".join, known))
         for w in other:
             if len(w) > self.LONGEST:
                 del found[w]
