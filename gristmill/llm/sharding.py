@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from gristmill.core import materialize
 
+#: The matrix is broadcast up to this size: one row for each partition. Beyond, it is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 #: Rows that the second permutation sorts in one group.
 ROWS_PER_GROUP = 100_000
 
@@ -79,6 +81,8 @@ def shuffle_to_shards(df: DataFrame, shards: int = 16, seed: int = 42) -> DataFr
     matrix = communication_matrix([n for _, n in counts], shards, seed)
     ends = [(part, np.cumsum(row).tolist()) for (part, _), row in zip(counts, matrix)]
     cuts = spark.createDataFrame(ends, "part long, ends array<bigint>")
+    if len(ends) * (shards + 4) * 8 <= BROADCAST_BYTES:
+        cuts = F.broadcast(cuts)
     groups = max(1, math.ceil(sum(n for _, n in counts) / shards / ROWS_PER_GROUP))
     sent = placed.join(cuts, "part").select(
         "row", "part", "place", F.expr("cast(size(filter(ends, e -> e <= place)) as int)").alias("shard"),
