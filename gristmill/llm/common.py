@@ -25,9 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, task: Callable[[Batches], Batches], schema: str) -> DataFrame:
-    """mapInArrow with this package on the workers."""
+    """mapInArrow with this package on the workers, for any column names."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(task, schema)
+    names = df.columns
+
+    def named(batches: Batches) -> Batches:
+        return task(b.rename_columns(names) for b in batches)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(named, schema)
 
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:

@@ -18,8 +18,10 @@ WINDOW = 10
 BLOCK_WORDS = 1_000_000
 #: Words of the windows that are searched at once; more items are searched in further rounds.
 ROUND_WORDS = 2_000_000
-#: Places a word may be off in a proximity match.
+#: Places a word may be off in a proximity match; GAP holds for up to three.
 NEAR = 2
+#: Free places between documents: more than two words that follow one another can be apart in a match.
+GAP = 8
 
 #: Fixed rule: A-Z become a-z, and every ASCII character but 0-9 a-z parts words.
 _WORDS = bytes(c if c > 127 or chr(c).isdigit() or "a" <= chr(c) <= "z" else c + 32 if "A" <= chr(c) <= "Z" else 32 for c in range(256))
@@ -44,7 +46,7 @@ def _post(batches: Batches) -> Batches:
 
     A block has a row for each of its words, with the ascending places, and one row
     without a word: its doc_ids, and the place behind each document's last word. Between
-    documents one place stays free, so no phrase runs over an end.
+    documents some places stay free, so no match runs over an end.
     """
     count = 0
     numbers, tokens, ends, ids, place = _Numbers(), [], [], [], 0
@@ -67,7 +69,7 @@ def _post(batches: Batches) -> Batches:
                 tokens.append((np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)), place))
             ends.append(place + len(w))
             ids.append(doc_id)
-            place += len(w) + 1
+            place += len(w) + GAP
             if place >= BLOCK_WORDS:
                 yield block()
                 count += 1
@@ -121,9 +123,8 @@ def _search(items: list[tuple[str, list[str]]], near: int):
                         break
                 if len(starts):
                     docs = np.searchsorted(ends, starts + rarest, side="right")
-                    inside = docs == np.searchsorted(ends, np.maximum(starts, 0), side="right")
                     for exact in (True, False):
-                        keep = inside & ((off == 0) == exact)
+                        keep = (off == 0) == exact
                         for d in np.unique(docs[keep]):
                             found[int(d), item, length, exact].append(starts[keep & (docs == d)])
         rows = [
@@ -148,6 +149,8 @@ def find_items(index: DataFrame, items: DataFrame, near: int = NEAR) -> DataFram
     Items are searched in rounds of bounded size, so what is sent to the tasks has a
     fixed bound however large the benchmark is.
     """
+    if 2 * near + 1 > GAP:
+        raise ValueError("near is wider than the gap between documents allows")
     spark = index.sparkSession
     parted = materialize(
         map_arrow(items.select(F.col("item_id").cast("string").alias("item_id"), "text"), _windows, "item_id string, words array<string>").where("size(words) > 0").distinct(),
@@ -185,8 +188,8 @@ def contamination(docs: DataFrame, items: DataFrame, near: int = NEAR) -> DataFr
         F.collect_list(F.struct("lo", "hi")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items")
     ).select("block", "ord", F.expr(fold).alias("n_hit"), "items")
     close = found.groupBy("block", "ord", "item_id").agg(F.bool_or("exact").alias("exact")).groupBy("block", "ord").agg(F.count_if(~F.col("exact")).alias("n_near"))
-    rows = index.where("term is null").select("block", F.posexplode(F.arrays_zip("doc_ids", "positions", F.expr("concat(array(-1), slice(positions, 1, size(positions) - 1))").alias("last"))).alias("ord", "d"))
-    rows = rows.select("block", "ord", F.col("d.doc_ids").alias("doc_id"), (F.col("d.positions") - F.col("d.last") - 1).cast("long").alias("n_words"))
+    rows = index.where("term is null").select("block", F.posexplode(F.arrays_zip("doc_ids", "positions", F.expr(f"concat(array(-{GAP}), slice(positions, 1, size(positions) - 1))").alias("last"))).alias("ord", "d"))
+    rows = rows.select("block", "ord", F.col("d.doc_ids").alias("doc_id"), (F.col("d.positions") - F.col("d.last") - GAP).cast("long").alias("n_words"))
     out = rows.join(hits, ["block", "ord"], "left").join(close, ["block", "ord"], "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(

@@ -14,10 +14,12 @@ from gristmill.core import materialize
 
 #: Codebooks are fitted on about this many vectors.
 SAMPLE = 20_000
-#: Centroid pairs are read until they hold this many different vectors.
-CANDIDATES = 5_000
-MOST_CENTROIDS = 256
-PER_CELL = 12
+#: Centroid pairs are read until they hold this share of the different vectors. Vectors without
+#: clusters (the tables at hand: nearest cosines of 0.4) need half for a recall of 0.95; clustered
+#: ones need far less.
+SHARE = 0.5
+MOST_CENTROIDS = 64
+PER_CELL = 3
 #: Different vectors that one task group compares.
 PER_BIN = 4_000
 KMEANS_ROUNDS = 12
@@ -59,7 +61,7 @@ def _matrix(column) -> np.ndarray:
     return np.array(column.tolist(), np.float64)
 
 
-def nearest(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, candidates: int = CANDIDATES) -> DataFrame:
+def nearest(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, share: float = SHARE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found for each row that `queries` picks.
 
     Nearness is the cosine in double precision of the original vectors; ties go to the
@@ -71,8 +73,7 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, ca
 
     Left out, as query and as candidate: vectors null, zero or with null or non-finite
     components, rows without vec_id, and vectors of another length than most. Repeated rows count
-    once. Fewer candidates than k: all of them, as far as the read cells hold them, and they
-    all do then. Empty table: no rows. Other columns are not read.
+    once. Fewer candidates than k: all of them. Empty table: no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
     valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(
@@ -93,8 +94,8 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, ca
     )
     n = entries.count()
     centroids = int(min(MOST_CENTROIDS, max(2, 2 ** round(math.log2(math.sqrt(max(n, 4) / PER_CELL))))))
-    share = min(1.0, SAMPLE / n)
-    sample = _matrix(entries.where(F.pmod(F.xxhash64("n"), F.lit(1 << 20)) < share * (1 << 20)).orderBy("n").select("v").toPandas()["v"]) if n > 1 else _matrix(entries.select("v").toPandas()["v"])
+    picked = min(1.0, SAMPLE / n)
+    sample = _matrix(entries.where(F.pmod(F.xxhash64("n"), F.lit(1 << 20)) < picked * (1 << 20)).orderBy("n").select("v").toPandas()["v"]) if n > 1 else _matrix(entries.select("v").toPandas()["v"])
     if not len(sample):
         sample = _matrix(entries.limit(SAMPLE).select("v").toPandas()["v"])
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
@@ -127,6 +128,7 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, ca
         if chunks[c] > 1:
             at, load = at + int(chunks[c]), 0
     layout = spark.sparkContext.broadcast((sizes, chunks, bins))
+    wanted = max(k + 1, math.ceil(share * n))
 
     def place(frames):
         for f in frames:
@@ -140,31 +142,33 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, ca
             for at in range(0, len(f), 500):
                 part = f.iloc[at : at + 500]
                 a, b = distances(_matrix(part["v"]))
-                rows = [
-                    (q, v, cell, int(bins[cell]) + c)
-                    for q, v, x, y in zip(part["vec_id"], part["v"], a, b) for cell in cells_in_order(x, y, sizes, candidates) for c in range(int(chunks[cell]))
-                ]
-                yield pd.DataFrame(rows, columns=["query_id", "q", "cell", "bin"])
+                rows = []
+                for query, v, x, y in zip(part["vec_id"], part["v"], a, b):
+                    cells = np.array(cells_in_order(x, y, sizes, wanted), np.int64)
+                    where = np.repeat(bins[cells], chunks[cells]) + np.concatenate([np.arange(c) for c in chunks[cells]])
+                    spread = np.repeat(cells, chunks[cells])
+                    order = np.argsort(where, kind="stable")
+                    for own in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
+                        rows.append((query, v, spread[own], int(where[own[0]])))
+                yield pd.DataFrame(rows, columns=["query_id", "q", "cells", "bin"])
 
     def compare(probes: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(probes) and len(held):
-            held = held.sort_values("cell")
             cells, vectors, ids = held["cell"].to_numpy(), _matrix(held["v"]), held["ids"].to_numpy()
             lengths = np.sqrt((vectors * vectors).sum(axis=1))
-            for cell, asked in probes.groupby("cell"):
-                lo, hi = np.searchsorted(cells, [cell, cell + 1])
-                for query, q in zip(asked["query_id"], asked["q"]):
-                    q = np.asarray(q, np.float64)
-                    scores = (vectors[lo:hi] * q).sum(axis=1) / (lengths[lo:hi] * np.sqrt((q * q).sum()))
-                    best = np.sort(scores)[-min(k + 1, len(scores))] if len(scores) else 0.0
-                    # the query's own vector may be among the first k + 1; ties stay in
-                    found = sorted((-scores[i], int(x)) for i in np.flatnonzero(scores >= best) for x in ids[lo + i] if x != query)
-                    out += [(query, x, -s) for s, x in found[:k]]
+            for query, q, own in zip(probes["query_id"], probes["q"], probes["cells"]):
+                at = np.flatnonzero(np.isin(cells, own))
+                q = np.asarray(q, np.float64)
+                scores = (vectors[at] * q).sum(axis=1) / (lengths[at] * np.sqrt((q * q).sum()))
+                # the query's own vector may be among the first k + 1; ties stay in
+                best = np.partition(scores, -(k + 1))[-(k + 1)] if len(scores) > k else -np.inf
+                found = sorted((-scores[i], int(x)) for i in np.flatnonzero(scores >= best) for x in ids[at[i]] if x != query)
+                out += [(query, x, -s) for s, x in found[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     asked = valid.where(queries).dropDuplicates(["vec_id"])
-    probes = asked.mapInPandas(probe, "query_id long, q array<double>, cell long, bin long")
+    probes = asked.mapInPandas(probe, "query_id long, q array<double>, cells array<bigint>, bin long")
     held = indexed.mapInPandas(place, "v array<double>, ids array<bigint>, n long, cell long, bin long")
     found = probes.groupBy("bin").cogroup(held.groupBy("bin")).applyInPandas(compare, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

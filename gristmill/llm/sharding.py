@@ -13,7 +13,7 @@ from gristmill.core import materialize
 #: The matrix is broadcast up to this size: one row for each partition. Beyond, it is joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 #: Rows that the second permutation sorts in one group.
-ROWS_PER_GROUP = 100_000
+ROWS_PER_GROUP = 20_000
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -64,7 +64,7 @@ def shuffle_to_shards(df: DataFrame, shards: int = 16, seed: int = 42) -> DataFr
        outcome is written, so later jobs and repeated tasks see the same order.
     2. From the partitions' row counts the matrix is drawn on the driver: one small
        row for each partition. Partition p's first M[p][0] rows go to shard 0, and so on.
-    3. The rows are exchanged into groups of about 100,000 rows, each a random part of
+    3. The rows are exchanged into groups of about 20,000 rows, each a random part of
        one shard, and permuted once more there.
 
     All counts and groups follow row numbers, never values: equal texts, null texts,
