@@ -64,6 +64,14 @@ def csv_chunk_profile(spark, sf_dir):
     return rounded(ST.profile_stream(stream, ["c_custkey", "c_acctbal"]))
 
 
+@query("csv_round_trip_texts", "SELECT doc_id, text FROM documents")
+def csv_round_trip_texts(spark, sf_dir):
+    """Texts with line breaks, quotes and delimiters written as CSV and read with the defaults."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = T.write_table(docs, new_path(spark, "texts") + ".csv")
+    return T.read_table(spark, path).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 # --- file names --------------------------------------------------------------
 
 _NAMES = [".csv", ".JPG", ".wav", ".mp4", ".txt", ".bin", "", ".tar.png"]

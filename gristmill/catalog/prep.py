@@ -114,6 +114,20 @@ _RULES = [
 ]
 
 
+@query("type_inference_written_forms", """
+SELECT o_orderkey, CASE o_orderkey % 30 WHEN 0 THEN 100000.0::DOUBLE WHEN 1 THEN 3.0::DOUBLE ELSE o_orderkey::DOUBLE END AS n,
+  strptime(strftime(o_orderdate, '%Y-%m-%d'), '%Y-%m-%d') AS d FROM orders""")
+def type_inference_written_forms(spark, sf_dir):
+    """Numbers and dates in several written forms."""
+    day = lambda f: F.date_format("o_orderdate", f)
+    kind = F.col("o_orderkey") % 3
+    forms = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 30 == 0, " 1e5").when(F.col("o_orderkey") % 30 == 1, "+3").otherwise(F.col("o_orderkey").cast("string")).alias("n"),
+        F.when(kind == 0, day("M/d/yyyy")).when(kind == 1, day("MMM d, yyyy")).otherwise(day("yyyy-MM-dd")).alias("d"),
+    )
+    return Q.infer_and_coerce(forms).withColumn("d", F.col("d").cast("timestamp_ntz"))
+
+
 @query("validation_rules", union_sql([
     f"""SELECT '{c}' AS "column", '{k}' AS rule, count(*) AS n_total, count(*) FILTER ({e}) AS n_passed,
   round(count(*) FILTER ({e}) * 100.0::DOUBLE / count(*), 6) AS pct_passed FROM {CUSTOMER_GAPS}""" for c, k, _, e in _RULES

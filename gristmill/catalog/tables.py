@@ -187,6 +187,12 @@ def categorical_top_values(spark, sf_dir):
     return P.categorical_profile(customer_gaps(spark, sf_dir))
 
 
+@query("categorical_top_values_long_ties", _categories_sql("(SELECT repeat('long text ', 8) || text AS text FROM documents)", ["text"], 20))
+def categorical_top_values_long_ties(spark, sf_dir):
+    """Values of which nearly all are long, begin alike and occur once."""
+    return P.categorical_profile(table(spark, sf_dir, "documents").select(F.concat(F.lit("long text " * 8), "text").alias("text")), k=20)
+
+
 @query("categorical_top_values_orders", _categories_sql("orders", ["o_orderstatus", "o_orderpriority"], 3))
 def categorical_top_values_orders(spark, sf_dir):
     return P.categorical_profile(table(spark, sf_dir, "orders"), k=3)

@@ -26,6 +26,10 @@ def value_text(df: DataFrame, name: str) -> Column:
     return c.cast("string")
 
 
+#: Bytes from which a string is counted by its fingerprint, and characters kept beside it.
+HEAD = 64
+
+
 def value_counts(
     df: DataFrame, cols: Sequence[str], *, compact: bool = False
 ) -> DataFrame:
@@ -44,12 +48,6 @@ def value_counts(
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, nunique): exact, missing values not counted."""
-    counted = value_counts(df, cols, compact=True)
-    return counted.groupBy("column").agg(F.count("value").alias("nunique"))
-
-
 def top_per_group(
     df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank"
 ) -> DataFrame:
@@ -62,29 +60,26 @@ def top_per_group(
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def top_values(df: DataFrame, cols: Sequence[str], k: int, *, small: bool | None = None) -> DataFrame:
-    """(column, value, n, rank): k most frequent values per column, missing included."""
-    order = [F.col("n").desc(), F.col("value").asc_nulls_last()]
-    if is_small(df) if small is None else small:
-        return top_per_group(value_counts(df, cols), ["column"], order, k)
-    best = top_per_group(value_counts(df, cols, compact=True), ["column"], order, k)
-    # Fingerprinted winners (at most k per column) get their text back from the data.
-    long_cols = [c for c in cols if type_class(df.schema[c].dataType) == "object"]
-    if not long_cols:
-        return best
-    digests = best.where(F.octet_length("value") >= 64).select("column", F.col("value").alias("key"))
+def top_values(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
+    """(column, value, n, rank): k most frequent values per column, missing included; ties by text.
+
+    Long strings are counted as fingerprints with their first characters. All rows that
+    rank by count and head among the first k, ties with row k included, get their full
+    text back before the last order, so the result is that of ranking full texts.
+    """
+    long = df.select(*[value_text(df, c).alias(c) for c in cols]).unpivot([], [col(c) for c in cols], "column", "text")
+    head = F.substring("text", 1, HEAD)
+    counted = long.groupBy("column", fingerprint(F.col("text")).alias("key"), head.alias("head")).agg(F.count(F.lit(1)).alias("n"))
+    first = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("head").asc_nulls_last())
+    best = counted.withColumn("_place", F.rank().over(first)).where(F.col("_place") <= k).drop("_place")
+    cut = F.octet_length("key") >= HEAD
     texts = (
-        df.select(*[F.when(F.octet_length(value_text(df, c)) >= 64, value_text(df, c)).alias(c) for c in long_cols])
-        .unpivot([], [col(c) for c in long_cols], "column", "text")
-        .where(F.col("text").isNotNull())
-        .select("column", F.sha2("text", 256).alias("key"), "text")
-        .join(F.broadcast(digests), ["column", "key"])
-        .groupBy("column", "key")
-        .agg(F.any_value("text").alias("text"))
+        long.where(F.octet_length("text") >= HEAD).withColumn("key", fingerprint(F.col("text")))
+        .join(best.where(cut).select("column", "key"), ["column", "key"], "left_semi")
+        .groupBy("column", "key").agg(F.any_value("text").alias("text"))
     )
-    return best.join(
-        F.broadcast(texts.withColumnRenamed("key", "value")), ["column", "value"], "left"
-    ).select("column", F.coalesce("text", "value").alias("value"), "n", "rank")
+    named = best.join(texts, ["column", "key"], "left").select("column", F.coalesce("text", "head").alias("value"), "n")
+    return top_per_group(named, ["column"], [F.col("n").desc(), F.col("value").asc_nulls_last()], k)
 
 
 def most_frequent(df: DataFrame, cols: Sequence[str]) -> DataFrame:

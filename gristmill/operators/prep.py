@@ -230,18 +230,21 @@ class OneHotVector(Estimator):
         self.drop, self.handle_unknown = drop, handle_unknown
 
     def categories(self, df: DataFrame) -> dict[str, list[str]]:
-        """Kept categories per column, sorted; the slot for infrequent values comes last."""
+        """Kept categories per column, sorted; the slot for infrequent values comes last.
+
+        The infrequent values are kept too (`infrequent`): only those share the slot, a
+        value never seen is unknown. So all values of a column have to fit MAX_VOCABULARY.
+        """
         counted = value_counts(df, self.cols).where(F.col("value").isNotNull())
-        limit = self.max_categories
-        if limit is not None:
-            counted = top_per_group(counted, ["column"], [F.col("n").desc(), F.col("value")], limit + 1)
+        limit, self.infrequent = self.max_categories, {}
         found: dict[str, list[tuple[int, str]]] = {c: [] for c in self.cols}
-        for r in bounded_values(counted, "categories; set max_categories"):
+        for r in bounded_values(counted, "categories"):
             found[r["column"]].append((-r["n"], r["value"]))
         out = {}
         for c, values in found.items():
             if limit is not None and len(values) > limit:
-                out[c] = sorted(v for _, v in sorted(values)[: limit - 1]) + [INFREQUENT]
+                ranked = [v for _, v in sorted(values)]
+                out[c], self.infrequent[c] = sorted(ranked[: limit - 1]) + [INFREQUENT], ranked[limit - 1 :]
             else:
                 out[c] = sorted(v for _, v in values)
         return out
@@ -252,9 +255,9 @@ class OneHotVector(Estimator):
         folded = {}
         for c in self.cols:
             if kept[c] and kept[c][-1] == INFREQUENT:
-                known = ", ".join(text_sql(v) for v in kept[c][:-1])
+                rare = ", ".join(text_sql(v) for v in self.infrequent[c])
                 text = category_sql(df, c)
-                folded[c] = f"CASE WHEN {text} IS NULL OR {text} IN ({known}) THEN {text} ELSE {text_sql(INFREQUENT)} END"
+                folded[c] = f"CASE WHEN {text} IN ({rare}) THEN {text_sql(INFREQUENT)} ELSE {text} END"
             else:
                 folded[c] = category_sql(df, c)
         stages.append(replacing(folded))
@@ -328,6 +331,7 @@ class PrincipalComponents(Estimator):
 # --- whole preparation -------------------------------------------------------
 
 
+# The defaults.
 @dataclass(frozen=True)
 class PrepConfig:
     numeric_cols: tuple[str, ...] | None = None
@@ -338,7 +342,6 @@ class PrepConfig:
     one_hot_drop: str | None = None
     handle_unknown: str = "ignore"
     max_ohe_categories: int | None = 200
-    high_card_threshold: int = 50
     treat_bool_as_categorical: bool = True
     target: str | None = None
 
@@ -347,7 +350,7 @@ class PrepConfig:
 PRESETS = {
     "baseline": PrepConfig(),
     "robust": PrepConfig(scaler="robust"),
-    "minimal": PrepConfig(scaler="none", max_ohe_categories=300, high_card_threshold=100),
+    "minimal": PrepConfig(scaler="none", max_ohe_categories=300),
 }
 
 
@@ -356,16 +359,16 @@ def make_config(preset: str = "baseline", **overrides) -> PrepConfig:
     return replace(PRESETS.get(preset, PRESETS["baseline"]), **overrides)
 
 
+def column_role(field: T.StructField, cfg: PrepConfig) -> str:
+    """What the preparation does with a field: 'number' or 'category', by its type alone."""
+    kind = type_class(field.dataType)
+    return "number" if kind in ("int", "float") or kind == "bool" and not cfg.treat_bool_as_categorical else "category"
+
+
 def detect_roles(df: DataFrame, cfg: PrepConfig) -> tuple[list[str], list[str]]:
-    """(numeric, categorical) columns without the target."""
-    names = [c for c in df.columns if c != cfg.target]
-    kinds = {c: type_class(df.schema[c].dataType) for c in names}
-    numeric = [c for c in names if kinds[c] in ("int", "float")]
-    other = [c for c in names if c not in numeric]
-    if not cfg.treat_bool_as_categorical:
-        numeric += [c for c in other if kinds[c] == "bool"]
-        other = [c for c in other if kinds[c] != "bool"]
-    return numeric, other
+    """(numeric, categorical) columns without the target, each in schema order."""
+    roles = [(column_role(f, cfg), f.name) for f in df.schema.fields if f.name != cfg.target]
+    return [n for role, n in roles if role == "number"], [n for role, n in roles if role == "category"]
 
 
 def build_preprocessor(df: DataFrame, cfg: PrepConfig | None = None, out: str = "features") -> tuple[Pipeline, list[str], list[str]]:

@@ -14,10 +14,16 @@ from ..core import chunks, clean_nan, col, numeric_columns, percent, require_col
 
 # What counts as a number, and the date formats with their shapes.
 NUMBER = r"^-?[0-9]+(\.[0-9]+)?$"
+PARSABLE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 NUMBER_SHARE = 0.9
 DATE_SHARE = 0.8
 ISO_DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T].*)?$"
 DATE_FORMATS = [
+    ("M/d/yyyy", r"^([0-9]/[0-9]{1,2}|[0-9]{2}/[0-9])/[0-9]{4}$"),
+    ("M/d/yyyy H:mm", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}$"),
+    ("M/d/yyyy H:mm:ss", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$"),
+    ("MMM d, yyyy", r"^[A-Z][a-z]{2} [0-9]{1,2}, [0-9]{4}$"),
+    ("MMMM d, yyyy", r"^[A-Z][a-z]{3,8} [0-9]{1,2}, [0-9]{4}$"),
     ("yyyy/MM/dd", r"^[0-9]{4}/[0-9]{2}/[0-9]{2}$"),
     ("MM/dd/yyyy", r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$"),
     ("dd.MM.yyyy", r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$"),
@@ -130,9 +136,9 @@ def inferred_types(df: DataFrame, *, try_datetime: bool = True) -> dict[str, str
 def infer_and_coerce(df: DataFrame, *, try_datetime: bool = True) -> DataFrame:
     """Turn text columns into numbers or timestamps where most values allow it."""
     found = inferred_types(df, try_datetime=try_datetime)
-    # a value that is not a plain number becomes NULL
+    # what does not parse becomes NULL
     casts = {
-        c: F.when(col(c).rlike(NUMBER), col(c).try_cast("double")) if kind == "number" else parse_date(col(c))
+        c: F.when(F.trim(col(c)).rlike(PARSABLE), F.trim(col(c)).try_cast("double")) if kind == "number" else parse_date(col(c))
         for c, kind in found.items()
     }
     return df.withColumns(casts) if casts else df

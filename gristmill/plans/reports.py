@@ -137,8 +137,8 @@ def _labelled(df: DataFrame, section: str, name: str) -> DataFrame:
                      F.col("n").cast("double").alias("value"), col(name).alias("text"))
 
 
-def image_report(files: DataFrame) -> DataFrame:
-    """Report on image files given as (path, class, content)."""
+def image_report(files: DataFrame, root: str | None = None) -> DataFrame:
+    """Report on image files given as (path, class, content); sample paths are relative to root."""
     headers = I.image_headers(files)
     return _collect(files.sparkSession, {
         "classes": lambda: _tidy(I.class_count(files), "classes"),
@@ -147,7 +147,7 @@ def image_report(files: DataFrame) -> DataFrame:
         "integrity": lambda: _tidy(I.image_integrity(headers), "integrity"),
         "sizes": lambda: _tidy(I.image_sizes(headers), "sizes", F.col("column")),
         "mode_counts_top": lambda: _labelled(I.image_modes(headers), "mode_counts_top", "mode"),
-        "sample_paths": lambda: I.sample_paths(files).select(
+        "sample_paths": lambda: I.sample_paths(files if root is None else files.withColumn("path", S.relative_path(F.col("path"), root))).select(
             F.lit("sample_paths").alias("section"), F.lit(None).cast("string").alias("column"), F.lit("path").alias("metric"),
             F.lit(None).cast("double").alias("value"), F.col("path").alias("text")),
     })
@@ -155,7 +155,7 @@ def image_report(files: DataFrame) -> DataFrame:
 
 def image_folder_report(spark: SparkSession, root: str) -> DataFrame:
     files = S.with_content(spark, root, S.IMAGE_EXTENSIONS)
-    return image_report(files.withColumn("class", S.class_of(F.col("path"), root)))
+    return image_report(files.withColumn("class", S.class_of(F.col("path"), root)), root)
 
 
 def image_manifest_report(

@@ -22,7 +22,7 @@ from ..operators.split import parts, random_split
 from ..operators.textprep import fit_term_vectors
 
 # Hyperparameters of the candidates.
-TREES, DEPTH, ROUNDS, RATE, SUBSAMPLE, SEED, ITERATIONS = 300, 30, 400, 0.07, 0.9, 42, 400
+TREES, DEPTH, ROUNDS, RATE, SUBSAMPLE, COLUMNS, SEED, ITERATIONS = 300, 30, 400, 0.07, 0.9, 0.9, 42, 400
 
 
 def candidates(
@@ -36,7 +36,7 @@ def candidates(
             "RandomForest": RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED),
         }
         if boosted:
-            gbt = GBTClassifier(maxIter=rounds, stepSize=RATE, subsamplingRate=SUBSAMPLE, seed=SEED)
+            gbt = GBTClassifier(maxIter=rounds, stepSize=RATE, subsamplingRate=SUBSAMPLE, featureSubsetStrategy=str(COLUMNS), seed=SEED)
             out["BoostedTrees"] = gbt if classes <= 2 else OneVsRest(classifier=gbt)
         return out
     out = {
@@ -44,7 +44,7 @@ def candidates(
         "RandomForestReg": RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=SEED),
     }
     if boosted:
-        out["BoostedTreesReg"] = GBTRegressor(maxIter=rounds, stepSize=RATE, subsamplingRate=SUBSAMPLE, seed=SEED)
+        out["BoostedTreesReg"] = GBTRegressor(maxIter=rounds, stepSize=RATE, subsamplingRate=SUBSAMPLE, featureSubsetStrategy=str(COLUMNS), seed=SEED)
     return out
 
 
@@ -127,7 +127,7 @@ def train_text_classifier(
     ready = PipelineModel([vectors, *before]).transform(train).select("features", (F.col("label") + 0.0).alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         estimator = NaiveBayes(modelType="multinomial", smoothing=1.0) if len(labels) > 2 else LinearSVC(
-            maxIter=iterations, regParam=1.0 / max(ready.count(), 1)
+            maxIter=iterations, regParam=1.0 / max(ready.count(), 1), standardization=False
         )
         fitted = estimator.fit(ready)
     finally:

@@ -8,7 +8,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +19,6 @@ from . import arrow_ipc
 # Delimiters tried, and the size of the text sample they are tried on.
 DELIMITERS = [",", ";", "\t", "|", ":"]
 SAMPLE_BYTES = 64_000
-SAMPLE_LINES = 2_000
 
 
 def suffix(path: str) -> str:
@@ -30,14 +29,18 @@ def is_missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
 
 
+def first_bytes(spark: SparkSession, path: str, sample_bytes: int) -> list[str]:
+    """First lines up to sample_bytes in all, and at least one; lines are cut in the plan."""
+    lines = spark.read.text(path).select(F.substring("value", 1, sample_bytes).alias("value")).limit(sample_bytes)
+    size = F.octet_length("value") + 1
+    lines = lines.withColumn("n", F.monotonically_increasing_id())
+    total = F.sum(size).over(Window.orderBy("n"))  # over at most sample_bytes short rows
+    return [r["value"] for r in lines.withColumn("upto", total).where((F.col("upto") <= sample_bytes) | (F.col("upto") == size)).orderBy("n").collect()]
+
+
 def sniff_delimiter(spark: SparkSession, path: str, sample_bytes: int = SAMPLE_BYTES) -> str:
     """Delimiter that splits the first lines most evenly, else the most frequent one."""
-    lines, size = [], 0
-    for row in spark.read.text(path).limit(SAMPLE_LINES).collect():
-        size += len(row[0].encode()) + 1
-        if lines and size > sample_bytes:
-            break
-        lines.append(row[0])
+    lines = first_bytes(spark, path, sample_bytes)
     lines = [line for line in lines if line.strip()]
     counts = {d: [line.count(d) for line in lines] for d in DELIMITERS}
 
@@ -55,12 +58,16 @@ def sniff_delimiter(spark: SparkSession, path: str, sample_bytes: int = SAMPLE_B
 
 
 def read_csv(
-    spark: SparkSession, path: str, *, sep: str | None = None, schema: T.StructType | None = None, multiline: bool = False
+    spark: SparkSession, path: str, *, sep: str | None = None, schema: T.StructType | None = None, multiline: bool | None = None
 ) -> DataFrame:
     """CSV with a header; types are inferred unless a schema is given.
 
-    multiline allows line breaks inside quotes, at the price of one task per file.
+    multiline allows line breaks inside quotes, at the price of one task per file. Not
+    given, a scan tells whether a line has an odd number of quotes; only then it is needed.
     """
+    if multiline is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multiline = bool(spark.read.text(path).where(quotes % 2 == 1).limit(1).count())
     sep = sniff_delimiter(spark, path) if sep is None else sep
     reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multiline)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)

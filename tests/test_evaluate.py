@@ -123,6 +123,12 @@ def test_retrieval_in_several_passes(spark):
             assert np.argsort(-sims[int(r["query_id"])])[r["rank"] - 1] == r["id"]
 
 
+def test_retrieval_with_text_ids_and_zero_vectors(spark):
+    vec = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("z", [0.0, 0.0]), ("n", None)], "id string, v array<double>")
+    got = retrieve.top_k_similar(vec, "id", "v", vec, "id", "v", 5).collect()
+    assert sorted((r["query_id"], r["id"], r["rank"]) for r in got) == [("a", "a", 1), ("a", "b", 2), ("b", "a", 2), ("b", "b", 1)]
+
+
 def test_shuffled_column_in_buckets(spark, monkeypatch):
     monkeypatch.setattr(explain, "ROWS_PER_BUCKET", 50)
     df = spark.range(2000).selectExpr("id", "id as v")

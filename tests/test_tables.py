@@ -89,9 +89,13 @@ def test_outlier_fences(spark):
     assert profile.iqr_outliers(df, fence="reference").first()["outliers_high"] == 4
 
 
-def test_long_values_come_back(spark, monkeypatch):
-    """Plan of large inputs: long strings are counted by fingerprint, winners get their text back."""
-    monkeypatch.setattr(frequency, "is_small", lambda df: False)
+def test_tied_long_values_rank_by_text(spark):
+    df = spark.createDataFrame([("é" * 70 + c,) for c in "hgfedcba"], "t string")
+    assert [r["value"][-1] for r in frequency.top_values(df, ["t"], 3).orderBy("rank").collect()] == ["a", "b", "c"]
+
+
+def test_long_values_come_back(spark):
+    """Long strings are counted by fingerprint, winners get their text back."""
     text = "x" * 200
     df = spark.createDataFrame([(text, "a")] * 3 + [("short", "b"), (None, "b")], "t string, u string")
     got = [(r["column"], r["value"], r["n"]) for r in frequency.top_values(df, ["t", "u"], 2).orderBy("column", "rank").collect()]

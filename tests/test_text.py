@@ -84,13 +84,11 @@ def test_cleaning_switches(spark):
     assert textprep.clean_text(df, "t", cfg=cfg).first()["clean_text"] == "full width text can not wait mail or now"
 
 
-def test_lemma_tables_of_both_sizes(spark, monkeypatch):
+def test_lemmas_keep_order_and_empty_lists(spark):
     df = spark.createDataFrame([(1, ["mice", "ran", "mice"]), (2, []), (3, None)], "id long, w array<string>")
     lemmas = spark.createDataFrame([("mice", "mouse"), ("ran", "run")], "token string, lemma string")
-    small = {r["id"]: r["w"] for r in textprep.lemmatize(df, "w", lemmas).collect()}
-    monkeypatch.setattr(textprep, "LEMMA_ROWS", 1)
-    large = {r["id"]: r["w"] for r in textprep.lemmatize(df, "w", lemmas, key="id").collect()}
-    assert small == large == {1: ["mouse", "run", "mouse"], 2: [], 3: None}
+    found = {r["id"]: r["w"] for r in textprep.lemmatize(df, "w", lemmas).collect()}
+    assert found == {1: ["mouse", "run", "mouse"], 2: [], 3: None}
 
 
 def test_tfidf_against_definition(spark):
