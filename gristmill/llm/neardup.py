@@ -22,12 +22,9 @@ SIMILAR = 75  # per cent
 #: Pairs whose corrected estimate is below are not checked in full. Estimates at 0.75 deviate by at
 #: most 0.043, for small sets too: their registers are borrowed evenly from all they have.
 ESTIMATE_LEAST = 0.5
+#: Shingles that more members lack in their centre are counted to the centre.
+USUAL = 32
 MASK = (1 << 64) - 1
-#: For joins of rows with suffixes a and b: a pair is made in the first band it shares, if its
-#: registers, collisions included, agree often enough.
-FIRST_SHARED = "array_position(zip_with(bands_a, bands_b, (x, y) -> x = y), true) - 1 = band"
-AGREEING = "size(filter(zip_with(registers_a, registers_b, (x, y) -> x = y), same -> same))"
-LIKELY = f"{AGREEING} >= {ESTIMATE_LEAST * REGISTERS}"
 
 _MULTIPLIERS = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") | 1 for i in range(WORDS)], np.uint64)
 #: Each empty bucket borrows from the first filled one of its own fixed order.
@@ -141,6 +138,26 @@ def _confirm(batches: Batches) -> Batches:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _apart_from_centre(batches: Batches) -> Batches:
+    """Per member: the number of shingles it shares with its centre, and hashes of the others."""
+    known, seen = WordHashes(), (None, None)
+    for batch in batches:
+        common, beyond = [], []
+        for centre, left, right in zip(batch.column("centre").to_pylist(), text_bytes(batch.column("text_a")), text_bytes(batch.column("text_b"))):
+            if seen[0] != centre:
+                seen = (centre, shingle_hashes(left.lower().split(), known))
+            mine = shingle_hashes(right.lower().split(), known)
+            other = np.setdiff1d(mine, seen[1], assume_unique=True)
+            common.append(len(mine) - len(other))
+            beyond.append(other.view(np.int64))
+            if len(known) > 500_000:
+                known.clear()
+        yield batch_of(_APART, *(batch.column(c) for c in ("centre", "id", "n", "label")), common, beyond)
+
+
+_APART = pa.schema([(c, pa.int64()) for c in ("centre", "id", "n", "label", "common")] + [("beyond", pa.list_(pa.int64()))])
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -152,8 +169,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bucket mates (edits of one text agree with that text more than with each
     other), and its smallest one, so a large group of copies costs as many pairs
     as it has members. Members that are then still in different components are
-    held against each other, once a pair: in the first bucket they share, where
-    pairs with too few equal registers end before they become rows.
+    paired by shingles beyond their centre and what is usual around it: a pair
+    that shares less of those than a link takes must have others in common, and
+    one among the first n - (75 % of n) + 1 in a fixed order of each. Only pairs
+    that the usual shingles alone could link are paired without one.
 
     Null text and text without words: n_shingles 0, its own component. Null
     doc_id: it counts for links but not for the smallest id; alone, it keeps null.
@@ -171,7 +190,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         ).select(F.monotonically_increasing_id().alias("id"), "set_key", "least", "n", "bands", "th.th1", "th.th2"),
         "classes",
     )
-    entries = classes.select("id", "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "band", "id", "n")
+    entries = classes.select("id", "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "id", "n")
     buckets = entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     members = materialize(entries.join(buckets, "bucket"), "members")
     ranked = members.join(members.groupBy("id").agg(F.sum("members").alias("mates")), "id")
@@ -198,18 +217,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(confirmed(first), "confirmed")
     labels = components(links)
 
-    placed = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", "n", F.coalesce("label", "id").alias("label"))
+    placed = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
     apart = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-    lanes = F.flatten(F.transform("bands", lambda x: F.array(*[F.shiftright(x, 16 * i).bitwiseAND(65535) for i in range(PER_BAND)])))
-    signatures = classes.select("id", "bands", lanes.cast("array<int>").alias("registers"))
-    placed = materialize(placed.join(apart, "bucket").join(signatures, "id"), "apart")
-    left, right = (
-        placed.select("bucket", "band", *[F.col(c).alias(f"{c}_{e}") for c in ("id", "n", "label", "bands", "registers")])
-        for e in "ab"
-    )
-    rest = left.join(right.drop("band"), "bucket").where(
-        f"label_a < label_b and 100 * least(n_a, n_b) >= {SIMILAR} * greatest(n_a, n_b) and {FIRST_SHARED} and {LIKELY}"
+    placed = placed.join(apart.join(centres, "bucket"), "bucket").where("id <> centre").select("centre", "id", "n", "label").distinct()
+    words = lambda end, name: texts.select(F.col("id").alias(end), F.col("text").alias(name))
+    told = placed.join(words("id", "text_b"), "id").join(words("centre", "text_a"), "centre")
+    told = map_arrow(told, _apart_from_centre, "centre long, id long, n long, label long, common long, beyond array<bigint>")
+    told = materialize(told, "apart")
+    other = told.select("centre", "id", "n", "label", "common", F.explode_outer("beyond").alias("shingle"))
+    usual = other.groupBy("centre", "shingle").agg(F.count("*").alias("holders")).where(f"holders > {USUAL}")
+    told = materialize(
+        other.join(usual, ["centre", "shingle"], "left").groupBy("centre", "id", "n", "label").agg(
+            (F.first("common") + F.count("holders")).alias("common"),
+            F.array_sort(F.collect_list(F.expr("if(holders is null, shingle, null)"))).alias("beyond"),
+        ).withColumn("beyond", F.slice("beyond", F.lit(1), (F.col("n") - F.ceil(SIMILAR * F.col("n") / 100) + 1).cast("int"))),
+        "apart",
     )
+    kept = ("id", "n", "label", "common")
+    side = lambda end, *more: told.select("centre", *more, *[F.col(c).alias(f"{c}_{end}") for c in kept])
+    differ = f"label_a < label_b and 100 * least(n_a, n_b) >= {SIMILAR} * greatest(n_a, n_b)"
+    covered = f"{100 + SIMILAR} * least(common_a, common_b) >= {SIMILAR} * (n_a + n_b)"
+    shingle = F.explode("beyond").alias("shingle")
+    sharing = side("a", shingle).join(side("b", shingle), ["centre", "shingle"]).where(f"{differ} and not ({covered})")
+    within = [side(end).where(f"100 * common_{end} >= {SIMILAR} * n_{end}") for end in "ab"]
+    inside = within[0].join(within[1], "centre").where(f"{differ} and {covered}")
+    rest = sharing.select("id_a", "id_b").unionByName(inside.select("id_a", "id_b"))
     second = materialize(pairs(rest.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).join(first, ["a", "b"], "left_anti"), "pairs")
     more = materialize(confirmed(second), "confirmed")
     labels = components(links.unionByName(more))
