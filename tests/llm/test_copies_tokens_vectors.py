@@ -74,6 +74,29 @@ def test_near_duplicates(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in neardup.near_duplicates(nulls).collect()) == [(0, 0, True), (0, 3, False), (3, 3, True), (3, 3, True)]
 
 
+@pytest.mark.parametrize("usual", [0, 3, 32])
+def test_near_duplicates_beyond_centres(spark, monkeypatch, usual):
+    """Edits of one text around the limit, edits of edits and deletions: the second round loses no link."""
+    monkeypatch.setattr(neardup, "USUAL", usual)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    base, rows = [word() for _ in range(150)], []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(4, 11)):
+            w[rng.randrange(len(w))] = word()
+        if i % 3 == 0:
+            w = w[: rng.randrange(105, 150)]
+        rows.append((3 * i, " ".join(w)))
+        if i % 2:
+            w[rng.randrange(len(w))] = word()
+            rows.append((3 * i + 1, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs).collect()}
+    assert got == plain_components(rows)
+    assert 2 < len({c for _, c in got.values()}) < len(rows)
+
+
 def test_estimate_is_near(spark):
     rng = np.random.default_rng(3)
     for shared in (0.3, 0.75, 0.95):
