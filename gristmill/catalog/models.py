@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..core import new_path
 from ..operators import explain as X
 from ..operators.profile import autodetect_target
 from ..operators.split import parts, random_split
@@ -51,6 +52,46 @@ def linear_regression_predictions(spark, sf_dir):
     return rounded(M.score_table(M.PipelineModel([prepared, fitted]), rows).select("l_orderkey", "l_linenumber", "prediction"), 3)
 
 
+@query("saved_model_scores", """
+SELECT round(regr_r2(l_extendedprice, l_quantity), 3) AS r2, round(avg(abs(l_extendedprice - a - b * l_quantity)), 3) AS mae
+FROM lineitem, (SELECT regr_intercept(l_extendedprice, l_quantity) AS a, regr_slope(l_extendedprice, l_quantity) AS b FROM lineitem)""")
+def saved_model_scores(spark, sf_dir):
+    """A linear model saved, loaded and scored on the rows it was fitted to."""
+    rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice")
+    pipeline, _, _ = M.build_preprocessor(rows.drop("l_extendedprice"), M.make_config(numeric_cols=("l_quantity",), categorical_cols=()))
+    prepared = pipeline.fit(rows)
+    fitted = M.LinearRegression(labelCol="l_extendedprice").fit(prepared.transform(rows))
+    path = new_path(spark, "model")
+    M.save_model(M.PipelineModel([prepared, fitted]), path)
+    found = M.full_evaluation(path, rows, "l_extendedprice").scores
+    wide = found.groupBy().pivot("metric", ["r2", "mae"]).agg(F.first("value"))
+    return rounded(wide, 3)
+
+
+def _segment_model(spark, sf_dir):
+    """A classifier that can be right on every row, saved; and the rows."""
+    rows = table(spark, sf_dir, "customer").select("c_mktsegment", F.upper("c_mktsegment").alias("named"))
+    board = M.run_leaderboard(rows, rows, "c_mktsegment", boosted=False)
+    path = new_path(spark, "model")
+    M.save_model(board.models[board.best], path)
+    return M.full_evaluation(path, rows, "c_mktsegment")
+
+
+@query("saved_model_confusion", """
+WITH s AS (SELECT DISTINCT c_mktsegment AS v FROM customer WHERE c_mktsegment IS NOT NULL)
+SELECT a.v AS y_true, b.v AS y_pred, (SELECT count(*) FROM customer WHERE c_mktsegment = a.v AND a.v = b.v) AS n FROM s a, s b""")
+def saved_model_confusion(spark, sf_dir):
+    return _segment_model(spark, sf_dir).confusion
+
+
+@query("saved_model_report", """
+SELECT c_mktsegment AS label, 1.0::double AS precision, 1.0::double AS recall, 1.0::double AS f1, count(*) AS support FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1
+UNION ALL SELECT 'accuracy', NULL, NULL, 1.0::double, count(c_mktsegment) FROM customer
+UNION ALL SELECT unnest(['macro avg', 'weighted avg']), 1.0::double, 1.0::double, 1.0::double, (SELECT count(c_mktsegment) FROM customer)""")
+def saved_model_report(spark, sf_dir):
+    return rounded(_segment_model(spark, sf_dir).report)
+
+
 @query("permutation_importance")
 def permutation_importance(spark, sf_dir):
     board, _, test = _board(spark, sf_dir, boosted=False)

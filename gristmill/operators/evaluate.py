@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,11 +168,16 @@ def class_labels(df: DataFrame, y_true: str, y_pred: str | None = None) -> list:
     return [r["l"] for r in bounded_values(seen.where(F.col("l").isNotNull()).distinct().orderBy("l"), "classes", MAX_CLASSES)]
 
 
+def probabilities(df: DataFrame, proba: str) -> Column:
+    """The probability column; vectors of a fitted model become arrays."""
+    return vector_to_array(col(proba)) if isinstance(df.schema[proba].dataType, VectorUDT) else col(proba)
+
+
 def positive_probability(df: DataFrame, proba: str, labels: Sequence, pos_label=None) -> Column:
     """Probability of the positive class: `pos_label`, else the second label."""
-    if isinstance(df.schema[proba].dataType, T.ArrayType):
+    if isinstance(df.schema[proba].dataType, (T.ArrayType, VectorUDT)):
         pos = labels[1] if pos_label is None else pos_label
-        return F.get(col(proba), F.lit(list(labels).index(pos))).cast("double")
+        return F.get(probabilities(df, proba), F.lit(list(labels).index(pos))).cast("double")
     return col(proba).cast("double")
 
 
@@ -183,7 +190,8 @@ def log_loss(df: DataFrame, y_true: str, proba: str, labels: Sequence | None = N
         p_true = F.when(col(y_true) == F.lit(pos), p).otherwise(1.0 - p)
     else:
         index = F.array_position(F.array(*map(F.lit, labels)), col(y_true)) - 1
-        p_true = F.when(F.size(col(proba)) == len(labels), F.get(col(proba), index.cast("int"))).cast("double")
+        each = probabilities(df, proba)
+        p_true = F.when(F.size(each) == len(labels), F.get(each, index.cast("int"))).cast("double")
     # greatest and least pass over NULLs, which must stay NULL here
     p_true = F.when(p_true.isNotNull(), F.least(F.greatest(p_true, F.lit(EPS)), F.lit(1.0 - EPS)))
     return df.where(col(y_true).isNotNull()).agg(json_safe(F.avg(-F.ln(p_true))).alias("log_loss"))
@@ -201,12 +209,13 @@ def score_table(
             (col(y_true) == F.lit(pos)).alias("hit"),
         )
     else:
+        each = probabilities(df, proba)
         entries = F.array(*[
-            F.struct(F.lit(str(v)).alias("label"), F.get(col(proba), F.lit(i)).cast("double").alias("score"),
+            F.struct(F.lit(str(v)).alias("label"), F.get(each, F.lit(i)).cast("double").alias("score"),
                      (col(y_true) == F.lit(v)).alias("hit"))
             for i, v in enumerate(labels)
         ])
-        long = df.where(F.size(col(proba)) == len(labels)).select(F.inline(entries))
+        long = df.where(F.size(each) == len(labels)).select(F.inline(entries))
     return (
         long.where(F.col("score").isNotNull() & F.col("hit").isNotNull())
         .groupBy("label", (F.col("score") + 0.0).alias("score"))
@@ -353,10 +362,11 @@ def regression_scores(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
 
 
 def evaluate_supervised(
-    df: DataFrame, y_true: str, y_pred: str, *, proba: str | None = None, labels: Sequence | None = None, pos_label=None
+    df: DataFrame, y_true: str, y_pred: str, *, proba: str | None = None, labels: Sequence | None = None, pos_label=None,
+    task: str | None = None,
 ) -> DataFrame:
-    """Tidy (metric, value): the scores that fit the task."""
-    if infer_task(df, y_true) == "regression":
+    """Tidy (metric, value): the scores that fit the task, told by the truth unless given."""
+    if (task or infer_task(df, y_true)) == "regression":
         frames = [regression_scores(df, y_true, y_pred)]
     else:
         frames = [classification_scores(df, y_true, y_pred, pos_label=pos_label)]

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core import col, quoted
-from ..operators.evaluate import class_labels, classification_scores, confusion_matrix, regression_scores
+from ..operators.evaluate import (
+    class_labels, classification_report, classification_scores, confusion_matrix, evaluate_supervised, regression_scores,
+)
 from ..operators.prep import PrepConfig, build_preprocessor, make_config
 from ..operators.profile import is_classification_target
 from ..operators.quality import drop_missing
@@ -157,7 +159,33 @@ def evaluate_model(path_or_model: str | PipelineModel, df: DataFrame, target: st
     return regression_scores(scored, target, "prediction").select("r2", "mae")
 
 
+@dataclass(frozen=True)
+class ModelEvaluation:
+    scores: DataFrame  # (metric, value)
+    confusion: DataFrame | None
+    report: DataFrame | None
+
+
+def full_evaluation(path_or_model: str | PipelineModel, df: DataFrame, target: str) -> ModelEvaluation:
+    """All scores that fit the model, with confusion matrix and class report of a classifier.
+
+    A classifier names its classes in the model, so probabilities are read in that order;
+    AUC, average precision and log loss are left out where it gives no probabilities.
+    """
+    model = PipelineModel.load(path_or_model) if isinstance(path_or_model, str) else path_or_model
+    scored = model.transform(df)
+    names = next((s.getLabels() for s in model.stages if isinstance(s, IndexToString)), None)
+    if names is None:
+        return ModelEvaluation(evaluate_supervised(scored, target, "prediction", task="regression"), None, None)
+    given = ["probability"] if "probability" in scored.columns else []
+    scored = scored.select(col(target).cast("string").alias("y_true"), "predicted", *given)
+    scores = evaluate_supervised(scored, "y_true", "predicted", proba=given[0] if given else None, labels=names, task="classification")
+    return ModelEvaluation(
+        scores, confusion_matrix(scored, "y_true", "predicted"), classification_report(scored, "y_true", "predicted")
+    )
+
+
 __all__ = [
-    "Leaderboard", "TextClassifier", "candidates", "evaluate_model", "run_leaderboard", "save_model",
-    "score_table", "train_text_classifier",
+    "Leaderboard", "ModelEvaluation", "TextClassifier", "candidates", "evaluate_model", "full_evaluation",
+    "run_leaderboard", "save_model", "score_table", "train_text_classifier",
 ]

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +24,13 @@ def test_classification_board_and_saved_scoring(spark, rows, tmp_path):
     assert board.table.first()["accuracy"] == 1.0
     training.save_model(board.models[board.best], str(tmp_path / "m"))
     assert training.evaluate_model(str(tmp_path / "m"), test, "big").first()["accuracy"] == 1.0
+    full = training.full_evaluation(str(tmp_path / "m"), test, "big")
+    found = {r["metric"]: r["value"] for r in full.scores.collect()}
+    assert found["accuracy"] == found["auc"] == found["ap"] == 1.0
+    told = training.score_table(str(tmp_path / "m"), test).select("big", "probability").collect()
+    losses = [-math.log(r["probability"][["high", "low"].index(r["big"])]) for r in told]
+    assert found["log_loss"] == pytest.approx(sum(losses) / len(losses))
+    assert full.confusion.where("y_true = y_pred").agg({"n": "sum"}).first()[0] == 150 and full.report.count() == 5
     card = reports.model_card(train, test, "big", board.table, board.best).first()["card"]
     assert '"test_rows":150' in card and '"accuracy":1.0' in card
     drops = {r["feature"]: r["drop"] for r in explain.permutation_importance(
@@ -35,6 +44,8 @@ def test_regression_board(rows):
     train, test = split.parts(split.random_split(rows.drop("big", "noise"), ["id"], 0.25))
     board = training.run_leaderboard(train.drop("id"), test, "num", task="regression", boosted=False, **LIGHT)
     assert board.best == "Linear" and board.table.first()["r2"] == pytest.approx(1.0)
+    full = training.full_evaluation(board.models["Linear"], test, "num")
+    assert full.confusion is None and full.scores.where("metric = 'r2'").first()["value"] == pytest.approx(1.0)
 
 
 @pytest.mark.parametrize("classes", [2, 3])
