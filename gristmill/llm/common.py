@@ -57,8 +57,8 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a long, b long) links: rows (node, label), label the smallest node.
 
     Nodes without a link to another node do not appear. Alternates the two star
-    steps until nothing changes; every step is a partial minimum and a join that
-    adaptive execution can split, so a node with very many links is no hot spot.
+    steps until nothing changes. The links of one node meet in one task, as (node,
+    node) numbers: the join with the minimum per node is not split (see README).
     Each round is written to the shared folder, so lineage stays short.
     """
     links = materialize(
