@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.core import materialize
+from gristmill.core import bounded_values, materialize
 from gristmill.llm.common import Batches, batch_of, map_arrow
 
 UNKNOWN = "und"
 #: Training reads about this many documents of each language (all, if fewer): the bound of the sample.
 DOCUMENTS_PER_LANGUAGE = 1_500
-#: A language needs a row in this share of the labelled ones, so a table of labels stays small.
-LEAST_SHARE = 1e-4
+#: More labels than this are an error: the driver holds a column of piece chances for each.
+MOST_LANGUAGES = 10_000
 EM_ROUNDS = 4
 #: Words are scored in parts of at most this many characters, so no product underflows.
 PART = 32
@@ -134,15 +134,15 @@ def _count_words(batches: Batches) -> Batches:
 def train(labelled: DataFrame, pieces: list[str], per_language: int = DOCUMENTS_PER_LANGUAGE, rounds: int = EM_ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages, and chance of each piece (rows; the last row: any other character) in each.
 
-    Reads about per_language documents of each language, picked by a hash of their
-    text, equal texts once. Word counts stay distributed; each round of expectation and
+    Every language with a labelled text is learned, however rare; more than MOST_LANGUAGES
+    are an error. Reads about per_language different texts of each language (all, if fewer),
+    picked by a hash of the text, so copies neither count nor thin the sample. Word counts stay distributed; each round of expectation and
     maximisation adds up expected piece counts in the tasks, and only the table of
     pieces by languages comes to the driver.
     """
     labelled = labelled.where("text is not null and lang is not null").select("text", "lang")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().where(F.col("count") >= 1).collect()}
-    total = sum(sizes.values())
-    sizes = {k: n for k, n in sizes.items() if n >= LEAST_SHARE * total}
+    different = labelled.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").count()
+    sizes = {r["lang"]: r["count"] for r in bounded_values(different, "languages", MOST_LANGUAGES)}
     langs = sorted(sizes)
     if not langs:
         return [], np.empty((0, 0))
@@ -171,8 +171,7 @@ def train(labelled: DataFrame, pieces: list[str], per_language: int = DOCUMENTS_
             piece, lang = np.nonzero(counts)
             yield batch_of(schema, piece.astype(np.int32), lang.astype(np.int32), counts[piece, lang])
 
-        known_parts = counted.where(F.col("lang").isin(langs)).select("lang", "part", "n")
-        summed = map_arrow(known_parts, expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        summed = map_arrow(counted, expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         chances = np.full(chances.shape, 0.01)
         np.add.at(chances, (summed["piece"].to_numpy(), summed["lang"].to_numpy()), summed["n"].to_numpy())
     chances /= chances.sum(axis=0)

@@ -57,6 +57,18 @@ def test_language_cases(spark, pieces):
     assert langid.identify(asked.limit(0), model, pieces).count() == 0
 
 
+def test_rare_languages_and_copies(spark, pieces, monkeypatch):
+    common = spark.range(20_001).select(F.lit("the cat and the dog are in the house of the king").alias("text"), F.lit("en").alias("lang"))
+    rare = spark.createDataFrame([("der hund und die katze sind nicht in dem haus des königs", "de"), ("the king had a quick brown fox", "en")], "text string, lang string")
+    model = langid.train(common.union(rare), pieces, per_language=2)
+    assert model[0] == ["de", "en"]
+    asked = spark.createDataFrame([(1, "der hund und das haus"), (2, "quick brown fox"), (3, "the house and the cat")], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.identify(asked, model, pieces).orderBy("doc_id").collect()] == ["de", "en", "en"]
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(rare, pieces)
+
+
 def test_held_out_accuracy(spark, pieces):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = langid.train(langid.training_rows(docs), pieces)
