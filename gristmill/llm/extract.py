@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,10 +42,20 @@ STOPS_LEAST = 0.1
 
 _ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|select|button|object|canvas|math)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
-    rf"|<(/?)([a-z][a-z0-9:-]*)({_ATTRIBUTES})>|<(/?)([a-z][a-z0-9:-]*)([^<>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(/?)([a-z][a-z0-9:-]*)({_ATTRIBUTES})>|<(/?)([a-z][a-z0-9:-]*)([^<>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: Elements whose text is left out. Browsers read the first up to their end tag, or the end of the page, as plain characters.
+RAW = frozenset("script style noscript textarea title iframe".split())
+SKIPPED = frozenset("template svg math select button object canvas".split())
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+SPACED = frozenset("button select textarea iframe title".split())
+#: Start tags of HTML that end svg and math, but inside an element that may hold HTML.
+BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+INLINE = frozenset("a b code em font i ins label p s small span strong sub sup u".split())
+TABLE = frozenset("caption table tbody tfoot thead tr td th".split())
+NO_CONTENT = frozenset("area base br col embed hr img input link meta source track wbr".split())
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -55,19 +66,59 @@ GOOD, BAD, OPEN = "good", "bad", "open"
 class Block:
     """Text between two block borders, with what the rules ask about it."""
 
-    __slots__ = ("texts", "linked", "boilerplate", "root", "parent", "heading", "text", "label")
+    __slots__ = ("texts", "linked", "boilerplate", "hints", "root", "parent", "heading", "text", "label")
 
-    def __init__(self, boilerplate: bool, root: int, parent: int, heading: bool):
+    def __init__(self, boilerplate: bool, hints: frozenset, root: int, parent: int, heading: bool):
         self.texts: list[str] = []
         self.linked: list[str] = []
-        self.boilerplate, self.root, self.parent, self.heading = boilerplate, root, parent, heading
+        self.boilerplate, self.hints, self.root, self.parent, self.heading = boilerplate, hints, root, parent, heading
+
+
+class Skipped:
+    """An element whose text is left out, until it ends where browsers end it."""
+
+    def __init__(self, name: str):
+        self.name, self.inside = name, Counter()
+
+    def foreign(self) -> bool:
+        return self.name in ("svg", "math") and not any(self.inside[n] for n in HOLDS_HTML)
+
+    def ends(self, name: str, closing: bool, attributes: str, enclosing: set[str], in_p: bool) -> tuple[bool, bool]:
+        """Whether the element ends at this tag, and whether the tag still counts for what encloses it."""
+        own = self.name
+        if closing:
+            if self.inside[name]:
+                self.inside[name] -= 1
+                return False, False
+            if name == own:
+                return True, False
+            if own in ("svg", "math", "canvas"):
+                over = name in enclosing or name in INLINE or name == "br"
+            elif own == "select":
+                over = name in TABLE and "table" in enclosing
+            else:
+                over = own == "button" and name in enclosing
+            return over, over
+        if own == "select" and (name in ("select", "input", "textarea") or name in TABLE and "table" in enclosing):
+            return True, name != "select"
+        if own == "canvas" and in_p and name in BLOCKS and not self.inside["p"]:
+            return True, True
+        if self.foreign() and name in BREAKS:
+            return True, True
+        if own == "button" and name == own:
+            self.inside.clear()
+        elif name not in NO_CONTENT and not (self.foreign() and attributes.endswith("/")):
+            self.inside[name] += 1
+        return False, False
+
+
+def hidden(attributes: str) -> bool:
+    return bool(attributes) and bool(HIDDEN.search(attributes))
 
 
 def hinted(attributes: str, in_root: bool) -> bool:
     if not attributes:
         return False
-    if HIDDEN.search(attributes):
-        return True
     names = {p.lower() for m in NAMES.finditer(attributes) for p in _PART.findall(next(filter(None, m.groups()), ""))}
     return bool(names & HINTS) or not in_root and bool(names & PAGE_HINTS)
 
@@ -75,40 +126,67 @@ def hinted(attributes: str, in_root: bool) -> bool:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, empty ones left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]  # element, boilerplate, number of its article, own number
-    count, links = 0, 0
-    heading = False
-    now = Block(False, 0, 0, False)
+    none: frozenset = frozenset()
+    stack: list[tuple[str, bool, frozenset, int, int]] = [("", False, none, 0, 0)]  # element, boilerplate, hints above, number of its article, own number
+    count, links, hints = 0, 0, 0
+    heading = in_p = False
+    skipped: Skipped | None = None
+    last_object = max((m.start() for m in re.finditer("</object", page, re.I)), default=-1)
+    now = Block(False, none, 0, 0, False)
 
     def border() -> None:
         nonlocal now, links
         if any(t.strip() for t in now.texts):
             out.append(now)
-        _, boilerplate, root, own = stack[-1]
-        now = Block(boilerplate, root, own, heading)
+        _, boilerplate, above, root, own = stack[-1]
+        now = Block(boilerplate, above, root, own, heading)
         links = 0
 
     def add(text: str) -> None:
+        if skipped:
+            return
         now.texts.append(text)
         if links:
             now.linked.append(text)
 
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
+    while m := TOKEN.search(page, at):
+        if m.start() > at and not skipped:
             add(html.unescape(page[at : m.start()]))
         at = m.end()
-        name = (m[3] or m[6] or "").lower()
-        closing, attributes = bool(m[2] or m[5]), m[4] or m[7] or ""
+        name = (m[2] or m[5] or "").lower()
         if not name:
-            if m[1] and m[1].lower() in ("button", "select", "textarea", "iframe", "title"):
+            continue
+        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
+        foreign = bool(skipped) and skipped.foreign()
+        if skipped:
+            over, counts = skipped.ends(name, closing, attributes, {x[0] for x in stack}, in_p)
+            if over:
+                skipped = None
+        else:
+            counts = True
+        if name in RAW and not closing and not foreign:
+            if skipped and not counts:
+                skipped.inside[name] -= 1  # its end tag is read here
+            end = RAW_END[name].search(page, at)
+            at = end.end() if end else len(page)
+            if name in SPACED:
                 add(" ")
             continue
-        if name == "a":
+        if not counts:
+            continue
+        if name in SKIPPED:
+            # what an object without end tag encloses is shown where it can't be loaded
+            if not closing and not (name in ("svg", "math") and attributes.endswith("/")) and not (name == "object" and last_object < at):
+                if name in SPACED:
+                    add(" ")
+                skipped = Skipped(name)
+        elif name == "a":
             links = 0 if closing else 1
         elif name == "br":
             add(" ")
         elif name in BLOCKS:
+            in_p = name == "p" and not closing
             if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 heading = not closing
             elif not closing:
@@ -119,28 +197,54 @@ def blocks(page: str) -> list[Block]:
                         del stack[k:]
                         break
             elif name not in VOID and name != "p":
-                _, boilerplate, root, _ = stack[-1]
+                _, boilerplate, above, root, _ = stack[-1]
                 count += 1
                 if name in ("html", "body"):
-                    boilerplate = False
+                    boilerplate, above = False, none
                     if name == "body":
                         del stack[1:]
                 elif name in ROOTS:
-                    boilerplate, root = False, root or count
+                    boilerplate, above, root = False, none, root or count
                 else:
-                    boilerplate = boilerplate or name in BOILERPLATE or name == "header" and not root or hinted(attributes, bool(root))
-                stack.append((name, boilerplate, root, count))
+                    boilerplate = boilerplate or name in BOILERPLATE or name == "header" and not root or hidden(attributes)
+                    if hinted(attributes, bool(root)):
+                        hints += 1
+                        above = above | {hints}
+                stack.append((name, boilerplate, above, root, count))
             border()
-            if not closing and name == "p" and hinted(attributes, bool(stack[-1][2])):
-                now.boilerplate = True
-        elif not closing and attributes and name in ("span", "b", "i", "em", "strong", "small", "ins", "font", "label") and hinted(attributes, bool(stack[-1][2])) and not now.texts:
-            now.boilerplate = True
+        if not closing and attributes and (name == "p" or name in ("span", "b", "i", "em", "strong", "small", "ins", "font", "label") and not now.texts):
+            now.boilerplate = now.boilerplate or hidden(attributes)
+            if hinted(attributes, bool(stack[-1][3])):
+                hints += 1
+                now.hints = now.hints | {hints}
     if at < len(page):
         add(html.unescape(page[at:]))
     border()
     for b in out:
         b.text = " ".join("".join(b.texts).split())
-    return [b for b in out if b.text]
+    out = [b for b in out if b.text]
+    weigh_hints(out)
+    return out
+
+
+def weigh_hints(found: list[Block]) -> None:
+    """Hints make their blocks boilerplate, but for one whose text, good by the other rules, is most of the page's not bad by them.
+
+    A single block beside an article with text, such as a notice longer than the article, stays boilerplate.
+    """
+    held: Counter = Counter()
+    number: Counter = Counter()
+    total, article = 0, False
+    if any(b.hints for b in found):
+        for b in found:
+            label = first_pass(b)
+            total += len(b.text) * (label != BAD)
+            article |= b.root > 0 and label != BAD and not b.hints
+            if label == GOOD:
+                held.update(dict.fromkeys(b.hints, len(b.text)))
+                number.update(b.hints)
+    for b in found:
+        b.boilerplate = b.boilerplate or any(2 * held[h] <= total or article and not b.root and number[h] == 1 for h in b.hints)
 
 
 def first_pass(b: Block) -> str:

@@ -217,6 +217,32 @@ def test_page(spark):
     assert extract.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("odd", [
+    "<svg-icon name=x></svg-icon>", "<button-bar>", "<title-bar x='1'></title-bar>", "<object-view></object-view>", "<svg viewBox='0 0 1 1'/>", "<math />",
+    "<svg><style/><path d=x><g/><text>no</text></svg>", "<svg><svg>no</svg>no</svg>", "<button>no", "<button>no<button>no</button>", "<select><option>no</select >",
+    "<select><option>no<input>", "<svg><path>", "<canvas>no", "<object data=x>", "<object>no<object>no</object>no</object>", "<script>no</script x>",
+    "<svg><foreignObject><p>no</p></foreignObject></svg>", "<template>no<template>no</template>no</template>", "<svg><title>no</svg>", "<button><title>no</title></button>",
+])
+def test_rest_of_page_is_kept(odd):
+    page = f"<article><div><p>It was the best of the times and it was the worst of times.</p>{odd}</div><p>And then there was the end of it all, which they said to us.</p></article>"
+    assert extract.main_text(page) == "It was the best of the times and it was the worst of times.\nAnd then there was the end of it all, which they said to us."
+
+
+def test_unclosed_to_the_end():
+    assert extract.main_text("<p>first words <svg-icon name=x></svg-icon> second words</p><p>third paragraph</p></article>") == "first words second words\nthird paragraph"
+    assert [extract.main_text(f"<article><p>It was.</p><{x}>no<p>no</article>") for x in ("script", "style", "iframe", "textarea", "template")] == ["It was."] * 5
+
+
+def test_hint_on_most_of_the_text():
+    good, more = "It was the best of the times and it was the worst of times.", "And then there was the end of it all, which they said to us."
+    assert extract.main_text(f'<div class="content with-sidebar"><p>{good}</p><p>{more}</p><div class="share"><p>{good}</p></div></div>') == f"{good}\n{more}"
+    assert extract.main_text(f'<div class="content"><p>{good}</p><p>{more}</p></div><div class="sidebar"><p>{good}</p></div>') == f"{good}\n{more}"
+    assert extract.main_text(f'<div class="ad">{good}</div><article><p>Ascirr para cióngañ ciónbo raas llgaar ciónraja arciónll cióncico ciónezes cióngaque.</p></article>').startswith("Ascirr")
+    assert extract.main_text(f'<div class="ad">{good}</div><article><p>Short.</p></article>') == "Short."
+    assert extract.main_text(f'<div class="with-sidebar"><p>{good}</p><p>{more}</p></div><article><p>Short.</p></article>').startswith(good)
+    assert extract.main_text(f'<div style="display:none"><p>{good}</p></div>') == ""
+
+
 def test_recall(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     frame = vectors.toPandas()
