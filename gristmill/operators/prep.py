@@ -6,16 +6,17 @@ fitted PipelineModel runs inside the JVM and is saved and loaded by Spark itself
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, PCA, SQLTransformer, StringIndexerModel, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import bounded_values, broadcast_if_small, clean_nan, col, columns_of, is_small, materialize, numeric_columns, quoted, type_class
+from ..core import bounded_values, broadcast_if_small, clean_nan, col, columns_of, is_small, materialize, new_path, numeric_columns, quoted, type_class
 from .frequency import most_frequent, top_per_group, value_counts, value_text
 from .quantiles import exact_quantiles
 
@@ -218,7 +219,8 @@ class OneHotVector(Estimator):
     """One vector per category column (`<col>_vec`); unseen values give the zero vector.
 
     max_categories keeps the most frequent max_categories - 1 values and one slot
-    for all others. drop: None, "first" or "if_binary".
+    for all others seen in training; those stand in a table below the work folder, which
+    save_pipeline puts beside the model. drop: None, "first" or "if_binary".
     """
 
     def __init__(self, cols: Sequence[str], *, max_categories: int | None = None, drop: str | None = None,
@@ -232,35 +234,48 @@ class OneHotVector(Estimator):
     def categories(self, df: DataFrame) -> dict[str, list[str]]:
         """Kept categories per column, sorted; the slot for infrequent values comes last.
 
-        The infrequent values are kept too (`infrequent`): only those share the slot, a
-        value never seen is unknown. So all values of a column have to fit MAX_VOCABULARY.
+        With max_categories any number of values will do; without, all have to fit MAX_VOCABULARY.
         """
         counted = value_counts(df, self.cols).where(F.col("value").isNotNull())
-        limit, self.infrequent = self.max_categories, {}
+        limit = self.max_categories
+        if limit is None:
+            rows = bounded_values(counted, "categories")
+        else:
+            rows = top_per_group(counted, ["column"], [F.col("n").desc(), F.col("value")], limit + 1).collect()
         found: dict[str, list[tuple[int, str]]] = {c: [] for c in self.cols}
-        for r in bounded_values(counted, "categories"):
+        for r in rows:
             found[r["column"]].append((-r["n"], r["value"]))
         out = {}
         for c, values in found.items():
             if limit is not None and len(values) > limit:
-                ranked = [v for _, v in sorted(values)]
-                out[c], self.infrequent[c] = sorted(ranked[: limit - 1]) + [INFREQUENT], ranked[limit - 1 :]
+                out[c] = sorted(v for _, v in sorted(values)[: limit - 1]) + [INFREQUENT]
             else:
                 out[c] = sorted(v for _, v in values)
         return out
 
+    def fold_infrequent(self, df: DataFrame, kept: dict[str, list[str]]) -> SQLTransformer:
+        """Stage that joins the other values seen in training, a written table, to tell infrequent from unknown ones."""
+        capped = [c for c in self.cols if kept[c] and kept[c][-1] == INFREQUENT]
+        made = {c: category_sql(df, c) for c in self.cols}
+        if not capped:
+            return replacing(made)
+        path = new_path(df.sparkSession, "seen")
+        keep = df.sparkSession.createDataFrame([(c, v) for c in capped for v in kept[c][:-1]], "column string, value string")
+        place = F.array_position(F.array(*[F.lit(c) for c in capped]), F.col("column")) - 1
+        seen = value_counts(df, capped).where(F.col("value").isNotNull()).join(F.broadcast(keep), ["column", "value"], "left_anti")
+        seen.select(place.cast("int").alias("place"), "value").write.partitionBy("place").parquet(path)
+        joins = ""
+        for k, c in enumerate(capped):
+            name = quoted(f"_seen_{c}")
+            joins += f" LEFT JOIN (SELECT value AS {name} FROM parquet.`{path}/place={k}`) ON {name} = {made[c]}"
+            made[c] = f"CASE WHEN {name} IS NOT NULL THEN {text_sql(INFREQUENT)} ELSE {made[c]} END"
+        gone = ", ".join([quoted(c) for c in made] + [quoted(f"_seen_{c}") for c in capped])
+        return SQLTransformer(statement=f"SELECT * EXCEPT ({gone}), {', '.join(f'{e} AS {quoted(c)}' for c, e in made.items())} FROM __THIS__{joins}")
+
     def _fit(self, df: DataFrame) -> PipelineModel:
         stages: list = []
         kept = self.categories(df) if self.cols else {}
-        folded = {}
-        for c in self.cols:
-            if kept[c] and kept[c][-1] == INFREQUENT:
-                rare = ", ".join(text_sql(v) for v in self.infrequent[c])
-                text = category_sql(df, c)
-                folded[c] = f"CASE WHEN {text} IN ({rare}) THEN {text_sql(INFREQUENT)} ELSE {text} END"
-            else:
-                folded[c] = category_sql(df, c)
-        stages.append(replacing(folded))
+        stages.append(self.fold_infrequent(df, kept))
         for c in self.cols:
             labels = kept[c]
             drops = self.drop == "first" or (self.drop == "if_binary" and len(labels) == 2)
@@ -416,8 +431,31 @@ def prepare(
     return df
 
 
+_SEEN = re.compile(r"FROM parquet\.`([^`]+)/place=\d+`")
+
+
 def save_pipeline(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+    """Save a model and, in its folder, the tables of seen values that it joins; the saved model is read where it was saved."""
+    spark = SparkSession.active()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    tables: dict[str, str] = {}
+
+    def pointed(stage):
+        if isinstance(stage, PipelineModel):
+            return PipelineModel([pointed(s) for s in stage.stages])
+        if isinstance(stage, SQLTransformer) and (m := _SEEN.search(stage.getStatement())):
+            to = tables.setdefault(m[1], new_path(spark, "seen").rpartition("/")[2])
+            return SQLTransformer(statement=stage.getStatement().replace(f"`{m[1]}/", f"`{whole}/{to}/"))
+        return stage
+
+    own = pointed(model)
+    # a table in the folder to be overwritten is read before
+    read = {source: materialize(spark.read.parquet(source), "seen") for source in tables}
+    saved = own if tables else model
+    saved.write().overwrite().save(path)
+    for source, to in tables.items():
+        read[source].write.partitionBy("place").parquet(f"{whole}/{to}")
 
 
 def load_pipeline(path: str) -> PipelineModel:

@@ -17,7 +17,7 @@ from ..core import col, quoted
 from ..operators.evaluate import (
     class_labels, classification_report, classification_scores, confusion_matrix, evaluate_supervised, regression_scores,
 )
-from ..operators.prep import PrepConfig, build_preprocessor, make_config
+from ..operators.prep import PrepConfig, build_preprocessor, make_config, save_pipeline
 from ..operators.profile import is_classification_target
 from ..operators.quality import drop_missing
 from ..operators.split import parts, random_split
@@ -142,7 +142,7 @@ def train_text_classifier(
 
 
 def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+    save_pipeline(model, path)
 
 
 def score_table(path_or_model: str | PipelineModel, df: DataFrame) -> DataFrame:

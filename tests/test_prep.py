@@ -65,6 +65,24 @@ def test_one_hot_errors_and_drops(spark):
         strict.transform(spark.createDataFrame([("z",)], "v string")).collect()
 
 
+def test_one_hot_cap_at_any_number_of_values(spark, tmp_path, monkeypatch):
+    from gristmill import core
+
+    monkeypatch.setattr(core.bounded_values, "__defaults__", (50,))
+    df = spark.range(400).select(F.when(F.col("id") < 100, "it's").when(F.col("id") < 150, "b").otherwise(F.concat(F.lit("v"), F.col("id"))).alias("v"),
+                                 F.concat(F.lit("w"), F.col("id") % 90).alias("w"), "id")
+    model = prep.OneHotVector(["v", "w"], max_categories=3).fit(df)
+    asked = spark.createDataFrame([("b", "w1"), ("it's", "w0"), ("v200", "w80"), ("new", "new")], "v string, w string")
+    first = tmp_path / "one"
+    prep.save_pipeline(model, str(first))
+    prep.save_pipeline(prep.load_pipeline(str(first)), str(first))
+    for m in (model, prep.load_pipeline(str(first))):
+        rows = m.transform(asked).select("v", *[vector_to_array(c).alias(c) for c in ("v_vec", "w_vec")]).collect()
+        got = sorted((tuple(r["v_vec"]), tuple(r["w_vec"])) for r in rows)
+        assert got == sorted([((1, 0, 0), (0, 1, 0)), ((0, 1, 0), (1, 0, 0)), ((0, 0, 1), (0, 0, 1)), ((0, 0, 0), (0, 0, 0))])
+    assert all(len(s.getStatement()) < 2000 for s in model.stages if hasattr(s, "getStatement"))
+
+
 def test_label_codes_of_large_inputs(spark, monkeypatch):
     monkeypatch.setattr(prep, "is_small", lambda df: False)
     df = spark.createDataFrame([(f"v{i % 97:03d}" if i % 5 else None,) for i in range(1000)], "s string")
