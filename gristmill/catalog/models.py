@@ -13,9 +13,6 @@ from ..plans.features import build_features
 from .registry import query, rounded, table
 from .text import labelled
 
-# The queries compare the same kinds of model as the defaults, with fewer trees and rounds.
-LIGHT = {"trees": 10, "depth": 5, "rounds": 3, "iterations": 30}
-
 
 def segments(spark, sf_dir):
     """Orders with their customer's segment and balance; the status is the class to predict."""
@@ -27,7 +24,7 @@ def segments(spark, sf_dir):
 
 def _board(spark, sf_dir, **options):
     train, test = parts(random_split(segments(spark, sf_dir), ["o_orderkey"], 0.2))
-    return M.run_leaderboard(train.drop("o_orderkey"), test, "o_orderstatus", **LIGHT, **options), train, test
+    return M.run_leaderboard(train.drop("o_orderkey"), test, "o_orderstatus", **options), train, test
 
 
 @query("leaderboard_classification")
@@ -38,7 +35,7 @@ def leaderboard_classification(spark, sf_dir):
 @query("leaderboard_regression")
 def leaderboard_regression(spark, sf_dir):
     train, test = parts(random_split(segments(spark, sf_dir), ["o_orderkey"], 0.2))
-    return M.run_leaderboard(train.drop("o_orderkey"), test, "o_totalprice", **LIGHT).table
+    return M.run_leaderboard(train.drop("o_orderkey"), test, "o_totalprice").table
 
 
 @query("linear_regression_predictions", """
@@ -111,7 +108,7 @@ def shuffled_column(spark, sf_dir):
 
 
 def _classifier(spark, sf_dir):
-    return M.train_text_classifier(labelled(spark, sf_dir), "text", "quality", ["doc_id"], iterations=20)
+    return M.train_text_classifier(labelled(spark, sf_dir), "text", "quality", ["doc_id"])
 
 
 @query("text_classifier_scores")

@@ -56,3 +56,20 @@ def test_text_classifier(spark, classes):
     assert got.scores.first()["accuracy"] == 1.0 and got.confusion.count() == classes**2
     top = {r["term"] for r in explain.top_class_terms(got.model, spark, 3).where("label = 'c0'").collect()}
     assert top & {"good", "fine", "great", "good fine", "fine great"}
+
+
+def test_model_queries_run_at_the_defaults(spark, monkeypatch):
+    from gristmill.catalog import models
+
+    class Asked(Exception):
+        pass
+
+    def asked(*a, **options):
+        raise Asked(options)
+
+    monkeypatch.setattr(models.M, "run_leaderboard", asked)
+    monkeypatch.setattr(models.M, "train_text_classifier", asked)
+    for name in ("leaderboard_classification", "leaderboard_regression", "permutation_importance", "text_classifier_scores", "text_classifier_terms"):
+        with pytest.raises(Asked) as got:
+            getattr(models, name)(spark, "/root/testdata/sf0.001")
+        assert not {"trees", "depth", "rounds", "iterations"} & set(got.value.args[0]), name
