@@ -25,6 +25,8 @@ MISSED = 0.001
 PART = 2_048
 #: Cells up to this size are compared row by row, larger ones by matrix products.
 FEW = 24
+#: Bits of the sign sketch that members of a cell are compared by before their vectors are fetched.
+BITS = 128
 #: Similarities this near to the limit are computed again with exact sums.
 CLOSE = 1e-12
 _ODD = np.random.default_rng(13).integers(1, 1 << 62, 8).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,6 +91,23 @@ def cells(unit: np.ndarray, table: int, scale: float, probes: int = PROBES) -> n
     return _number(np.concatenate([point[:, None], point[:, None] + NEIGHBOURS[near]], axis=1))
 
 
+def sketch(unit: np.ndarray) -> np.ndarray:
+    """Signs of random projections, as rows of 64-bit numbers."""
+    planes = _planes(unit.shape[1])
+    return np.packbits(unit @ planes > 0, axis=1).view(np.int64)
+
+
+@lru_cache(maxsize=256)
+def _planes(d: int) -> np.ndarray:
+    return np.random.default_rng([d, BITS]).standard_normal((d, BITS))
+
+
+def most_unequal(similar: float) -> int:
+    """Sketch bits that a pair at the limit may differ in: six deviations above what is expected."""
+    p = math.acos(min(1.0, similar)) / math.pi
+    return math.ceil(BITS * p + 6 * math.sqrt(BITS * p * (1 - p)))
+
+
 def plan(n: int, d: int, similar: float = SIMILAR, missed: float = MISSED, probes: int = PROBES) -> tuple[float, int]:
     """Spread and number of tables for n vectors: cells get finer as n grows, and tables are added to keep the recall.
 
@@ -136,6 +155,77 @@ class Roots:
 _FOUND = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
 
+def _blocks(batches: Batches) -> Batches:
+    """Batches in order of (cell, lo, hi), cut so that no block is parted."""
+    rest = None
+    for batch in batches:
+        whole = pa.Table.from_batches([*([rest] if rest is not None else []), batch]).combine_chunks().to_batches()
+        if not whole:
+            continue
+        batch = whole[0]
+        keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "lo", "hi")])
+        last = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield batch.slice(0, cut)
+        rest = batch.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _columns(batch: pa.RecordBatch, *names: str) -> dict[str, np.ndarray]:
+    return {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+
+
+def _bounds(rows: dict) -> tuple[np.ndarray, np.ndarray]:
+    border = np.flatnonzero((np.diff(rows["cell"]) != 0) | (np.diff(rows["lo"]) != 0) | (np.diff(rows["hi"]) != 0)) + 1
+    begin = np.concatenate([[0], border])
+    return begin, np.append(begin[1:], len(rows["cell"]))
+
+
+def _comparable(rows: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Pairs of which one lies in the cell, and which no other two parts of the cell compare."""
+    return (rows["home"][i] | rows["home"][j]) & ((rows["lo"][i] == rows["hi"][i]) | (rows["part"][i] != rows["part"][j]))
+
+
+_MATED = pa.schema([("id", pa.int64()), ("cell", pa.int64()), ("home", pa.bool_()), ("part", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
+
+
+def _sifter(unequal: int):
+    """Task over rows in order of their block: those that have a mate whose sketch is near."""
+
+    def task(batches: Batches) -> Batches:
+        for batch in _blocks(batches):
+            rows = _columns(batch, "cell", "lo", "hi", "part", "home")
+            bits = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1")], axis=1)
+            begin, end = _bounds(rows)
+            block = np.repeat(np.arange(len(begin)), end - begin)
+            mated = np.zeros(batch.num_rows, bool)
+
+            def mate(i: np.ndarray, j: np.ndarray) -> None:
+                keep = _comparable(rows, i, j)
+                mated[i[keep]] = mated[j[keep]] = True
+
+            small = np.flatnonzero((end - begin)[block] <= FEW)
+            for step in range(1, FEW):
+                at = np.flatnonzero(block[small[:-step]] == block[small[step:]]) if len(small) > step else []
+                if not len(at):
+                    break
+                i, j = small[at], small[at + step]
+                near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= unequal
+                mate(i[near], j[near])
+            for b in np.flatnonzero(end - begin > FEW):
+                tile = max(1, 500_000 // int(end[b] - begin[b]))
+                for at in range(begin[b], end[b], tile):
+                    stop = min(at + tile, end[b])
+                    gaps = np.bitwise_count(bits[at:stop, None, 0] ^ bits[None, at : end[b], 0]) + np.bitwise_count(bits[at:stop, None, 1] ^ bits[None, at : end[b], 1])
+                    i, j = np.nonzero(np.triu(gaps <= unequal, 1))
+                    mate(at + i, at + j)
+            yield batch.select(_MATED.names).filter(pa.array(mated)).cast(_MATED)
+
+    return task
+
+
 def _linker(similar: float, tables: int):
     """Task over rows in order of their block: per row its links found there, and one row of its group.
 
@@ -144,7 +234,7 @@ def _linker(similar: float, tables: int):
     """
 
     def linked(rows: dict, i: np.ndarray, j: np.ndarray, cosine: np.ndarray) -> np.ndarray:
-        keep = (rows["home"][i] | rows["home"][j]) & (rows["grp"][i] == rows["grp"][j]) & ((rows["lo"][i] == rows["hi"][i]) | (rows["part"][i] != rows["part"][j]))
+        keep = _comparable(rows, i, j) & (rows["grp"][i] == rows["grp"][j])
         keep &= cosine >= similar - CLOSE
         for at in np.flatnonzero(keep & (cosine < similar + CLOSE)):
             keep[at] = _exact(rows["unit"][i[at]], rows["unit"][j[at]]) >= similar
@@ -161,13 +251,11 @@ def _linker(similar: float, tables: int):
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
-        rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "lo", "hi", "part", "id", "home", "grp", "copies")}
+        rows = _columns(batch, "cell", "lo", "hi", "part", "id", "home", "grp", "copies")
         rows["cells"] = batch.column("cells").flatten().to_numpy().reshape(n, tables, -1)
         sizes = pc.list_value_length(batch.column("unit")).to_numpy()
         flat, starts = batch.column("unit").flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
-        border = np.flatnonzero((np.diff(rows["cell"]) != 0) | (np.diff(rows["lo"]) != 0) | (np.diff(rows["hi"]) != 0)) + 1
-        begin = np.concatenate([[0], border])
-        end = np.append(begin[1:], n)
+        begin, end = _bounds(rows)
         links, roots = np.zeros(n, np.int64), Roots(n)
 
         def count(i: np.ndarray, j: np.ndarray, cosine: np.ndarray) -> None:
@@ -202,26 +290,14 @@ def _linker(similar: float, tables: int):
         return batch_of(_FOUND, rows["id"][met], links[met], rows["id"][roots.of[met]])
 
     def task(batches: Batches) -> Batches:
-        rest = None
-        for batch in batches:
-            whole = pa.Table.from_batches([*([rest] if rest is not None else []), batch]).combine_chunks().to_batches()
-            if not whole:
-                continue
-            batch = whole[0]
-            keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "lo", "hi")])
-            last = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield compare(batch.slice(0, cut))
-            rest = batch.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield compare(rest)
+        for batch in _blocks(batches):
+            yield compare(batch)
 
     return task
 
 
 def _index(scale_spread: float, similar: float, tables: int, probes: int):
-    schema = pa.schema([("id", pa.int64()), ("grp", pa.int64()), ("copies", pa.int64()), ("unit", pa.list_(pa.float64())), ("cells", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("grp", pa.int64()), ("copies", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("unit", pa.list_(pa.float64())), ("cells", pa.list_(pa.int64()))])
 
     def task(batches: Batches) -> Batches:
         for batch in batches:
@@ -232,7 +308,7 @@ def _index(scale_spread: float, similar: float, tables: int, probes: int):
                 grp = own.column("grp").to_numpy()
                 keys = [mix(cells(unit, t, scale_of(scale_spread, d, similar), probes) + mix(grp.view(np.uint64) + np.uint64(t))[:, None]) for t in range(tables)]
                 found = np.concatenate(keys, axis=1).view(np.int64)
-                yield batch_of(schema, own.column("id"), own.column("grp"), own.column("copies"), list(unit), list(found))
+                yield batch_of(schema, own.column("id"), own.column("grp"), own.column("copies"), *sketch(unit).T, list(unit), list(found))
 
     return task
 
@@ -242,9 +318,10 @@ def near_vectors(vectors: DataFrame, similar: float = SIMILAR, probes: int = PRO
 
     Vectors of equal label are linked at a cosine (double precision) of `similar` or more, if
     they meet in a table: one lies in a cell that the other lies in or probes. Equal vectors
-    are one entry with a number of copies. Tasks compare the members of a cell in blocks and
-    pass on only numbers: the links of each, and one member of its group. No pair is written;
-    a crowded cell is dealt into parts, whose pairs are different tasks.
+    are one entry with a number of copies. Members of a cell are first compared by short sign
+    sketches, and vectors are fetched only for those that have a mate near enough. Tasks then
+    compare them in blocks and pass on only numbers: the links of each, and one member of its
+    group. No pair is written; a crowded cell is dealt into parts, whose pairs are different tasks.
 
     A table multiplies a unit vector by a random map to eight dimensions and takes the
     nearest E8 point; `plan` chooses how fine, and how many tables.
@@ -268,15 +345,17 @@ def near_vectors(vectors: DataFrame, similar: float = SIMILAR, probes: int = PRO
     if not by_group:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     spread, tables = plan(by_group[0]["n"], by_group[0]["d"], similar, missed, probes)
-    index = materialize(map_arrow(valued, _index(spread, similar, tables, probes), "id long, grp long, copies long, unit array<double>, cells array<long>"), "index")
+    index = materialize(map_arrow(valued, _index(spread, similar, tables, probes), "id long, grp long, copies long, s0 long, s1 long, unit array<double>, cells array<long>"), "index")
 
-    met = index.select("id", F.posexplode("cells").alias("k", "cell")).select("id", "cell", (F.col("k") % (probes + 1) == 0).alias("home"))
+    met = index.select("id", "s0", "s1", F.posexplode("cells").alias("k", "cell")).select("id", "s0", "s1", "cell", (F.col("k") % (probes + 1) == 0).alias("home"))
     shared = met.groupBy("cell").agg(F.count("*").alias("members"), F.count_if("home").alias("homes")).where("members > 1 and homes > 0")
     shared = materialize(shared.select("cell", F.ceil(F.col("members") / PART).cast("int").alias("parts")), "cells")
     part = F.expr("cast(pmod(xxhash64(id), parts) as int)")
     placed = met.join(shared, "cell").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.select("id", "cell", "home", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    blocks = placed.join(index, "id").repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi", "id")
+    placed = placed.select("id", "s0", "s1", "cell", "home", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    in_blocks = lambda df: df.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi", "id")
+    mated = map_arrow(in_blocks(placed), _sifter(most_unequal(similar)), "id long, cell long, home boolean, part int, lo int, hi int")
+    blocks = in_blocks(materialize(mated, "mated").join(index.drop("s0", "s1"), "id"))
     found = materialize(map_arrow(blocks, _linker(similar, tables), "id long, links long, root long"), "links")
 
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
