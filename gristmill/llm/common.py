@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
-import re
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,8 +78,39 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-#: White space of Unicode, as the tokenizers' \s has it.
-SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+#: Texts are encoded in slices of about this many bytes (one text at least), which bounds what a task holds.
+SLICE_BYTES = 16_000_000
+
+#: UTF-8 forms of the white space beyond ASCII: the first byte, and what follows it.
+_WIDE_SPACES = {
+    0xC2: [b"\x85", b"\xa0"], 0xE1: [b"\x9a\x80"], 0xE3: [b"\x80\x80"],
+    0xE2: [b"\x80" + bytes([x]) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)] + [b"\x81\x9f"],
+}
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def spaces(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to white space, as the tokenizers' \\s has it."""
+    out = _SPACE[data]
+    for lead, tails in _WIDE_SPACES.items():
+        at = np.flatnonzero(data == lead)
+        for tail in tails:
+            own = at[at + len(tail) < len(data)]
+            for k, byte in enumerate(tail, 1):
+                own = own[data[own + k] == byte]
+            for k in range(len(tail) + 1):
+                out[own + k] = True
+    return out
+
+
+def in_slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about that many bytes of text."""
+    taken = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    border = np.flatnonzero(np.diff(taken // size)) + 1 if len(taken) else []
+    for a, b in zip([0, *border], [*border, batch.num_rows]):
+        if a < b:
+            yield batch.slice(a, b - a)
 
 
 #: Latin letters whose small form does not depend on what stands around them.
@@ -87,99 +118,123 @@ _PLAIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
 class WordTokenizer:
-    """Token ids of whole texts, encoding each different word once per worker.
-
-    Both vocabularies split a text between a word and the white space after it
-    before any merge, so the ids of a text are those of its words in turn. Plain
-    words are encoded many at a time, and parted again where the vocabulary marks
-    the border of a word: behind a last piece, or before a piece with a leading space.
-    Two generations of words are kept, at most 2 * KEEP words of at most LONGEST
-    characters; others are encoded again when they come back. Ids are 16-bit.
+    """Token ids of many whole texts at once, encoding each different word once.
+
+    Both vocabularies part a text between a word and the white space after it before any
+    merge, so the ids of a text are those of its units in turn: a run of white space and the word behind
+    it. Units are found in the bytes and numbered by Arrow's dictionary encoding; only
+    different ones reach the tokenizer. Plain ones (Latin letters behind one space, perhaps with a full
+    stop or comma) are encoded in lines of many, parted again at the pieces that mark a border.
+    Ids are 16-bit. Nothing is kept from call to call but the vocabulary.
     """
 
-    KEEP = 400_000
-    LONGEST = 40
     TOGETHER = 200
-    cached: dict[int, "WordTokenizer"] = {}
+    shared: dict[int, "WordTokenizer"] = {}
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.suffix = json.loads(spec)["model"].get("end_of_word_suffix")
         border = (lambda p: p.endswith(self.suffix)) if self.suffix else (lambda p: p.startswith("Ġ"))
         self.border = np.zeros(1 << 16, bool)
         self.border[[i for p, i in vocabulary.items() if border(p)]] = True
-        self.plain = re.compile(f"[ \n]*([{_PLAIN}]+)([.,]?)" if self.suffix else f"( [{_PLAIN}]+)([.,]?)").fullmatch
-        led = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+").findall
-        self.split = (lambda t: t.replace("\n", " ").split(" ")) if self.suffix else led
-        self.tails = {t: self._ids([t])[0] for t in ".,"} | {"": b""}
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.tails = {t: self._ids([t])[0][0] for t in ".,"}
 
     @classmethod
     def of(cls, spec: str) -> "WordTokenizer":
-        """The worker's own instance: its words stay known from task to task."""
+        """The worker's own instance: the vocabulary is read once."""
         key = hash(spec)
-        if key not in cls.cached:
-            cls.cached[key] = cls(spec)
-        return cls.cached[key]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _plain_ids(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Of plain words, each with the border mark of its own, by encoding lines of them."""
-        for start in range(0, len(words), 50 * self.TOGETHER):
-            lines = [words[i : i + self.TOGETHER] for i in range(start, min(start + 50 * self.TOGETHER, len(words)), self.TOGETHER)]
-            for line, data in zip(lines, self._ids([(" " if self.suffix else "").join(line) for line in lines])):
-                marks = np.flatnonzero(self.border[np.frombuffer(data, np.uint16)]) * 2
-                ends = (marks + 2 if self.suffix else np.append(marks[1:], len(data))).tolist()
-                if len(ends) != len(line):  # a border where none was expected: each for itself
-                    yield from zip(line, self._ids(line))
+        if key not in cls.shared:
+            cls.shared[key] = cls(spec)
+        return cls.shared[key]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one by one, and how many each has."""
+        ids, sizes = [np.empty(0, np.uint16)], [np.empty(0, np.int64)]
+        for start in range(0, len(texts), 20_000):
+            some = self._ids(texts[start : start + 20_000])
+            sizes.append(np.fromiter(map(len, some), np.int64, len(some)))
+            ids.append(np.fromiter(itertools.chain.from_iterable(some), np.uint16, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _each, for plain words: each has one border piece."""
+        lines = [words[i : i + self.TOGETHER] for i in range(0, len(words), self.TOGETHER)]
+        ids, sizes = [np.empty(0, np.uint16)], [np.empty(0, np.int64)]
+        for start in range(0, len(lines), 50):
+            some = lines[start : start + 50]
+            for line, own in zip(some, self._ids(["".join(line) for line in some])):
+                own = np.array(own, np.uint16)
+                found = np.flatnonzero(self.border[own])
+                ends = found + 1 if self.suffix else np.append(found[1:], len(own))
+                if len(found) != len(line):  # a border where none was expected
+                    own, each = self._each(line)
                 else:
-                    yield from ((w, data[a:b]) for w, a, b in zip(line, [0, *ends], ends))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids as little-endian unsigned 16-bit integers; none for null."""
-        parts = [self.split(t) if t else [] for t in texts]
-        found, old = self.new, self.old
-        known = [list(map(found.get, p)) for p in parts]
-        missing = [[i for i, x in enumerate(k) if x is None] for k in known]
-        unknown = {p[i] for p, m in zip(parts, missing) for i in m}
-        plain, composed, other = set(), [], []
-        for w in unknown:
-            if w in old:
-                found[w] = old[w]
-            elif m := self.plain(w):
-                core = m[1].lower() if self.suffix else m[1]
-                composed.append((w, core, m[2]))
-                if core not in found:
-                    if core in old:
-                        found[core] = old[core]
-                    else:
-                        plain.add(core)
-            else:
-                other.append(w)
-        found.update(self._plain_ids(list(plain)))
-        for w, core, tail in composed:
-            found[w] = found[core] + self.tails[tail]
-        for start in range(0, len(other), 20_000):
-            some = other[start : start + 20_000]
-            found.update(zip(some, self._ids(some)))
-        for p, k, m in zip(parts, known, missing):
-            for i in m:
-                k[i] = found[p[i]]
-        out = list(map(b"".join, known))
-        for w in other:
-            if len(w) > self.LONGEST:
-                del found[w]
-        if len(found) > self.KEEP:
-            self.old, self.new = found if len(found) <= 2 * self.KEEP else {}, {}
-        return out
+                    each = np.diff(ends, prepend=0)
+                ids.append(own)
+                sizes.append(each)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _distinct(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different units, and where those of each begin and how many they are."""
+        plain = pa.compute.match_substring_regex(units, f"^ [{_PLAIN}]+[.,]?$")
+        words = units.filter(plain)
+        cores = pa.compute.utf8_rtrim(words, ".,")
+        coded = (pa.compute.utf8_lower(cores) if self.suffix else cores).dictionary_encode()
+        core_ids, core_sizes = self._lines(coded.dictionary.to_pylist())
+        code = coded.indices.to_numpy()
+        tails = np.full(len(words), -1)
+        for tail, number in self.tails.items():
+            tails[pa.compute.ends_with(words, tail).to_numpy(zero_copy_only=False)] = number
+        sizes = core_sizes[code] + (tails >= 0)
+        ends = np.cumsum(sizes)
+        word_ids = np.empty(int(ends[-1]) if len(ends) else 0, np.uint16)
+        begin = ends - sizes
+        each = core_sizes[code]
+        gathered = np.cumsum(each)
+        within = np.arange(int(gathered[-1]) if len(each) else 0) - np.repeat(gathered - each, each)
+        word_ids[np.repeat(begin, each) + within] = core_ids[np.repeat((np.cumsum(core_sizes) - core_sizes)[code], each) + within]
+        word_ids[ends[tails >= 0] - 1] = tails[tails >= 0]
+        other_ids, other_sizes = self._each(units.filter(pa.compute.invert(plain)).to_pylist())
+        plain = plain.to_numpy(zero_copy_only=False)
+        at, length = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
+        at[plain], length[plain] = begin, sizes
+        at[~plain], length[~plain] = len(word_ids) + np.cumsum(other_sizes) - other_sizes, other_sizes
+        return np.concatenate([word_ids, other_ids]), at, length
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where those of each text end; none for null."""
+        texts = pa.compute.fill_null(texts.cast(pa.string()), "")
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        size = int(offsets[-1] - offsets[0])
+        if not size:
+            return np.empty(0, np.uint16), np.zeros(len(texts), np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[0] + size]
+        offsets = offsets - offsets[0]
+        space = spaces(data)
+        first = space.copy()
+        first[1:] &= ~space[:-1]
+        first[offsets[:-1][np.diff(offsets) > 0]] = True
+        begin = np.flatnonzero(first)
+        ends = np.append(begin, size).astype(np.int32)
+        units = pa.StringArray.from_buffers(len(begin), pa.py_buffer(ends), pa.py_buffer(data))
+        coded = units.dictionary_encode()
+        ids, at, length = self._distinct(coded.dictionary)
+        code = coded.indices.to_numpy()
+        much = np.cumsum(length[code])
+        out = np.empty(int(much[-1]), np.uint16)
+        for k in range(0, len(code), 500_000):  # bounds the index arrays
+            some, upto = code[k : k + 500_000], much[k : k + 500_000]
+            each = length[some]
+            start = int(upto[0] - each[0])
+            out[start : int(upto[-1])] = ids[np.repeat(at[some] - (upto - each - start), each) + np.arange(int(upto[-1]) - start)]
+        return out, np.append(0, much)[np.searchsorted(begin, offsets[1:])]
 
 
 def read_text(path: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.core import materialize
-from gristmill.llm.common import Batches, WordTokenizer, batch_of, map_arrow, task_number
+from gristmill.llm.common import Batches, WordTokenizer, batch_of, in_slices, map_arrow, task_number
 
 CAPACITY = 2048
 END = 0
@@ -41,17 +41,20 @@ def token_pieces(docs: DataFrame, spec: str, capacity: int = CAPACITY, with_ids:
     def encode(batches: Batches) -> Batches:
         tokenizer, part, places = WordTokenizer.of(shared.value), task_number(), defaultdict(int)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                rows = []
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), tokenizer.encode(some.column("text").to_pylist())):
-                    ids = np.append(np.frombuffer(ids, "<u2"), np.uint16(END))
-                    for k, (start, n) in enumerate(cut(len(ids), capacity)):
-                        piece = ids[start : start + n]
-                        row = (doc_id, k, start, n, zlib.crc32(piece.astype("<u4").tobytes()), part, places[n])
-                        rows.append(row + (piece.tobytes(),) if with_ids else row)
+            for some in in_slices(batch):
+                ids, upto = tokenizer.encode(some.column("text"))
+                upto = upto.tolist()
+                whole = np.insert(ids, upto, np.uint16(END))  # an end behind each document
+                data = memoryview((whole if with_ids else whole.astype("<u4")).tobytes())
+                rows, at = [], 0
+                for doc_id, a, b in zip(some.column("doc_id").to_pylist(), [0, *upto], upto):
+                    for k, (start, n) in enumerate(cut(b - a + 1, capacity)):
+                        crc = zlib.crc32(whole[at : at + n].astype("<u4").tobytes() if with_ids else data[4 * at : 4 * (at + n)])
+                        row = (doc_id, k, start, n, crc, part, places[n])
+                        rows.append((*row, data[2 * at : 2 * (at + n)].tobytes()) if with_ids else row)
                         places[n] += 1
-                yield batch_of(schema, *zip(*rows)) if rows else batch_of(schema, *[[]] * len(schema))
+                        at += n
+                yield batch_of(schema, *zip(*rows))
 
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return materialize(map_arrow(asked, encode, PIECES + (", ids binary" if with_ids else "")), "pieces")

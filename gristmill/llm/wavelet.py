@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.core import materialize
-from gristmill.llm.common import Batches, WordTokenizer, batch_of, map_arrow, task_number
+from gristmill.llm.common import Batches, WordTokenizer, batch_of, in_slices, map_arrow, task_number
 
 BITS = 16
 END = 2
@@ -19,62 +19,81 @@ END = 2
 SHARD_TOKENS = 1 << 20
 #: Bits between two stored ranks.
 STRIDE = 512
-MAGIC = b"WMX1"
+#: Bits of a plane that are compressed together: what one access inflates of it.
+BLOCK = 1 << 17
+MAGIC = b"WMX2"
 
 
 class WaveletMatrix:
     """Sequence of ids below 2^16 as bit planes, high bit first, zeros of each plane moved to the front.
 
-    File: MAGIC, number of ids, then for each plane the number of zeros and of its
-    compressed bytes; then the planes, zlib-compressed, as little-endian bit strings.
-    Ranks at every 512 bits are counted when the file is opened.
+    File: MAGIC, number of ids, zeros of each plane; then for each plane the ranks at every
+    512 bits, the end of each compressed block, and the blocks (zstd, little-endian bit
+    strings of 2^17 bits). Opening a file reads the head of each plane only; access, rank and select
+    inflate the blocks they touch, one of each plane is kept.
     """
 
-    def __init__(self, size: int, planes: list[np.ndarray], zeros: list[int]):
-        self.size, self.planes, self.zeros = size, planes, zeros
-        self._ranks: list[np.ndarray] | None = None
+    def __init__(self, size: int, zeros: np.ndarray, ranks: list[np.ndarray], blocks: list[list]):
+        self.size, self.zeros, self.ranks, self.blocks = size, zeros, ranks, blocks
+        self._open: dict[int, tuple[int, np.ndarray]] = {}
+        self.inflated = 0  # blocks inflated so far
 
     @classmethod
     def build(cls, ids: np.ndarray) -> "WaveletMatrix":
-        now, planes, zeros = ids.astype(np.uint16), [], []
+        now, zeros, ranks, blocks = ids.astype(np.uint16), [], [], []
         for bit in range(BITS - 1, -1, -1):
             ones = (now & np.uint16(1 << bit)) != 0
-            planes.append(np.packbits(ones, bitorder="little"))
+            bits = np.packbits(ones, bitorder="little")
+            whole = np.zeros(-(-len(bits) // (STRIDE // 8)) * (STRIDE // 8), np.uint8)
+            whole[: len(bits)] = bits
+            count = np.bitwise_count(whole.view(np.uint64)).reshape(-1, STRIDE // 64).sum(axis=1, dtype=np.uint32)
+            ranks.append(np.cumsum(count, dtype=np.uint32) - count)
+            blocks.append([pa.compress(whole[at : at + BLOCK // 8], codec="zstd", asbytes=True) for at in range(0, len(whole), BLOCK // 8)])
             low = now[~ones]
             zeros.append(len(low))
             now = np.concatenate([low, now[ones]])
-        return cls(len(ids), planes, zeros)
+        return cls(len(ids), np.array(zeros, np.uint64), ranks, blocks)
 
     def dump(self) -> bytes:
-        packed = [zlib.compress(p.tobytes(), 1) if 0 < z < self.size else b"" for p, z in zip(self.planes, self.zeros)]
-        head = b"".join(struct.pack("<QI", z, len(p)) for z, p in zip(self.zeros, packed))
-        return MAGIC + struct.pack("<Q", self.size) + head + b"".join(packed)
+        parts = [MAGIC, struct.pack("<Q", self.size), self.zeros.tobytes()]
+        for ranks, blocks in zip(self.ranks, self.blocks):
+            parts += [ranks.tobytes(), np.cumsum([len(b) for b in blocks], dtype=np.uint32).tobytes(), *blocks]
+        return b"".join(parts)
 
     @classmethod
     def load(cls, data: bytes) -> "WaveletMatrix":
         if data[:4] != MAGIC:
             raise ValueError("not a wavelet matrix")
         (size,) = struct.unpack_from("<Q", data, 4)
-        at, planes, zeros = 12 + 12 * BITS, [], []
-        for k in range(BITS):
-            z, n = struct.unpack_from("<QI", data, 12 + 12 * k)
-            if n:
-                planes.append(np.frombuffer(zlib.decompress(data[at : at + n]), np.uint8))
-            else:  # a plane of one value
-                planes.append(np.full((size + 7) // 8, 0 if z else 255, np.uint8))
-            zeros.append(z)
-            at += n
-        return cls(size, planes, zeros)
+        zeros = np.frombuffer(data, np.uint64, BITS, 12)
+        at, ranks, blocks, view = 12 + 8 * BITS, [], [], memoryview(data)
+        strides, many = -(-size // STRIDE), -(-size // BLOCK)
+        for _ in range(BITS):
+            ranks.append(np.frombuffer(data, np.uint32, strides, at))
+            ends = np.frombuffer(data, np.uint32, many, at + 4 * strides).tolist()
+            at += 4 * (strides + many)
+            blocks.append([view[at + a : at + b] for a, b in zip([0, *ends], ends)])
+            at += ends[-1] if ends else 0
+        return cls(size, zeros, ranks, blocks)
+
+    def _block(self, plane: int, k: int) -> np.ndarray:
+        held = self._open.get(plane)
+        if held is None or held[0] != k:
+            strides = min(BLOCK // STRIDE, len(self.ranks[plane]) - k * (BLOCK // STRIDE))
+            self.inflated += 1
+            held = self._open[plane] = (k, np.frombuffer(pa.decompress(self.blocks[plane][k], strides * STRIDE // 8, codec="zstd"), np.uint8))
+        return held[1]
 
     def bits(self, plane: int) -> np.ndarray:
-        return np.unpackbits(self.planes[plane], count=self.size, bitorder="little")
+        whole = [self._block(plane, k) for k in range(len(self.blocks[plane]))]
+        return np.unpackbits(np.concatenate(whole), count=self.size, bitorder="little") if whole else np.empty(0, np.uint8)
 
     def decode(self) -> np.ndarray:
         """All ids, from the lowest plane up."""
         now = np.zeros(self.size, np.uint16)
         for plane in range(BITS - 1, -1, -1):
             ones = self.bits(plane).view(bool)
-            z = self.zeros[plane]
+            z = int(self.zeros[plane])
             up = np.empty(self.size, np.uint16)
             up[~ones] = now[:z]
             up[ones] = now[z:] | np.uint16(1 << (BITS - 1 - plane))
@@ -82,21 +101,20 @@ class WaveletMatrix:
         return now
 
     def ones_before(self, plane: int, at: int) -> int:
-        if self._ranks is None:
-            count = lambda p: np.bitwise_count(np.append(p, np.zeros(-len(p) % (STRIDE // 8), np.uint8)).reshape(-1, STRIDE // 8)).sum(axis=1)
-            self._ranks = [np.concatenate([[0], np.cumsum(count(p))]) for p in self.planes]
-        block = at // STRIDE
-        rest = self.planes[plane][block * STRIDE // 8 : (at + 7) // 8]
-        inside = int(np.unpackbits(rest, bitorder="little")[: at - block * STRIDE].sum()) if len(rest) else 0
-        return int(self._ranks[plane][block]) + inside
+        if at >= self.size:
+            return self.size - int(self.zeros[plane])
+        block = self._block(plane, at // BLOCK)
+        first = at % BLOCK // STRIDE * (STRIDE // 8)
+        rest = np.unpackbits(block[first : first + STRIDE // 8], bitorder="little")
+        return int(self.ranks[plane][at // STRIDE]) + int(rest[: at % STRIDE].sum())
 
     def access(self, at: int) -> int:
         value = 0
         for plane in range(BITS):
             ones = self.ones_before(plane, at)
-            if self.planes[plane][at >> 3] >> (at & 7) & 1:
+            if self._block(plane, at // BLOCK)[at % BLOCK >> 3] >> (at & 7) & 1:
                 value |= 1 << (BITS - 1 - plane)
-                at = self.zeros[plane] + ones
+                at = int(self.zeros[plane]) + ones
             else:
                 at -= ones
         return value
@@ -106,7 +124,7 @@ class WaveletMatrix:
         for plane in range(BITS):
             a, b = self.ones_before(plane, lo), self.ones_before(plane, hi)
             if token >> (BITS - 1 - plane) & 1:
-                lo, hi = self.zeros[plane] + a, self.zeros[plane] + b
+                lo, hi = int(self.zeros[plane]) + a, int(self.zeros[plane]) + b
             else:
                 lo, hi = lo - a, hi - b
         return lo, hi
@@ -124,7 +142,7 @@ class WaveletMatrix:
         at = lo + k
         for plane in range(BITS - 1, -1, -1):
             one = token >> (BITS - 1 - plane) & 1
-            wanted = at - self.zeros[plane] if one else at
+            wanted = at - int(self.zeros[plane]) if one else at
             a, b = 0, self.size  # smallest place whose count of such bits passes the wanted one
             while a < b:
                 m = (a + b) // 2
@@ -133,6 +151,16 @@ class WaveletMatrix:
             at = a
         return at
 
+    def places(self, token: int) -> np.ndarray:
+        """All places of a token, in order: its range on the lowest plane, carried up plane by plane."""
+        lo, hi = self._range(token, self.size)
+        at = np.arange(lo, hi)
+        for plane in range(BITS - 1, -1, -1) if hi > lo else ():
+            one = token >> (BITS - 1 - plane) & 1
+            same = np.flatnonzero(self.bits(plane) == one)
+            at = same[at - int(self.zeros[plane]) if one else at]
+        return at
+
 
 SHARDS = "part long, shard int, before long, n_tokens long, doc_ids array<bigint>, ends array<bigint>, matrix binary"
 _SHARDS = pa.schema([("part", pa.int64()), ("shard", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("matrix", pa.binary())])
@@ -153,16 +181,16 @@ def write_shards(docs: DataFrame, spec: str, end: int = END, shard_tokens: int =
         number, before, chunks, ids_of, ends, size = 0, 0, [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(chunks), "<u2")
-            return batch_of(_SHARDS, [part], [number], [before], [size], [ids_of], [ends], [WaveletMatrix.build(ids).dump()])
+            return batch_of(_SHARDS, [part], [number], [before], [size], [ids_of], [ends], [WaveletMatrix.build(np.concatenate(chunks)).dump()])
 
-        last = np.uint16(end).tobytes()
+        last = np.array([end], np.uint16)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), tokenizer.encode(some.column("text").to_pylist())):
-                    chunks += [ids, last]
-                    size += len(ids) // 2 + 1
+            for some in in_slices(batch):
+                ids, upto = tokenizer.encode(some.column("text"))
+                upto = upto.tolist()
+                for doc_id, a, b in zip(some.column("doc_id").to_pylist(), [0, *upto], upto):
+                    chunks += [ids[a:b], last]
+                    size += b - a + 1
                     ids_of.append(doc_id)
                     ends.append(size)
                     if size >= shard_tokens:
@@ -193,17 +221,17 @@ def read_documents(shards: DataFrame) -> DataFrame:
     def decode(batches: Batches) -> Batches:
         for batch in batches:
             for r in batch.to_pylist():
-                ids = WaveletMatrix.load(r["matrix"]).decode().astype("<u4")
+                ids = memoryview(WaveletMatrix.load(r["matrix"]).decode().astype("<u4").tobytes())
                 ends = np.array(r["ends"], np.int64)
                 begins = np.append(0, ends[:-1])
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins, ends)]
+                crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(begins.tolist(), r["ends"])]
                 yield batch_of(schema, r["doc_ids"], begins + r["before"] + shared.value[r["part"]], ends - begins, crc)
 
     return map_arrow(shards, decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_places(shards: DataFrame, tokens: list[int]) -> DataFrame:
-    """(token, doc_id, place in the document) of every occurrence, found by rank and select alone."""
+    """(token, doc_id, place in the document) of every occurrence, found by the planes alone."""
     schema = pa.schema([("token", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int64())])
 
     def find(batches: Batches) -> Batches:
@@ -211,7 +239,7 @@ def token_places(shards: DataFrame, tokens: list[int]) -> DataFrame:
             for r in batch.to_pylist():
                 matrix, ends = WaveletMatrix.load(r["matrix"]), np.array(r["ends"], np.int64)
                 for token in tokens:
-                    at = np.array([matrix.select(token, k) for k in range(matrix.rank(token, matrix.size))], np.int64)
+                    at = matrix.places(token)
                     doc = np.searchsorted(ends, at, side="right")
                     yield batch_of(schema, [token] * len(at), [r["doc_ids"][d] for d in doc], at - np.append(0, ends)[doc])
 

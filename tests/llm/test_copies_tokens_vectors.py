@@ -5,32 +5,42 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
 from gristmill.llm import contamination, extract, multiindex, neardup, packing, urls, wavelet
-from gristmill.llm.common import WordTokenizer, read_text
+from gristmill.llm.common import WordTokenizer, in_slices, read_text
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, component_id string, bands int"
-ODD = ["", None, "Thé  Cat's\t\n\n end.", " x", "\x1c! \x0b.", "á Á ΑΣ İ ǅ", "<|endoftext|> it's 12.5%,, ok", "\n\n\nnew line\n", "ß" * 50 + ".", "don't.", "word,word. word.. word,.", "tab\t here nbsp 　x"]
+ODD = ["", None, "Thé  Cat's\t\n\n end.", " x", "\x1c! \x0b.", "á Á ΑΣ İ ǅ", "<|endoftext|> it's 12.5%,, ok", "\n\n\nnew line\n", "ß" * 50 + ".", "don't.", "word,word. word.. word,.", "tab\t here nbsp \xa0x"]
+SPACED = ["a <|endoftext|> b", "a   <|endoftext|>   b<|startoftext|>c", "A<|endoftext|>", "<|endoftext|", "x\u2003 \u2003y  \u3000 z\u3000", "   ", "a   b\t\t c", " \u0301e e\u0301 ", "\x85a\x85 b\u1680\u205f c", "\u200bz  q\u2028\u202f", "\xa0", "É é. É, É.."]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_word_tokenizer_equals_library(spark, name):
+    """Against the library as it comes: special tokens' literals too."""
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(P.path(name))
-    plain.encode_special_tokens = True
-    texts = ODD + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]
+    texts = ODD + SPACED + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    want = [plain.encode(t, add_special_tokens=False).ids if t else [] for t in texts]
     ours = WordTokenizer(read_text(P.path(name)))
-    for _ in range(2):
-        for text, ids in zip(texts, ours.encode(texts)):
-            assert np.frombuffer(ids, "<u2").tolist() == (plain.encode(text, add_special_tokens=False).ids if text else []), text
-    ours.KEEP = 5
-    for text in texts[:20]:
-        assert np.frombuffer(ours.encode([text])[0], "<u2").tolist() == (plain.encode(text, add_special_tokens=False).ids if text else [])
+    for part in (slice(None), slice(3, 9), slice(0, 2)):  # slices share buffers with what lies before them
+        ids, ends = ours.encode(pa.array(texts, pa.string())[part])
+        assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == want[part]
+    ours.TOGETHER = 3
+    assert ours.encode(pa.array(texts[-5:], pa.string()))[0].tolist() == sum(want[-5:], [])
+    ids, ends = ours.encode(pa.array([], pa.string()))
+    assert not len(ids) and not len(ends)
+
+
+def test_slices():
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["a" * 30, None, "", "b" * 100, "c", "d" * 10] * 5, pa.string())})
+    parts = list(in_slices(batch, size=50))
+    assert sum(p.num_rows for p in parts) == 30 and len(parts) > 5 and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
 
 
 def plain_components(rows):
@@ -179,19 +189,32 @@ def test_wavelet_matrix():
             token = int(ids[at])
             assert m.access(at) == token and m.rank(token, at) == (ids[:at] == token).sum()
             assert m.select(token, m.rank(token, at)) == at
+        for token in set(ids[:5].tolist()):
+            assert m.places(token).tolist() == np.flatnonzero(ids == token).tolist()
+        assert not len(m.places(50_000)) or (ids == 50_000).any()
         assert m.rank(50_000, len(ids)) == (ids == 50_000).sum() and m.select(50_000, len(ids)) == -1
 
 
+def test_one_access_inflates_one_block_of_a_plane():
+    ids = np.random.default_rng(8).integers(0, 49_000, 3 * wavelet.BLOCK).astype(np.uint16)
+    m = wavelet.WaveletMatrix.load(wavelet.WaveletMatrix.build(ids).dump())
+    assert m.inflated == 0 and m.access(wavelet.BLOCK + 5) == ids[wavelet.BLOCK + 5]
+    assert m.inflated <= 2 * wavelet.BITS < 3 * wavelet.BITS
+
+
 def test_token_files(spark):
-    rows = [(i, t) for i, t in zip((5, 3, 9, 1, 7, 2, 30, 31, 32, 33, 34, 35), ODD)] + [(5, "again"), (None, "first of all")]
+    from tokenizers import Tokenizer
+
+    rows = [(i, t) for i, t in zip((5, 3, 9, 1, 7, 2, 30, 31, 32, 33, 34, 35), ODD)] + [(40 + i, t) for i, t in enumerate(SPACED)]
+    rows += [(5, "again"), (None, "first of all")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     spec = read_text(P.path("word_bpe_49k.json"))
     shards = wavelet.write_shards(docs, spec, shard_tokens=20)
     got = sorted(wavelet.read_documents(shards).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: -1 if i is None else i)
     assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
-    tokenizer = WordTokenizer(spec)
-    want = Counter((i, zlib.crc32(np.append(np.frombuffer(ids, "<u2"), 2).astype("<u4").tobytes())) for (i, _), ids in zip(rows, tokenizer.encode([t for _, t in rows])))
+    plain = Tokenizer.from_str(spec)
+    want = Counter((i, zlib.crc32(np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for i, t in rows)
     assert Counter((r.doc_id, r.ids_crc32) for r in got) == want
     ends = wavelet.token_places(shards, [2]).groupBy("doc_id").count().collect()
     assert sum(r["count"] for r in ends) >= len(rows)
