@@ -30,7 +30,8 @@ def map_arrow(df: DataFrame, task: Callable[[Batches], Batches], schema: str) ->
     names = df.columns
 
     def named(batches: Batches) -> Batches:
-        return task(b.rename_columns(names) for b in batches)
+        yield from task(b.rename_columns(names) for b in batches)
+        pa.default_memory_pool().release_unused()  # the worker stays, what it held goes back
 
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(named, schema)
 
@@ -79,7 +80,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 #: Texts are encoded in slices of about this many bytes (one text at least), which bounds what a task holds.
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 10_000_000
 
 #: UTF-8 forms of the white space beyond ASCII: the first byte, and what follows it.
 _WIDE_SPACES = {
@@ -229,8 +230,8 @@ class WordTokenizer:
         code = coded.indices.to_numpy()
         much = np.cumsum(length[code])
         out = np.empty(int(much[-1]), np.uint16)
-        for k in range(0, len(code), 500_000):  # bounds the index arrays
-            some, upto = code[k : k + 500_000], much[k : k + 500_000]
+        for k in range(0, len(code), 250_000):  # bounds the index arrays
+            some, upto = code[k : k + 250_000], much[k : k + 250_000]
             each = length[some]
             start = int(upto[0] - each[0])
             out[start : int(upto[-1])] = ids[np.repeat(at[some] - (upto - each - start), each) + np.arange(int(upto[-1]) - start)]

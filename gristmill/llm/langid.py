@@ -15,12 +15,17 @@ from gristmill.llm.common import Batches, batch_of, map_arrow
 UNKNOWN = "und"
 #: Training reads about this many documents of each language (all, if fewer): the bound of the sample.
 DOCUMENTS_PER_LANGUAGE = 1_500
-#: More labels than this are an error: the driver holds a column of piece chances for each.
-MOST_LANGUAGES = 10_000
+#: More labels than this are an error: driver and tasks hold a column of piece chances for each
+#: (a quarter of a megabyte for 32,000 pieces).
+MOST_LANGUAGES = 1_000
 EM_ROUNDS = 4
 #: Words are scored in parts of at most this many characters, so no product underflows.
 PART = 32
 FLOOR = 1e-8
+#: Word parts that are split into pieces together.
+TOGETHER = 4_000
+#: Bytes of word scores a task keeps.
+KEPT_BYTES = 48_000_000
 LETTERS = re.compile(r"[^\W\d_]+").findall
 WORD_MARK = "▁"  # what the vocabulary writes for the start of a word
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -65,7 +70,7 @@ class Pieces:
             for size in range(1, min(end, self.longest) + 1):
                 h = prefix[:n, end] - prefix[:n, end - size] * powers[size - 1]
                 at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-                ids = np.where(self.sorted[at] == h, self.order[at], len(self.pieces) if size == 1 else -1)
+                ids = np.where(self.sorted[at] == h, self.order[at], len(self.pieces) if size == 1 else -1).astype(np.int32)
                 row.append(ids)
             out.append((n, row))
         return lengths, out
@@ -153,7 +158,7 @@ def train(labelled: DataFrame, pieces: list[str], per_language: int = DOCUMENTS_
     counted = materialize(counted, "words")
 
     chances = np.full((len(set(p for p in pieces if p and len(p) <= PART)) + 1, len(langs)), 1.0)
-    shared = labelled.sparkSession.sparkContext.broadcast(pieces)
+    shared, number = labelled.sparkSession.sparkContext.broadcast(pieces), {k: i for i, k in enumerate(langs)}
     for _ in range(rounds):
         chances /= chances.sum(axis=0)
         chances = np.maximum(chances, FLOOR)
@@ -164,16 +169,19 @@ def train(labelled: DataFrame, pieces: list[str], per_language: int = DOCUMENTS_
             counts = np.zeros_like(now.value)
             for batch in batches:
                 rows = sorted(zip(batch.column("part").to_pylist(), batch.column("lang").to_pylist(), batch.column("n").to_pylist()), key=lambda r: -len(r[0]))
-                if rows:
-                    weights = np.zeros((len(rows), len(langs)))
-                    weights[np.arange(len(rows)), [langs.index(r[1]) for r in rows]] = [r[2] for r in rows]
-                    counts += expected_counts(known.cells([r[0] for r in rows]), now.value, weights)
+                for start in range(0, len(rows), TOGETHER):
+                    some = rows[start : start + TOGETHER]
+                    weights = np.zeros((len(some), len(langs)))
+                    weights[np.arange(len(some)), [number[r[1]] for r in some]] = [r[2] for r in some]
+                    counts += expected_counts(known.cells([r[0] for r in some]), now.value, weights)
             piece, lang = np.nonzero(counts)
             yield batch_of(schema, piece.astype(np.int32), lang.astype(np.int32), counts[piece, lang])
 
         summed = map_arrow(counted, expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         chances = np.full(chances.shape, 0.01)
         np.add.at(chances, (summed["piece"].to_numpy(), summed["lang"].to_numpy()), summed["n"].to_numpy())
+        now.destroy()  # this round's counts are here
+    shared.destroy()
     chances /= chances.sum(axis=0)
     return langs, np.maximum(chances, FLOOR)
 
@@ -181,23 +189,23 @@ def train(labelled: DataFrame, pieces: list[str], per_language: int = DOCUMENTS_
 class WordScores(dict):
     """Log chances of lower-case words, a row of numbers each; emptied when large."""
 
-    KEEP = 300_000
-
     def __init__(self, pieces: Pieces, chances: np.ndarray):
         self.pieces, self.chances = pieces, chances
+        self.keep = max(1, KEPT_BYTES // (200 + 8 * chances.shape[1]))  # a word and its entry take about 200 bytes
         self.rows = np.empty((1024, chances.shape[1]))
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.KEEP:
+        if len(self) + len(new) > self.keep:
             self.clear()
+            self.rows = np.empty((1024, self.chances.shape[1]))
             new = list(words)
         parts = sorted({p for w in new for p in parts_of(w)}, key=len, reverse=True)
         if not parts:
             return
         logs = {}
-        for start in range(0, len(parts), 20_000):
-            some = parts[start : start + 20_000]
+        for start in range(0, len(parts), TOGETHER):
+            some = parts[start : start + TOGETHER]
             cells = self.pieces.cells(some)
             sums = forward(cells, self.chances)
             for i, (w, n) in enumerate(zip(some, cells[0])):

@@ -25,6 +25,8 @@ ESTIMATE_LEAST = 0.5
 #: Shingles that more members lack in their centre are counted to the centre.
 USUAL = 32
 MASK = (1 << 64) - 1
+#: Words whose hashes a task keeps (about 150 bytes each).
+KNOWN = 200_000
 
 _MULTIPLIERS = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") | 1 for i in range(WORDS)], np.uint64)
 #: Each empty bucket borrows from the first filled one of its own fixed order.
@@ -104,7 +106,7 @@ def _sign(batches: Batches) -> Batches:
             sizes.append(len(s))
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             bands.append(registers(s).view(np.int64) if len(s) else None)
-            if len(known) > 500_000:
+            if len(known) > KNOWN:
                 known.clear()
         yield batch_of(_SIGNED, batch.column("doc_id"), sizes, keys, batch.column("th1"), batch.column("th2"), bands)
 
@@ -150,7 +152,7 @@ def _apart_from_centre(batches: Batches) -> Batches:
             other = np.setdiff1d(mine, seen[1], assume_unique=True)
             common.append(len(mine) - len(other))
             beyond.append(other.view(np.int64))
-            if len(known) > 500_000:
+            if len(known) > KNOWN:
                 known.clear()
         yield batch_of(_APART, *(batch.column(c) for c in ("centre", "id", "n", "label")), common, beyond)
 

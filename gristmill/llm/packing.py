@@ -10,14 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.core import materialize
+from gristmill.core import broadcast_if_small, materialize
 from gristmill.llm.common import Batches, WordTokenizer, batch_of, in_slices, map_arrow, task_number
 
 CAPACITY = 2048
 END = 0
 #: Lengths above this share of a sequence are large: grouped and configured, the others fill gaps.
 LARGE = 1 / 8
-GROUPS = 200
+GROUPS = 64
+#: Configurations tried for each group before the best so far are used.
+STEPS = 8
+#: Configurations that leave more than this free are tried with and without: best fit may do better there.
+WASTE = (CAPACITY, 16)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, place long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int64()), ("place", pa.int64())])
@@ -45,13 +49,11 @@ def token_pieces(docs: DataFrame, spec: str, capacity: int = CAPACITY, with_ids:
                 ids, upto = tokenizer.encode(some.column("text"))
                 upto = upto.tolist()
                 whole = np.insert(ids, upto, np.uint16(END))  # an end behind each document
-                data = memoryview((whole if with_ids else whole.astype("<u4")).tobytes())
-                rows, at = [], 0
+                data, rows, at = memoryview(whole.astype("<u4")).cast("B"), [], 0
                 for doc_id, a, b in zip(some.column("doc_id").to_pylist(), [0, *upto], upto):
                     for k, (start, n) in enumerate(cut(b - a + 1, capacity)):
-                        crc = zlib.crc32(whole[at : at + n].astype("<u4").tobytes() if with_ids else data[4 * at : 4 * (at + n)])
-                        row = (doc_id, k, start, n, crc, part, places[n])
-                        rows.append((*row, data[2 * at : 2 * (at + n)].tobytes()) if with_ids else row)
+                        row = (doc_id, k, start, n, zlib.crc32(data[4 * at : 4 * (at + n)]), part, places[n])
+                        rows.append((*row, whole[at : at + n].tobytes()) if with_ids else row)
                         places[n] += 1
                         at += n
                 yield batch_of(schema, *zip(*rows))
@@ -60,9 +62,57 @@ def token_pieces(docs: DataFrame, spec: str, capacity: int = CAPACITY, with_ids:
     return materialize(map_arrow(asked, encode, PIECES + (", ids binary" if with_ids else "")), "pieces")
 
 
+def fullest(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The configuration of most worth: its worth, and how often it holds each size (any number of times)."""
+    room = np.arange(capacity + 1)[:, None] - sizes
+    rest = np.maximum(room, 0)
+    best, choices = np.zeros(capacity + 1), []
+    while len(choices) < capacity // sizes.min():
+        more = np.where(room >= 0, best[rest] + worth, 0.0)
+        choice = more.argmax(axis=1)
+        value = more[np.arange(capacity + 1), choice]
+        better = value > best + 1e-12
+        if not better.any():
+            break
+        choices.append(np.where(better, choice, -1))
+        best = np.where(better, value, best)
+    held, left = np.zeros(len(sizes)), capacity
+    for choice in reversed(choices):
+        if choice[left] >= 0:
+            held[choice[left]] += 1
+            left -= sizes[choice[left]]
+    return float(held @ worth), held
+
+
+def configurations(sizes: list[int], demand: list[int], capacity: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Configurations (columns) and how often to use each: the fewest sequences that hold the sizes, in fractions.
+
+    The linear program over all configurations, solved by column generation: the prices of the
+    sizes under the present configurations name the one of most worth, which enters in
+    place of the first that runs out, until none is worth more than a sequence.
+    """
+    size, demand = np.array(sizes), np.array(demand, float)
+    columns = np.diag((capacity // size).astype(float))
+    for _ in range(steps):
+        worth, held = fullest(size, np.linalg.solve(columns.T, np.ones(len(size))), capacity)
+        if worth <= 1 + 1e-9:
+            break
+        times, change = np.linalg.solve(columns, demand), np.linalg.solve(columns, held)
+        ratio = np.where(change > 1e-9, np.maximum(times, 0) / np.maximum(change, 1e-9), np.inf)
+        columns[:, int(ratio.argmin())] = held
+    return columns, np.linalg.solve(columns, demand)
+
+
 class Plan:
     """Where the k-th item of each length goes, made from the number of items of each length alone.
 
+    Large lengths are rounded up in groups of equal cardinality; the configuration program
+    over the few rounded sizes is solved, its numbers of uses are rounded down, and actual
+    items take the slots. What is left, large and small, goes by falling length into the
+    sequence with the least room that holds it. That is done with all configurations, with
+    those that leave little free, and with none; the plan of the fewest sequences is taken, so
+    rounding never costs more than the configurations give.
+
     The work and the size of the plan depend on the capacity, not on the number of
     items: runs of sequences that look alike are handled as one. events: (length, lo,
     hi, sequence, offset) puts items lo <= k < hi of that length at offset in the
@@ -70,18 +120,38 @@ class Plan:
     """
 
     def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS):
-        self.capacity, self.events, self.sequences = capacity, [], 0
+        self.capacity = capacity
+        items = [(n, 0, c) for n, c in sorted(counts.items(), reverse=True) if c]
+        large, small = [i for i in items if i[0] > capacity * LARGE], [i for i in items if i[0] <= capacity * LARGE]
+        sized = self.grouped(large, groups)
+        uses = [] if not sized else list(zip(*(x.T.astype(int if k == 0 else float).tolist() for k, x in enumerate(
+            configurations([g["size"] for g in sized], [g["left"] for g in sized], capacity, STEPS * len(sized))))))
+        plans = [self.filled(items)]
+        for waste in WASTE if uses else ():
+            close = [(held, times) for held, times in uses if capacity - sum(k * g["size"] for k, g in zip(held, sized)) <= waste]
+            plans.append(self.filled(small, self.grouped(large, groups), close))
+        best = min(range(len(plans)), key=lambda k: (plans[k][1], k == 0))
+        self.configured = best > 0
+        self.events, self.sequences = plans[best]
+
+    def filled(self, items: list[tuple[int, int, int]], groups: list[dict] = (), uses: list[tuple] = ()) -> tuple[list[tuple], int]:
+        """Events and number of sequences: the configurations, then what they leave of the groups and the items by best fit."""
+        self.events, self.sequences = [], 0
         self.open: dict[int, list[tuple[int, int]]] = defaultdict(list)  # free tokens -> runs (first, number)
         self.free = 0  # bit r: sequences with r free tokens exist
-        large = [(n, 0, c) for n, c in sorted(counts.items(), reverse=True) if c and n > capacity * LARGE]
-        small = [(n, c) for n, c in sorted(counts.items(), reverse=True) if c and n <= capacity * LARGE]
-        self.configure(self.grouped(large, groups))
-        for n, c in small:
-            self.best_fit(n, c)
+        for held, times in sorted(uses, reverse=True):
+            used = [(g, k) for g, k in zip(groups, held) if k]
+            times = min(int(times + 1e-6), *(g["left"] // k for g, k in used))
+            if times > 0:
+                self.lay([self.take(g, times) for g, k in used for _ in range(k)], times)
+        items = items + [run for g in groups for run in g["runs"]]
+        for n, lo, hi in sorted(items, key=lambda run: (-run[0], run[1])):
+            self.best_fit(n, lo, hi)
+        return self.events, self.sequences
 
     @staticmethod
     def grouped(large: list[tuple[int, int, int]], groups: int) -> list[dict]:
-        """Linear grouping: groups of equal cardinality by falling length, each rounded up to its longest."""
+        """Linear grouping: groups of equal cardinality by falling length, each rounded up to its longest; equal sizes are one."""
         total = sum(hi - lo for _, lo, hi in large)
         each = max(1, -(-total // groups))
         out: list[dict] = []
@@ -93,52 +163,12 @@ class Plan:
                 out[-1]["runs"].append((n, lo, lo + take))
                 out[-1]["left"] += take
                 lo += take
-        return out
-
-    def configure(self, groups: list[dict]) -> None:
-        """Use the fullest configuration that holds the largest size left, as often as its groups allow."""
-        while groups:
-            used = self.configuration(groups)
-            times = min(groups[j]["left"] // k for j, k in used.items())
-            slots = [self.take(groups[j], times) for j, k in sorted(used.items()) for _ in range(k)]
-            self.lay(slots, times)
-            groups = [g for g in groups if g["left"]]
-
-    def configuration(self, groups: list[dict]) -> dict[int, int]:
-        """Group number -> times used, with the largest group in it and the highest sum of rounded sizes."""
-        room = self.capacity - groups[0]["size"]
-        mask = (1 << (room + 1)) - 1
-        sizes = [(j, g["size"]) for j, g in enumerate(groups) if g["size"] <= room]
-        reach = [1]
-        while sizes:
-            more = reach[-1]
-            for _, s in sizes:
-                more |= reach[-1] << s
-            more &= mask
-            if more == reach[-1]:
-                break
-            reach.append(more)
-        used = defaultdict(int, {0: 1})
-        sums = reach[-1]
-        while sums > 1:
-            best = sums.bit_length() - 1
-            trial, left = defaultdict(int, used), best
-            for level in range(len(reach) - 1, 0, -1):
-                if reach[level - 1] >> left & 1:
-                    continue
-                step = next((j for j, s in sizes if s <= left and trial[j] < groups[j]["left"] and reach[level - 1] >> (left - s) & 1), None)
-                if step is None:
-                    break
-                trial[step] += 1
-                left -= groups[step]["size"]
-            if not left:
-                return {j: k for j, k in trial.items() if k}
-            sums &= ~(1 << best)
-        for j, s in sizes:  # no such sum with the numbers left: fill by falling size
-            while s <= room and used[j] < groups[j]["left"]:
-                used[j] += 1
-                room -= s
-        return {j: k for j, k in used.items() if k}
+        merged: dict[int, dict] = {}
+        for g in out:
+            same = merged.setdefault(g["size"], {"size": g["size"], "runs": [], "left": 0})
+            same["runs"] += g["runs"]
+            same["left"] += g["left"]
+        return list(merged.values())
 
     @staticmethod
     def take(group: dict, times: int) -> list[tuple[int, int, int]]:
@@ -177,13 +207,12 @@ class Plan:
             self.open[free].append((first, number))
             self.free |= 1 << free
 
-    def best_fit(self, n: int, count: int) -> None:
-        """Items of one small length, each into the sequence with the least room that holds it."""
-        lo = 0
-        while lo < count and (fitting := self.free >> n):
+    def best_fit(self, n: int, lo: int, hi: int) -> None:
+        """Items of one length, each into the sequence with the least room that holds it."""
+        while lo < hi and (fitting := self.free >> n):
             free = n + (fitting & -fitting).bit_length() - 1
             first, number = self.open[free].pop()
-            k = min(number, count - lo)
+            k = min(number, hi - lo)
             if k < number:
                 self.open[free].append((first + k, number - k))
             elif not self.open[free]:
@@ -192,7 +221,7 @@ class Plan:
             self.leave(free - n, first, k)
             lo += k
         each = self.capacity // n
-        for per, number in ((each, (count - lo) // each), ((count - lo) % each, 1)):
+        for per, number in ((each, (hi - lo) // each), ((hi - lo) % each, 1)):
             if per and number:
                 for j in range(per):
                     self.events.append((n, lo, lo + number, self.sequences, j * n))
@@ -210,18 +239,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     sees all pieces of a common length. Every piece is placed once; offsets are gapless
     from 0. An empty table gives no rows.
     """
-    spark = pieces.sparkSession
     per_part = materialize(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     if counts and max(counts) > capacity:
         raise ValueError("a piece is longer than a sequence")
     plan = Plan(counts, capacity)
-    events = spark.createDataFrame(plan.events or [], "of long, lo long, hi long, first long, offset long")
+    columns = ("of", "lo", "hi", "first", "offset")
+    events = pieces.sparkSession.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*plan.events)] or [pa.array([], pa.int64())] * 5, names=columns))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = pieces.join(starts, ["length", "part"]).withColumn("rank", F.col("before") + F.col("place"))
+    ranked = pieces.join(starts.hint("merge"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("place"))
     at = (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
-    placed = ranked.join(F.broadcast(events), at)  # bounded by the capacity, not by the rows
+    placed = ranked.join(broadcast_if_small(events), at)  # bounded by the capacity, not by the rows
     return placed.select(*pieces.columns, (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
 
 

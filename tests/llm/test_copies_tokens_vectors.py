@@ -166,6 +166,36 @@ def test_plan():
     assert check_plan([1] * 5000) == 3 and check_plan([1025] * 40) == 40 and check_plan([683, 683, 682] * 100) == 100 and check_plan([1000, 1048] * 500) == 500
 
 
+def plain_best_fit(lengths, capacity=2048):
+    """Sequences that best fit of falling lengths takes, item by item."""
+    room = Counter()
+    for n in sorted(lengths, reverse=True):
+        fit = min((r for r in room if r >= n), default=capacity)
+        if room[fit]:
+            room[fit] -= 1
+            room += Counter()
+        room[fit - n] += 1
+    return sum(room.values())
+
+
+def test_plan_against_best_fit():
+    """Never more sequences than best fit; fewer where configurations help; all within the law of the sizes."""
+    rng = np.random.default_rng(3)
+    cases = [rng.integers(1, 2049, 2000), rng.integers(500, 1101, 2000), np.clip(rng.exponential(400, 2000).astype(int), 1, 2048), rng.integers(640, 761, 2000), rng.integers(690, 1366, 600), rng.choice([682, 683, 684, 1364, 1365, 1366], 900), rng.integers(300, 901, 30)]
+    fewer = 0
+    for case in cases:
+        used, plain = check_plan(case.tolist()), plain_best_fit(case.tolist())
+        assert -(-int(case.sum()) // 2048) <= used <= plain
+        fewer += used < plain
+    assert fewer >= 2 and packing.Plan(Counter(cases[1].tolist())).configured
+    assert plain_best_fit([2048, 1, 1]) == 2 and plain_best_fit([1000, 1000, 1048]) == 2
+
+
+def test_configurations_hold_the_sizes():
+    columns, times = packing.configurations([1000, 700, 348], [10, 10, 10], 2048, 50)
+    assert (columns.T @ np.array([1000, 700, 348]) <= 2048).all() and np.allclose(columns @ times, 10) and times.sum() == pytest.approx(10)
+
+
 def test_packed_documents(spark):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(50, "many words here " * 3000), (50, "twice"), (None, "no id"), (51, "same"), (51, "same")]
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, part int, length int")
