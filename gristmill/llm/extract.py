@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,11 +41,74 @@ SHORT_WORDS = 10
 STOPS_GOOD = 0.2
 STOPS_LEAST = 0.1
 
-_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(/?)([a-z][a-z0-9:-]*)({_ATTRIBUTES})>|<(/?)([a-z][a-z0-9:-]*)([^<>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
+#: Comments, the start of a tag, and other markup; where a tag ends is told by Tags.
+MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-z][a-z0-9:-]*)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+EVENT = re.compile("[>\"']")
+UNQUOTED = re.compile(r"[^<>]*(?:>|\Z)")
+
+
+class Tags:
+    """The marks of a page in order, in time that grows with the page alone, however odd its quotes are.
+
+    A tag ends at the first > outside quotes. Where there is none, its quotes count for
+    nothing, and it ends at the next > or the end of the page before another <. What follows an opening
+    quote is found out once, so tags that never end are not each tried to the end of the page.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.places = [m.start() for m in EVENT.finditer(page)]
+        self.closing: list[int] = []  # per event: the next event of the same kind, -1 if none
+        self.end: dict[int, int] = {}  # event, outside quotes -> where a tag that meets it ends
+
+    def _close(self) -> None:
+        last = {">": -1, '"': -1, "'": -1}
+        self.closing = [0] * len(self.places)
+        for k in range(len(self.places) - 1, -1, -1):
+            kind = self.page[self.places[k]]
+            self.closing[k] = last[kind]
+            last[kind] = k
+
+    def tag_end(self, at: int) -> int:
+        """Place behind the > that ends a tag whose name ends here; -1 if no > is outside quotes."""
+        k, met, page = bisect_left(self.places, at), [], self.page
+        while True:
+            if k >= len(self.places):
+                end = -1
+                break
+            if page[self.places[k]] == ">":
+                end = self.places[k] + 1
+                break
+            if k in self.end:
+                end = self.end[k]
+                break
+            if not self.closing:
+                self._close()
+            met.append(k)
+            if self.closing[k] < 0:
+                end = -1
+                break
+            k = self.closing[k] + 1
+        for k in met:
+            self.end[k] = end
+        return end
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closing, name, attributes) of the next mark; no name if it is no tag."""
+        while m := MARK.search(self.page, at):
+            if not m[2]:
+                return m.start(), m.end(), False, "", ""
+            end = self.tag_end(m.end())
+            if end < 0:
+                rest = UNQUOTED.match(self.page, m.end())
+                if not rest:  # another < comes first: plain text
+                    at = m.end()
+                    continue
+                return m.start(), rest.end(), bool(m[1]), m[2].lower(), rest[0].removesuffix(">")
+            return m.start(), end, bool(m[1]), m[2].lower(), self.page[m.end() : end - 1]
+        return None
+
+
 #: Elements whose text is left out. Browsers read the first up to their end tag, or the end of the page, as plain characters.
 RAW = frozenset("script style noscript textarea title iframe".split())
 SKIPPED = frozenset("template svg math select button object canvas".split())
@@ -68,7 +132,7 @@ class Block:
 
     __slots__ = ("texts", "linked", "boilerplate", "hints", "root", "parent", "heading", "text", "label")
 
-    def __init__(self, boilerplate: bool, hints: frozenset, root: int, parent: int, heading: bool):
+    def __init__(self, boilerplate: bool, hints: int, root: int, parent: int, heading: bool):
         self.texts: list[str] = []
         self.linked: list[str] = []
         self.boilerplate, self.hints, self.root, self.parent, self.heading = boilerplate, hints, root, parent, heading
@@ -83,7 +147,7 @@ class Skipped:
     def foreign(self) -> bool:
         return self.name in ("svg", "math") and not any(self.inside[n] for n in HOLDS_HTML)
 
-    def ends(self, name: str, closing: bool, attributes: str, enclosing: set[str], in_p: bool) -> tuple[bool, bool]:
+    def ends(self, name: str, closing: bool, attributes: str, enclosing: Counter, in_p: bool) -> tuple[bool, bool]:
         """Whether the element ends at this tag, and whether the tag still counts for what encloses it."""
         own = self.name
         if closing:
@@ -93,13 +157,13 @@ class Skipped:
             if name == own:
                 return True, False
             if own in ("svg", "math", "canvas"):
-                over = name in enclosing or name in INLINE or name == "br"
+                over = enclosing[name] > 0 or name in INLINE or name == "br"
             elif own == "select":
-                over = name in TABLE and "table" in enclosing
+                over = name in TABLE and enclosing["table"] > 0
             else:
-                over = own == "button" and name in enclosing
+                over = own == "button" and enclosing[name] > 0
             return over, over
-        if own == "select" and (name in ("select", "input", "textarea") or name in TABLE and "table" in enclosing):
+        if own == "select" and (name in ("select", "input", "textarea") or name in TABLE and enclosing["table"] > 0):
             return True, name != "select"
         if own == "canvas" and in_p and name in BLOCKS and not self.inside["p"]:
             return True, True
@@ -126,13 +190,16 @@ def hinted(attributes: str, in_root: bool) -> bool:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, empty ones left out."""
     out: list[Block] = []
-    none: frozenset = frozenset()
-    stack: list[tuple[str, bool, frozenset, int, int]] = [("", False, none, 0, 0)]  # element, boilerplate, hints above, number of its article, own number
-    count, links, hints = 0, 0, 0
+    # element, boilerplate, number of the nearest hint above, number of its article, own number
+    stack: list[tuple[str, bool, int, int, int]] = [("", False, 0, 0, 0)]
+    enclosing: Counter = Counter()  # the elements in the stack
+    above_hint = [0]  # of each hint: the nearest one above
+    count = links = 0
     heading = in_p = False
     skipped: Skipped | None = None
     last_object = max((m.start() for m in re.finditer("</object", page, re.I)), default=-1)
-    now = Block(False, none, 0, 0, False)
+    now = Block(False, 0, 0, 0, False)
+    tags = Tags(page)
 
     def border() -> None:
         nonlocal now, links
@@ -150,17 +217,16 @@ def blocks(page: str) -> list[Block]:
             now.linked.append(text)
 
     at = 0
-    while m := TOKEN.search(page, at):
-        if m.start() > at and not skipped:
-            add(html.unescape(page[at : m.start()]))
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+    while mark := tags.next(at):
+        start, end, closing, name, attributes = mark
+        if start > at and not skipped:
+            add(html.unescape(page[at:start]))
+        at = end
         if not name:
             continue
-        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         foreign = bool(skipped) and skipped.foreign()
         if skipped:
-            over, counts = skipped.ends(name, closing, attributes, {x[0] for x in stack}, in_p)
+            over, counts = skipped.ends(name, closing, attributes, enclosing, in_p)
             if over:
                 skipped = None
         else:
@@ -192,59 +258,68 @@ def blocks(page: str) -> list[Block]:
             elif not closing:
                 heading = False
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
+                while enclosing[name]:
+                    last = stack.pop()[0]
+                    enclosing[last] -= 1
+                    if last == name:
                         break
             elif name not in VOID and name != "p":
                 _, boilerplate, above, root, _ = stack[-1]
                 count += 1
                 if name in ("html", "body"):
-                    boilerplate, above = False, none
+                    boilerplate, above = False, 0
                     if name == "body":
                         del stack[1:]
+                        enclosing.clear()
                 elif name in ROOTS:
-                    boilerplate, above, root = False, none, root or count
+                    boilerplate, above, root = False, 0, root or count
                 else:
                     boilerplate = boilerplate or name in BOILERPLATE or name == "header" and not root or hidden(attributes)
                     if hinted(attributes, bool(root)):
-                        hints += 1
-                        above = above | {hints}
+                        above_hint.append(above)
+                        above = len(above_hint) - 1
                 stack.append((name, boilerplate, above, root, count))
+                enclosing[name] += 1
             border()
         if not closing and attributes and (name == "p" or name in ("span", "b", "i", "em", "strong", "small", "ins", "font", "label") and not now.texts):
             now.boilerplate = now.boilerplate or hidden(attributes)
             if hinted(attributes, bool(stack[-1][3])):
-                hints += 1
-                now.hints = now.hints | {hints}
+                above_hint.append(now.hints)
+                now.hints = len(above_hint) - 1
     if at < len(page):
         add(html.unescape(page[at:]))
     border()
     for b in out:
         b.text = " ".join("".join(b.texts).split())
     out = [b for b in out if b.text]
-    weigh_hints(out)
+    weigh_hints(out, above_hint)
     return out
 
 
-def weigh_hints(found: list[Block]) -> None:
+def weigh_hints(found: list[Block], above: list[int]) -> None:
     """Hints make their blocks boilerplate, but for one whose text, good by the other rules, is most of the page's not bad by them.
 
     A single block beside an article with text, such as a notice longer than the article, stays boilerplate.
     """
-    held: Counter = Counter()
-    number: Counter = Counter()
-    total, article = 0, False
-    if any(b.hints for b in found):
-        for b in found:
-            label = first_pass(b)
-            total += len(b.text) * (label != BAD)
-            article |= b.root > 0 and label != BAD and not b.hints
-            if label == GOOD:
-                held.update(dict.fromkeys(b.hints, len(b.text)))
-                number.update(b.hints)
+    if not any(b.hints for b in found):
+        return
+    held, number, total, article = [0] * len(above), [0] * len(above), 0, False
+    for b in found:
+        label = first_pass(b)
+        total += len(b.text) * (label != BAD)
+        article |= b.root > 0 and label != BAD and not b.hints
+        if label == GOOD and b.hints:
+            held[b.hints] += len(b.text)
+            number[b.hints] += 1
+    for h in range(len(above) - 1, 0, -1):  # a hint stands above later ones only
+        held[above[h]] += held[h]
+        number[above[h]] += number[h]
+    light, lone = [False] * len(above), [False] * len(above)  # is it, or one above it
+    for h in range(1, len(above)):
+        light[h] = light[above[h]] or 2 * held[h] <= total
+        lone[h] = lone[above[h]] or number[h] == 1
     for b in found:
-        b.boilerplate = b.boilerplate or any(2 * held[h] <= total or article and not b.root and number[h] == 1 for h in b.hints)
+        b.boilerplate = b.boilerplate or light[b.hints] or article and not b.root and lone[b.hints]
 
 
 def first_pass(b: Block) -> str:
@@ -270,14 +345,19 @@ def second_pass(found: list[Block]) -> None:
     kept. At equal distance the neighbour in the same element counts, then the one below.
     """
     decided = [i for i, b in enumerate(found) if b.label != OPEN]
+    inside = defaultdict(list)  # decided blocks of each article
+    for i in decided:
+        if not found[i].boilerplate:
+            inside[found[i].root].append(i)
     for i, b in enumerate(found):
         if b.label != OPEN:
             continue
-        near = [j for j in decided if found[j].root == b.root and not found[j].boilerplate] if b.root else decided
+        near = inside[b.root] if b.root else decided
         if not near:
             b.label = GOOD if b.root or not decided else BAD
             continue
-        j = min(near, key=lambda j: (abs(i - j), found[j].parent != b.parent, j < i))
+        k = bisect_left(near, i)
+        j = min(near[max(0, k - 1) : k + 1], key=lambda j: (abs(i - j), found[j].parent != b.parent, j < i))
         b.texts = [found[j].label]
     for b in found:
         if b.label == OPEN:
