@@ -13,26 +13,43 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 FEATURES = 1 << 15
 GRAMS = (3, 4, 5)
 
-#: The small labelled table: hosts, each with a few paths. 1 stands for block.
-BLOCKED_HOSTS = (
-    "cheap-pills.example.com spam-farm.example.org casino-win.example.com free-bets.example.org adult-x.example.com ads-track.example.org "
-    "online-casino.example.com poker-bets.example.org win-jackpot.example.com buy-pills.example.com viagra-cheap.example.org xxx-adult.example.com "
-    "porn-tube.example.org ad-tracker.example.com track-clicks.example.org ads-server.example.com link-farm.example.com spam-links.example.org "
-    "free-money.example.com lottery-win.example.org sports-bets.example.com adult-cams.example.org"
-).split()
-ALLOWED_HOSTS = (
-    "news.example.com blog.example.org wiki.example.com docs.example.org library.example.com museum.example.org university.example.com school.example.org "
-    "weather.example.com science.example.org history.example.com garden.example.org recipes.example.com travel.example.org music.example.com theatre.example.org "
-    "m.letters.example.com www.thoughts.example.org blog.notation.example.com the-reader.example.org health.example.com city-council.example.org open-source.example.com "
-    "railway.example.org fishing.example.com mountains.example.org ththere.example.com nation.example.org thinning.example.com there.example.org heather.example.com "
-    "station.example.org together.example.com another.example.org within.example.com thestation.example.org rethink.example.com other.example.org"
-).split()
-PATHS = ["/en/12", "/fr/345/", "/de/678.html", "/es/90"]
+#: The small labelled table, invented: gambling, adult, pharmacy, loan, piracy, advertising and fraud pages ...
+BLOCKED = """
+luckyspin777.com/slots/bonus-round royal-roulette.org/play/blackjack betmaster24.com/odds/football?ref=88 jackpotcity-online.org/casino/welcome-bonus
+pokerstars-club.info/tables/holdem megaslots.biz/free-spins bingo-palace.com/deposit/promo vegas-casinos.net/live/dealer sportsbetting-tips.com/bets/today
+scratchcards4u.org/win/instant hotgirls-cams.com/live/room/31 xxxvideos-tube.org/watch/hd-porn adultdating-local.com/join/hookup sexy-singles.info/chat/nude
+pornhubby.net/categories/teen camgirl-shows.com/private/show escort-finder.org/city/girls erotic-stories-xxx.com/read/12 milf-tube.biz/video/9921
+cheapviagra-online.com/buy/cialis-no-prescription rx-pills-discount.org/order/tramadol canadian-pharmacy-meds.net/shop/viagra weightloss-pills-fast.com/buy-now
+steroids-shop.info/cart/anabolic male-enhancement.org/order/pills payday-loans-quick.com/apply/cash-now instant-credit-approval.org/loan/no-check
+easymoney-fast.biz/earn/cash make-money-home.com/get-rich/offer bitcoin-doubler.org/invest/profit forex-signals-win.net/join/vip crypto-giveaway.info/claim/prize
+free-iphone-winner.com/claim/gift congratulations-prize.org/winner/claim survey-rewards.net/win/giftcard lottery-results-win.com/claim/ticket
+warez-crack-download.com/keygen/photoshop serials-and-cracks.org/download/full-version torrent-movies-free.net/download/1080p watchfree-movies.info/stream/hd
+nulled-scripts.biz/free/download mp3-download-free.org/get/album adserver-network.com/banner/click?id=7 popunder-ads.net/serve/popup clicktracker.info/track/redirect?u=1
+affiliate-links.biz/aff/click/991 trackingpixel.org/pixel/impression doubleclicks-ads.com/ads/banner/728x90 traffic-exchange.net/hits/buy buybacklinks-seo.com/order/links
+seo-spam-tools.org/blast/comments cheap-followers.com/buy/likes linkfarm-directory.info/submit/link replica-watches.biz/shop/rolex fake-handbags-outlet.com/buy/louis
+secure-login-verify.com/account/update/bank paypa1-support.org/signin/confirm account-suspended.net/verify/password banking-alert.info/login/secure virus-alert-fix.com/download/cleaner
+""".split()
+#: ... and pages one would keep.
+ALLOWED = """
+citylibrary.org/catalogue/books/history riverside-school.com/parents/calendar astronomy-notes.org/articles/black-holes gardening-weekly.com/2019/04/pruning-roses
+municipal-archive.org/records/1890 botany-institute.net/research/papers/41 kitchen-stories-blog.com/recipes/lentil-soup openmaps-project.org/wiki/Tutorial
+local-herald.com/news/2021/03/council-meeting marine-biology.org/species/dolphin python-handbook.net/docs/functions.html railwaymuseum.org/visit/opening-hours
+mountain-hikes.com/trails/alpine woodworking-journal.com/projects/oak-table history-of-science.org/essays/newton.html university-press.com/journals/issue/12
+childrens-hospital.org/patients/advice weather-station.net/forecast/weekly climate-data.org/reports/2020.pdf chess-academy.com/lessons/openings
+orchestra-society.org/concerts/season mathematics-forum.net/questions/1823 language-exchange.org/grammar/verbs national-parks.info/parks/map bird-watchers.org/sightings/april
+computer-museum.com/exhibits/mainframes poetry-foundation.net/poems/autumn village-theatre.org/programme bakery-lessons.com/bread/sourdough medical-journal.org/article/1182
+folk-music.info/songs/traditional parliament-watch.org/debates/session/9 physics-lectures.net/notes/week3 travel-diary.com/europe/lisbon ceramics-studio.com/workshops
+farmers-union.org/about/contact economics-review.com/volume/8/trade fire-brigade.org/safety/home history-podcast.info/episodes/41 translation-services.com/languages/german
+software-manuals.org/guide/install democracy-institute.net/publications newspaper-archive.com/1923/06/12 cycling-club.org/routes/coast cathedral-choir.com/music/advent
+geology-society.org/field-trips/volcano public-health.info/vaccines/faq dictionary-project.net/entry/house documentary-films.com/reviews/ocean knitting-patterns.org/scarves/easy
+energy-agency.org/statistics/solar rural-development.net/projects/water legal-advice.org/tenants/rights art-history.com/painters/renaissance planetarium.info/shows/saturn
+student-union.org/events/welcome teacher-resources.com/worksheets/fractions bridge-engineering.net/design/arches sailing-school.com/courses/beginner zoology-department.org/staff/list
+""".split()
 
 
 def labelled(spark: SparkSession) -> DataFrame:
-    rows = [(h, p, label) for hosts, label in ((BLOCKED_HOSTS, 1.0), (ALLOWED_HOSTS, 0.0)) for h in hosts for p in PATHS]
-    return spark.createDataFrame(rows, "host string, path string, label double")
+    rows = [(f"https://{url}", label) for urls, label in ((BLOCKED, 1.0), (ALLOWED, 0.0)) for url in urls]
+    return split_url(spark.createDataFrame(rows, "url string, label double")).drop("url")
 
 
 def split_url(df: DataFrame) -> DataFrame:
@@ -45,12 +62,15 @@ def split_url(df: DataFrame) -> DataFrame:
 
 def with_features(df: DataFrame) -> DataFrame:
     """Hashed n-grams of host and path; host ends and path start are marked."""
+    df = df.withColumn("_host", F.expr("split(concat('^', host, '$'), '')")).withColumn("_path", F.expr("split(concat('/', path), '')"))
     parts = []
-    for column in ("concat('^', host, '$')", "concat('/', path)"):
+    for chars in ("_host", "_path"):  # characters as an array: taking them out of a long text one by one would take the square of its length
         for n in GRAMS:
-            parts.append(f"case when length({column}) >= {n} then transform(sequence(1, length({column}) - {n - 1}), i -> substring({column}, i, {n})) else array() end")
-    grams = f"transform(filter(concat({', '.join(parts)}), g -> g is not null), g -> cast(g as string))"
-    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="_grams", outputCol="features").transform(df.withColumn("_grams", F.expr(grams))).drop("_grams")
+            gram = ", ".join(f"{chars}[i + {k}]" for k in range(n))
+            parts.append(f"case when size({chars}) >= {n} then transform(sequence(0, size({chars}) - {n}), i -> concat({gram})) else array() end")
+    grams = f"transform(concat({', '.join(parts)}), g -> cast(g as string))"
+    hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="_grams", outputCol="features").transform(df.withColumn("_grams", F.expr(grams)))
+    return hashed.drop("_grams", "_host", "_path")
 
 
 def train(rows: DataFrame) -> LogisticRegressionModel:
