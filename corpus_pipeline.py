@@ -25,9 +25,10 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     model = langid.train(langid.training_rows(docs), pieces)
     if not model[0]:
         return docs
-    found = langid.identify(docs.select(F.struct(*docs.columns).alias("_row"), "text"), model, pieces)
+    found = langid.identify(docs.toDF(*[c if c == "text" else f"own_{c}" for c in docs.columns]), model, pieces)
     kept = found.where((found["lang_pred"] != langid.UNKNOWN) & (found["score"] >= LEAST_SCORE))
-    return kept.select("_row.*", "lang_pred").select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    name = {"text": "text", "lang": "lang_pred"}
+    return kept.select(*[F.col(name.get(c, f"own_{c}")).alias(c) for c in docs.columns])
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
