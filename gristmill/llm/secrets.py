@@ -21,9 +21,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Further candidates: long runs of key characters that mix letters and digits.
 OTHER = re.compile(r"[A-Za-z0-9+/_-]{20,}")
-#: A value of more owners than this, or in more repositories, is a copied example.
+#: A value of more owners than this is a copied example; so is one that its few owners spread over more
+#: repositories than this, as templates and defaults are.
 OWNERS = 2
-REPOSITORIES = 3
+REPOSITORIES = 20
+#: A value that makes up one in so many occurrences is judged by a small table sent to all tasks; there are at most this many.
+FREQUENT = 4_096
 #: Bits a character from which a further candidate looks drawn at random.
 ENTROPY = 3.5
 MASK = "<secret>"
@@ -72,20 +75,20 @@ def _scan(batches: Batches) -> Batches:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """Per value: repositories, owners, live. candidates: (value, repository, owner).
+    """Per value: repositories, owners, rows, live. candidates: (value, repository, owner).
 
     Values travel as 128-bit digests. Equal (value, owner, repository) rows meet in
     their own task first, so a value in a third of all documents stays a few rows.
     A null repository or owner counts as one of its own.
     """
-    seen = candidates.groupBy("value", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository")).agg(F.lit(1).alias("one"))
-    owners = seen.groupBy("value", "owner").agg(F.count("*").alias("repositories"))
-    return owners.groupBy("value").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners")).withColumn(
+    seen = candidates.groupBy("value", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository")).agg(F.count("*").alias("rows"))
+    owners = seen.groupBy("value", "owner").agg(F.count("*").alias("repositories"), F.sum("rows").alias("rows"))
+    return owners.groupBy("value").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"), F.sum("rows").alias("rows")).withColumn(
         "live", (F.col("owners") <= OWNERS) & (F.col("repositories") <= REPOSITORIES)
     )
 
 
-def scan_secrets(docs: DataFrame, repository: str = "source", owner: str = "source", keep: list[str] | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source", keep: list[str] | None = None) -> DataFrame:
     """docs' columns (or those in keep) with `secrets`: array of (start, end, kind, live), by start, then kind.
 
     Offsets are code points of the whole text. The three base kinds are always listed;
@@ -93,8 +96,8 @@ def scan_secrets(docs: DataFrame, repository: str = "source", owner: str = "sour
     (random-looking values) are listed as kind owned when live: widely copied examples
     and common identifiers drop out.
 
-    repository and owner name columns; a missing column or null counts as one unnamed
-    owner. Null and empty text: no spans. Repeated rows count once for ownership, and
+    repository and owner name columns, the repository being the unit below the owner: here a
+    document of a source. A missing column or null counts as one unnamed owner or repository. Null and empty text: no spans. Repeated rows count once for ownership, and
     each gets its spans. Empty table: no rows. A column named secrets is replaced.
     """
     docs = docs.drop("secrets")
@@ -107,7 +110,12 @@ def scan_secrets(docs: DataFrame, repository: str = "source", owner: str = "sour
     clean = found.where("size(_spans) = 0").select("_row", none.alias("secrets"))
     each = found.where("size(_spans) > 0").select("_n", "_repository", "_owner", F.explode("_spans").alias("s"))
     judged = ownership(each.select(F.col("s.value").alias("value"), F.col("_repository").alias("repository"), F.col("_owner").alias("owner")))
-    spans = each.select("_n", "s.*").join(judged.select("value", "live"), "value").where("live or kind <> 'owned'")
+    judged = materialize(judged, "owners")
+    total = judged.agg(F.sum("rows")).first()[0] or 0
+    often = judged.where(F.col("rows") * FREQUENT >= total).select("value", F.col("live").alias("known"))
+    told = each.select("_n", "s.*").join(F.broadcast(often), "value", "left")  # so no frequent value meets in one task
+    rest = told.where("known is null").drop("known").join(judged.select("value", "live"), "value")
+    spans = told.where("known is not null").withColumnRenamed("known", "live").unionByName(rest).where("live or kind <> 'owned'")
     listed = spans.groupBy("_n").agg(F.array_sort(F.collect_list(F.struct("start", F.expr(f"array_position(array{KINDS}, kind)").alias("rank"), "end", "kind", "live"))).alias("spans"))
     hit = found.where("size(_spans) > 0").select("_n", "_row").join(listed, "_n", "left").select(
         "_row", F.coalesce(F.expr("transform(spans, s -> struct(s.start, s.end, s.kind, s.live))"), none).alias("secrets")

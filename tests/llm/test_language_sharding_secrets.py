@@ -126,6 +126,39 @@ def test_ownership_parts_live_from_copied(spark):
     assert secrets.scan_secrets(docs.drop("source").withColumn("secrets", F.lit(1))).columns[-1] == "secrets" and secrets.secret_digest(docs.limit(0)).count() == 0
 
 
+def plain_digest(rows):
+    """Ownership counted in plain Python, for documents as repositories and sources as owners."""
+    found = []
+    for i, t, _, source, _ in rows:
+        base = secrets.base_spans(t or "")
+        found.append((i, source, base, secrets.further_spans(t or "", base)))
+    owners, repositories = {}, {}
+    for i, source, base, more in found:
+        for *_, v in base + more:
+            owners.setdefault(v, set()).add(source or "")
+            repositories.setdefault(v, set()).add((source or "", str(i) if i is not None else ""))
+    live = {v for v in owners if len(owners[v]) <= secrets.OWNERS and len(repositories[v]) <= secrets.REPOSITORIES}
+    return sorted((i or 0, ",".join(f"{k}:{s}:{e}" for s, e, k, v in sorted(base + [(s, e, "owned", v) for s, e, _, v in more if v in live], key=lambda x: (x[0], secrets.KINDS.index(x[2])))),
+                   sum(v in live for *_, v in base + more)) for i, _, base, more in found)
+
+
+@pytest.mark.parametrize("frequent", [1, 4_096])
+def test_both_counts_judge(spark, monkeypatch, frequent):
+    """A value of one owner is live up to a number of repositories; of many owners it never is."""
+    monkeypatch.setattr(secrets, "FREQUENT", frequent)
+    key = lambda n: hashlib.sha256(str(n).encode()).hexdigest()[:30].upper() + "xQ7z"
+    spread = secrets.REPOSITORIES
+    rows = [(i, f"use {key(1)} here", "en", "one", 1) for i in range(spread)] + [(100 + i, f"use {key(2)} here", "en", "one", 1) for i in range(spread + 1)]
+    rows += [(200 + i, f"use {key(3)} here", "en", f"s{i}", 1) for i in range(3)] + [(300 + i, f"use {key(14)} and password=hunter2{i % 2}", "en", f"s{i % 2}", 1) for i in range(6)]
+    rows += [(400, f"{key(5)} " * 3 + "token: abcdef1", "en", None, 1), (400, f"{key(5)} " * 3 + "token: abcdef1", "en", None, 1), (None, f"x {key(5)}", "en", "s1", 1), (401, None, "en", "s", 0), (402, "", None, None, 0)]
+    rows += [(500, f"é {key(6)} " + "filler words " * 40_000 + key(7), "en", "long", 1)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    got = secrets.secret_digest(docs).collect()
+    want = plain_digest(rows)
+    assert sorted((r.doc_id or 0, r.spans, r.n_live) for r in got) == want
+    assert {i for i, spans, _ in want if "owned" in spans} == {*range(spread), *range(300, 306), 400, 0, 500}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (5, 5), (20, 30), (30, 40), (40, 50), (50, 20)] + [(100, 100 + i) for i in range(1, 60)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
