@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import itertools
 import json
 import os
@@ -24,14 +26,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _c_library():
+    """The C library, if it is one that can be told when to give memory back."""
+    try:
+        library = ctypes.CDLL(None)
+        return library if hasattr(library, "mallopt") and hasattr(library, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def lean(batches: Batches) -> Batches:
+    """The batches of a task. Workers outlive tasks: large blocks are mapped and go back when they are freed, the rest at the end."""
+    library = _c_library()
+    if library is not None:
+        library.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: else it rises with the blocks seen, and they stay with the worker
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if library is not None:
+        library.malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, task: Callable[[Batches], Batches], schema: str) -> DataFrame:
     """mapInArrow with this package on the workers, for any column names."""
     ship_package(df.sparkSession)
     names = df.columns
 
     def named(batches: Batches) -> Batches:
-        yield from task(b.rename_columns(names) for b in batches)
-        pa.default_memory_pool().release_unused()  # the worker stays, what it held goes back
+        yield from lean(task(b.rename_columns(names) for b in batches))
 
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(named, schema)
 
