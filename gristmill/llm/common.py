@@ -140,18 +140,26 @@ def in_slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYT
 _PLAIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
+def spread_places(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places at, at + 1, .. of runs of the given sizes, one run after the other."""
+    upto = np.cumsum(sizes)
+    return np.repeat(at - (upto - sizes), sizes) + np.arange(int(upto[-1]) if len(upto) else 0)
+
+
 class WordTokenizer:
     """Token ids of many whole texts at once, encoding each different word once.
 
     Both vocabularies part a text between a word and the white space after it before any
     merge, so the ids of a text are those of its units in turn: a run of white space and the word behind
     it. Units are found in the bytes and numbered by Arrow's dictionary encoding; only
-    different ones reach the tokenizer. Plain ones (Latin letters behind one space, perhaps with a full
-    stop or comma) are encoded in lines of many, parted again at the pieces that mark a border.
-    Ids are 16-bit. Nothing is kept from call to call but the vocabulary.
+    different ones reach the tokenizer. Plain ones (Latin letters, perhaps with marks behind them) are
+    encoded in lines of many, parted again at the pieces that mark a border.
+    Ids are 16-bit. From call to call the ids of at most KEEP plain words are kept, in flat
+    arrays of about 30 bytes a word.
     """
 
     TOGETHER = 200
+    KEEP = 1_200_000
     shared: dict[int, "WordTokenizer"] = {}
 
     def __init__(self, spec: str):
@@ -164,7 +172,11 @@ class WordTokenizer:
         border = (lambda p: p.endswith(self.suffix)) if self.suffix else (lambda p: p.startswith("Ġ"))
         self.border = np.zeros(1 << 16, bool)
         self.border[[i for p, i in vocabulary.items() if border(p)]] = True
-        self.tails = {t: self._ids([t])[0][0] for t in ".,"}
+        # a plain word: letters behind one space (behind any white space where the vocabulary drops it), then marks
+        # that stand for themselves; an apostrophe does not, it may join the letters behind it
+        lead = "[ \\n\\t]*(?P<core>" if self.suffix else "(?P<core> "
+        self.plain = f"^{lead}[{_PLAIN}]+)(?P<tail>[!-&(-/:-@\\[-`{{-~]*)$"
+        self.known, self.ids, self.at, self.length = self._nothing()
 
     @classmethod
     def of(cls, spec: str) -> "WordTokenizer":
@@ -190,9 +202,10 @@ class WordTokenizer:
         """As _each, for plain words: each has one border piece."""
         lines = [words[i : i + self.TOGETHER] for i in range(0, len(words), self.TOGETHER)]
         ids, sizes = [np.empty(0, np.uint16)], [np.empty(0, np.int64)]
+        between = " " if self.suffix else ""  # else words bring their space
         for start in range(0, len(lines), 50):
             some = lines[start : start + 50]
-            for line, own in zip(some, self._ids(["".join(line) for line in some])):
+            for line, own in zip(some, self._ids([between.join(line) for line in some])):
                 own = np.array(own, np.uint16)
                 found = np.flatnonzero(self.border[own])
                 ends = found + 1 if self.suffix else np.append(found[1:], len(own))
@@ -204,32 +217,47 @@ class WordTokenizer:
                 sizes.append(each)
         return np.concatenate(ids), np.concatenate(sizes)
 
+    def _cores(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids that hold those of different plain words, where those of each begin, and how many they are."""
+        place = pa.compute.fill_null(pa.compute.index_in(words, value_set=self.known), -1).to_numpy().copy()
+        new = place < 0
+        fresh = words.filter(pa.array(new))
+        ids, sizes = self._lines(fresh.to_pylist())
+        at = np.append(self.at, len(self.ids) + np.cumsum(sizes) - sizes)
+        length = np.append(self.length, sizes)
+        all_ids = np.concatenate([self.ids, ids])
+        place[new] = len(self.known) + np.arange(len(fresh))
+        self.known, self.ids, self.at, self.length = pa.concat_arrays([self.known, fresh]), all_ids, at, length
+        if len(self.known) > self.KEEP:
+            self.known, self.ids, self.at, self.length = self._nothing()
+        return all_ids, at[place], length[place]
+
+    @staticmethod
+    def _nothing():
+        return pa.array([], pa.string()), np.empty(0, np.uint16), np.empty(0, np.int64), np.empty(0, np.int64)
+
     def _distinct(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of different units, and where those of each begin and how many they are."""
-        plain = pa.compute.match_substring_regex(units, f"^ [{_PLAIN}]+[.,]?$")
-        words = units.filter(plain)
-        cores = pa.compute.utf8_rtrim(words, ".,")
+        parts = pa.compute.extract_regex(units, self.plain)
+        plain = parts.is_valid()
+        parts = parts.filter(plain)
+        cores, tails = parts.field("core"), parts.field("tail").dictionary_encode()
         coded = (pa.compute.utf8_lower(cores) if self.suffix else cores).dictionary_encode()
-        core_ids, core_sizes = self._lines(coded.dictionary.to_pylist())
-        code = coded.indices.to_numpy()
-        tails = np.full(len(words), -1)
-        for tail, number in self.tails.items():
-            tails[pa.compute.ends_with(words, tail).to_numpy(zero_copy_only=False)] = number
-        sizes = core_sizes[code] + (tails >= 0)
-        ends = np.cumsum(sizes)
-        word_ids = np.empty(int(ends[-1]) if len(ends) else 0, np.uint16)
-        begin = ends - sizes
-        each = core_sizes[code]
-        gathered = np.cumsum(each)
-        within = np.arange(int(gathered[-1]) if len(each) else 0) - np.repeat(gathered - each, each)
-        word_ids[np.repeat(begin, each) + within] = core_ids[np.repeat((np.cumsum(core_sizes) - core_sizes)[code], each) + within]
-        word_ids[ends[tails >= 0] - 1] = tails[tails >= 0]
+        core_ids, core_at, core_sizes = self._cores(coded.dictionary)
+        tail_ids, tail_sizes = self._each(tails.dictionary.to_pylist())
+        core, tail = coded.indices.to_numpy(), tails.indices.to_numpy()
+        first, second = core_sizes[core], tail_sizes[tail]
+        sizes = first + second
+        begin = np.cumsum(sizes) - sizes
+        ids = np.empty(int(sizes.sum()), np.uint16)
+        ids[spread_places(begin, first)] = core_ids[spread_places(core_at[core], first)]
+        ids[spread_places(begin + first, second)] = tail_ids[spread_places((np.cumsum(tail_sizes) - tail_sizes)[tail], second)]
         other_ids, other_sizes = self._each(units.filter(pa.compute.invert(plain)).to_pylist())
         plain = plain.to_numpy(zero_copy_only=False)
         at, length = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
         at[plain], length[plain] = begin, sizes
-        at[~plain], length[~plain] = len(word_ids) + np.cumsum(other_sizes) - other_sizes, other_sizes
-        return np.concatenate([word_ids, other_ids]), at, length
+        at[~plain], length[~plain] = len(ids) + np.cumsum(other_sizes) - other_sizes, other_sizes
+        return np.concatenate([ids, other_ids]), at, length
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where those of each text end; none for null."""

@@ -49,9 +49,9 @@ class WaveletMatrix:
             count = np.bitwise_count(whole.view(np.uint64)).reshape(-1, STRIDE // 64).sum(axis=1, dtype=np.uint32)
             ranks.append(np.cumsum(count, dtype=np.uint32) - count)
             blocks.append([pa.compress(whole[at : at + BLOCK // 8], codec="zstd", asbytes=True) for at in range(0, len(whole), BLOCK // 8)])
-            low = now[~ones]
+            low = np.flatnonzero(~ones)
             zeros.append(len(low))
-            now = np.concatenate([low, now[ones]])
+            now = now[np.concatenate([low, np.flatnonzero(ones)])]  # by places: much faster than by truth values
         return cls(len(ids), np.array(zeros, np.uint64), ranks, blocks)
 
     def dump(self) -> bytes:
@@ -93,10 +93,9 @@ class WaveletMatrix:
         now = np.zeros(self.size, np.uint16)
         for plane in range(BITS - 1, -1, -1):
             ones = self.bits(plane).view(bool)
-            z = int(self.zeros[plane])
+            now[int(self.zeros[plane]) :] |= np.uint16(1 << (BITS - 1 - plane))
             up = np.empty(self.size, np.uint16)
-            up[~ones] = now[:z]
-            up[ones] = now[z:] | np.uint16(1 << (BITS - 1 - plane))
+            up[np.concatenate([np.flatnonzero(~ones), np.flatnonzero(ones)])] = now
             now = up
         return now
 
