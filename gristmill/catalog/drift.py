@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..core import new_path
 from ..operators import drift as D
 from ..operators import retrieve as R
 from ..streaming import incremental as I
@@ -58,6 +59,17 @@ def drift_by_window(spark, sf_dir):
     return rounded(D.drift_by_window(D.fit_baseline(before, "value"), after, "ts"))
 
 
+@query("drift_published", f"""WITH {_BINNED}, {_FULL.format(column='value')}""")
+def drift_published(spark, sf_dir):
+    """Scores against a published baseline, read back by its version after a later one was published."""
+    before, after = halves(spark, sf_dir)
+    path = new_path(spark, "baselines")
+    version = D.publish_baseline(D.fit_baseline(before, "value"), path)
+    D.publish_baseline(D.fit_baseline(after, "value", bins=4), path)
+    base = D.load_baseline(spark, path, version)
+    return rounded(D.drift_scores(D.bin_counts(after, base), base).select(F.lit("value").alias("column"), "n", "psi", "kl"))
+
+
 @query("stream_drift", f"""WITH {_BINNED}, {_WINDOWS.format(
     where="WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")}""")
 def stream_drift(spark, sf_dir):
@@ -89,3 +101,14 @@ def vector_topk(spark, sf_dir):
         .groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda s: s["v"]).alias("c"))
     )
     return rounded(R.top_k_similar(vectors, "vec_id", "embedding", means, "label", "c", 5))
+
+
+@query("vector_topk_all", """
+WITH p AS (SELECT a.vec_id::VARCHAR AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS similarity
+  FROM embeddings a, embeddings b),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id)::INTEGER AS rank FROM p)
+SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 3""")
+def vector_topk_all(spark, sf_dir):
+    """Nearest stored vectors of every vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return rounded(R.top_k_similar(vectors, "vec_id", "embedding", vectors, "vec_id", "embedding", 3))

@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 
 from ..core import new_path
 from ..operators import media as I
-from ..plans import reports as R
+from ..sources import access as A
 from ..sources import files as S
 from ..sources import tables as T
 from ..streaming import incremental as ST
-from .models import _board
 from .registry import query, rounded, table, union_sql
-from .text import labelled
 
 CUSTOMERS = "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer"
 
@@ -119,6 +117,60 @@ def file_listing(spark, sf_dir):
     return listing.groupBy("ext").agg((F.count(F.lit(1)) > 0).alias("found"), F.sum("length").alias("bytes"))
 
 
+def _groups(spark, sf_dir):
+    """One file name per language and source; a third of them hidden by `_`, a third by `.`."""
+    docs = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.max("n_chars").alias("most"))
+    number = F.regexp_replace("source", "[^0-9]", "").cast("int") % 3
+    return docs.withColumn("name", F.concat(F.element_at(F.array(F.lit("_"), F.lit("."), F.lit("")), number + 1), "source"))
+
+
+_GROUPS = """(SELECT lang, source, count(*) AS n, max(n_chars) AS most, ['_', '.', ''][regexp_replace(source, '[^0-9]', '', 'g')::INTEGER % 3 + 1] || source AS name
+  FROM documents GROUP BY lang, source)"""
+
+
+@query("file_names_kept", f"SELECT '_' || lang || '/' || name || '.TXT' AS path, '.txt' AS ext, n * 2 AS length FROM {_GROUPS}")
+def file_names_kept(spark, sf_dir):
+    """Files and folders whose names start with `_` or `.` are listed like others."""
+    folder = new_path(spark, "names")
+    files = _groups(spark, sf_dir).select(F.concat(F.lit("_"), "lang", F.lit("/"), "name", F.lit(".TXT")).alias("path"), F.repeat(F.lit("ab"), F.col("n").cast("int")).cast("binary").alias("content"))
+    A.write_contents(files, folder)
+    listing = S.list_files(spark, folder, ["txt"])
+    return listing.select(S.relative_path(F.col("path"), folder).alias("path"), "ext", "length")
+
+
+def _png(width, height):
+    def word(c):
+        return F.lpad(F.hex(c), 8, "0")
+
+    return F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), word(width), word(height), F.lit("0802"), F.lit("000000"), F.repeat(F.lit("00"), 100_000)))
+
+
+def _pictures(spark, sf_dir, folder):
+    """A picture file of 100 KB per language and source, as wide as there are documents."""
+    pictures = _groups(spark, sf_dir).select(F.concat("lang", F.lit("/"), "name", F.lit(".png")).alias("path"), _png(F.col("n"), F.col("most")).alias("content"))
+    A.write_contents(pictures, folder)
+
+
+@query("image_headers_of_files", f"SELECT lang || '/' || name || '.png' AS path, n::INTEGER AS width, most::INTEGER AS height, 'RGB' AS mode FROM {_GROUPS}")
+def image_headers_of_files(spark, sf_dir):
+    """Sizes by ranged reads: of each file only the header is fetched."""
+    folder = new_path(spark, "pictures")
+    _pictures(spark, sf_dir, folder)
+    return I.image_headers(S.list_files(spark, folder, ["png"]).select("path")).withColumn("path", S.relative_path(F.col("path"), folder))
+
+
+@query("manifest_of_folders", f"""SELECT lang AS class, count(*) AS rows_scanned, count(*) FILTER (source <> 'src1') AS found FROM {_GROUPS} GROUP BY 1""")
+def manifest_of_folders(spark, sf_dir):
+    """A manifest of absolute paths in folders apart from each other and from its base; some files are missing."""
+    folder = new_path(spark, "apart")
+    groups = _groups(spark, sf_dir)
+    A.write_contents(groups.where("source <> 'src1'").select(F.concat("lang", F.lit("/deep/"), "name", F.lit(".png")).alias("path"), F.lit("x").cast("binary").alias("content")), folder)
+    root = A.qualified(spark, folder)
+    manifest = groups.select(F.concat(F.lit(root + "/"), "lang", F.lit("/deep/"), "name", F.lit(".png")).alias("image"), F.col("lang").alias("class"))
+    found = S.manifest_files(manifest, "image", base_dir="/absent")
+    return found.groupBy("class").agg(F.count("*").alias("rows_scanned"), F.count_if("found").alias("found"))
+
+
 @query("folder_classes", f"SELECT lang AS class, count(*) AS n FROM {PATHS} GROUP BY 1")
 def folder_classes(spark, sf_dir):
     return paths(spark, sf_dir).groupBy(S.class_of(F.col("path"), "/data").alias("class")).agg(F.count(F.lit(1)).alias("n"))
@@ -172,6 +224,34 @@ def zip_contents(spark, sf_dir):
     return S.expand_zip(archives(spark, sf_dir)).select("member", S.sha256(F.col("content")).alias("sha256"))
 
 
+@query("zip_directory", """SELECT '/zips/' || doc_id || '.zip' AS zip, CASE WHEN doc_id % 13 <> 0 THEN lang || '/' || doc_id || '.txt' END AS member,
+  CASE WHEN doc_id % 13 <> 0 THEN strlen(text) END AS length, doc_id % 13 = 0 AS broken FROM documents""")
+def zip_directory(spark, sf_dir):
+    """Members by the directories of the archives; an archive that is none has a row that says so."""
+    broken = F.regexp_extract("path", "([0-9]+)[.]zip$", 1).cast("long") % 13 == 0
+    mixed = archives(spark, sf_dir).withColumn("content", F.when(broken, F.substring("content", 1, 20)).otherwise(F.col("content")))
+    return S.zip_directory(mixed).select("zip", "member", "length", F.col("error").isNotNull().alias("broken"))
+
+
+@query("source_listing", f"""SELECT 'folder' AS kind, lang || '/' || name || '.png' AS path FROM {_GROUPS} UNION ALL SELECT 'zip', lang || '.jpg' FROM (SELECT DISTINCT lang FROM documents)
+UNION ALL SELECT 'file', 'en/' || name || '.png' FROM {_GROUPS} WHERE lang = 'en' AND source = 'src0'""")
+def source_listing(spark, sf_dir):
+    """The pictures of a folder, of a ZIP and of a single file by the same call."""
+    folder = new_path(spark, "sources")
+    _pictures(spark, sf_dir, folder)
+    langs = [r["lang"] for r in table(spark, sf_dir, "documents").select("lang").distinct().collect()]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for lang in langs:
+            z.writestr(f"{lang}.jpg", lang)
+            z.writestr(f"{lang}.txt", lang)
+    A.write_contents(spark.createDataFrame([("all.zip", packed.getvalue())], "path string, content binary"), folder)
+    own = lambda at, kind: S.list_source(spark, at, "image").select(F.lit(kind).alias("kind"), F.col("path"))
+    found = own(folder, "folder").unionByName(own(f"{folder}/en/_src0.png", "file"))
+    members = own(f"{folder}/all.zip", "zip").withColumn("path", F.substring_index("path", "#", -1))
+    return found.withColumn("path", S.relative_path(F.col("path"), folder)).unionByName(members)
+
+
 @query("manifest_counts", """
 SELECT count(*) AS rows_scanned, count(l.doc_id) AS images_found, count(*) - count(l.doc_id) AS missing_paths
 FROM documents d LEFT JOIN labels l USING (doc_id)""")
@@ -238,11 +318,6 @@ def image_small_classes(spark, sf_dir):
     return I.small_classes(table(spark, sf_dir, "supplier").join(nation, "s_nationkey"))
 
 
-@query("image_report")
-def image_report(spark, sf_dir):
-    return R.image_report(images(spark, sf_dir))
-
-
 PIXELS = "(SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor((x + 1) * 127)::INTEGER) AS p FROM embeddings)"
 
 
@@ -301,22 +376,3 @@ SELECT user_id AS video_id, event_id AS frame_idx FROM events WHERE event_id % g
 def frame_sampling(spark, sf_dir):
     frames = table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), F.col("event_id").alias("frame_idx"), (F.col("user_id") % 30).alias("fps"))
     return I.sample_frames(frames).select("video_id", "frame_idx")
-
-
-# --- whole reports -----------------------------------------------------------
-
-
-@query("table_report")
-def table_report(spark, sf_dir):
-    return R.table_report(table(spark, sf_dir, "orders"), "o_orderstatus")
-
-
-@query("text_report")
-def text_report(spark, sf_dir):
-    return R.text_report(labelled(spark, sf_dir), "text", "quality")
-
-
-@query("model_card")
-def model_card(spark, sf_dir):
-    board, train, test = _board(spark, sf_dir, boosted=False)
-    return R.model_card(train, test, "o_orderstatus", board.table, board.best)

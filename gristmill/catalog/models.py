@@ -22,9 +22,17 @@ def segments(spark, sf_dir):
     )
 
 
+def members(spark, sf_dir):
+    """All customers with the names of nation and region; whether they are in an industrial segment is to be told."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", F.col("n_regionkey").alias("r_regionkey"))
+    where = nation.join(table(spark, sf_dir, "region"), "r_regionkey")
+    industrial = F.when(F.col("c_mktsegment").isin("MACHINERY", "BUILDING"), "yes").otherwise("no")
+    return table(spark, sf_dir, "customer").join(where, "c_nationkey").select("c_custkey", "c_acctbal", "n_name", "r_name", industrial.alias("industrial"))
+
+
 def _board(spark, sf_dir, **options):
-    train, test = parts(random_split(segments(spark, sf_dir), ["o_orderkey"], 0.2))
-    return M.run_leaderboard(train.drop("o_orderkey"), test, "o_orderstatus", **options), train, test
+    train, test = parts(random_split(members(spark, sf_dir), ["c_custkey"], 0.2))
+    return M.run_leaderboard(train.drop("c_custkey"), test, "industrial", **options), train, test
 
 
 @query("leaderboard_classification")
@@ -34,8 +42,8 @@ def leaderboard_classification(spark, sf_dir):
 
 @query("leaderboard_regression")
 def leaderboard_regression(spark, sf_dir):
-    train, test = parts(random_split(segments(spark, sf_dir), ["o_orderkey"], 0.2))
-    return M.run_leaderboard(train.drop("o_orderkey"), test, "o_totalprice").table
+    train, test = parts(random_split(members(spark, sf_dir), ["c_custkey"], 0.2))
+    return M.run_leaderboard(train.drop("c_custkey"), test, "c_acctbal").table
 
 
 @query("linear_regression_predictions", """
@@ -92,9 +100,7 @@ def saved_model_report(spark, sf_dir):
 @query("permutation_importance")
 def permutation_importance(spark, sf_dir):
     board, _, test = _board(spark, sf_dir, boosted=False)
-    return X.permutation_importance(
-        board.models[board.best], test, "o_orderstatus", ["o_totalprice", "c_acctbal", "c_mktsegment", "o_orderpriority"], ["o_orderkey"]
-    )
+    return X.permutation_importance(board.models[board.best], test, "industrial", ["c_acctbal", "n_name", "r_name"], ["c_custkey"])
 
 
 @query("shuffled_column", "SELECT count(*) AS rows, round(sum(l_quantity), 6) AS total, round(stddev_pop(l_quantity), 6) AS spread, true AS moved FROM lineitem")

@@ -6,10 +6,10 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..core import as_key, broadcast_if_small, clean_nan, col, type_class
+from ..core import as_key, broadcast_if_small, clean_nan, col, materialize, type_class
 from ..functions.ordering import bucket_of
 from .quantiles import exact_quantiles
 
@@ -18,11 +18,12 @@ FLOOR = 1e-6  # smallest share of a bin
 
 @dataclass(frozen=True)
 class Baseline:
-    """Frozen reference distribution: bin edges (numbers only) and the share of each bin."""
+    """Frozen reference distribution: bin edges (numbers only) and the share of each bin, a written table."""
 
     column: str
     edges: tuple[float, ...] | None
     shares: DataFrame  # (bin, e)
+    version: str | None = None  # of a published one
 
     def bin_of(self) -> Column:
         if self.edges is None:
@@ -35,17 +36,58 @@ def share(n: Column, total: Column) -> Column:
 
 
 def fit_baseline(df: DataFrame, column: str, bins: int = 10) -> Baseline:
-    """Quantile bins of a numeric column, or the categories of any other column."""
+    """Quantile bins of a numeric column, or the categories of any other column.
+
+    The column is read from its source once; edges and shares are of the same rows and
+    do not change when the source does.
+    """
     df = clean_nan(df.select(col(column)))
     edges = None
     if type_class(df.schema[column].dataType) in ("int", "float"):
-        df = df.where(col(column).isNotNull())
+        df = materialize(df.where(col(column).isNotNull()).select(col(column).alias("value")), "baseline").select(F.col("value").alias(column))
         inner = exact_quantiles(df, [column], [i / bins for i in range(1, bins)])[column]
         edges = tuple(sorted({e for e in inner if e is not None}))
-    out = Baseline(column, edges, df)
-    counts = df.groupBy(out.bin_of().alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.count()
-    return Baseline(column, edges, counts.select("bin", share(F.col("n"), F.lit(max(total, 1))).alias("e")))
+    counts = materialize(df.groupBy(Baseline(column, edges, df).bin_of().alias("bin")).agg(F.count(F.lit(1)).alias("n")), "bins")
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    return Baseline(column, edges, materialize(counts.select("bin", share(F.col("n"), F.lit(total)).alias("e")), "shares"))
+
+
+CURRENT = "CURRENT"
+
+
+def publish_baseline(base: Baseline, path: str) -> str:
+    """Write a baseline as a new version below path, then make it the current one in a single step; its version.
+
+    Whoever reads meanwhile gets the earlier version or this one, edges and shares always of the same.
+    """
+    spark = base.shares.sparkSession
+    version = spark.range(1).select(F.expr("concat(date_format(current_timestamp(), 'yyyyMMddHHmmssSSS'), '-', uuid())")).first()[0]
+    folder = f"{path.rstrip('/')}/version={version}"
+    base.shares.write.parquet(f"{folder}/shares")
+    edges = None if base.edges is None else list(base.edges)
+    spark.createDataFrame([(base.column, edges)], "column string, edges array<double>").coalesce(1).write.json(f"{folder}/edges")
+    jvm = spark._jvm
+    made, current = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}") for name in (f"{CURRENT}-{version}", CURRENT))
+    system = made.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(made, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration())
+    how = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(system.makeQualified(made), system.makeQualified(current), how)
+    return version
+
+
+def load_baseline(spark: SparkSession, path: str, version: str | None = None) -> Baseline:
+    """The current version of a published baseline, or a given one."""
+    root = path.rstrip("/")
+    if version is None:
+        version = spark.read.text(f"{root}/{CURRENT}", wholetext=True).first()[0]
+    folder = f"{root}/version={version}"
+    row = spark.read.schema("column string, edges array<double>").json(f"{folder}/edges").first()
+    shares = spark.read.schema("bin string, e double").parquet(f"{folder}/shares")
+    return Baseline(row["column"], None if row["edges"] is None else tuple(row["edges"]), shares, version)
 
 
 def bin_counts(df: DataFrame, base: Baseline, groups: Sequence[Column] = ()) -> DataFrame:

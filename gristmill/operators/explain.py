@@ -7,12 +7,11 @@ from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, IndexToString
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import col
+from ..core import clean_nan, col, ratio_or_zero
 from ..functions.ordering import shuffle_key
-from .evaluate import classification_scores, regression_scores
 from .frequency import top_per_group
 
 ROWS_PER_BUCKET = 100_000
@@ -38,24 +37,41 @@ def shuffled_column(df: DataFrame, column: str, keys: Sequence[str], *, seed: in
     )
 
 
+def shuffled_copies(df: DataFrame, features: Sequence[str], keys: Sequence[str], *, seed: int = 42) -> DataFrame:
+    """The table once as it is and once per feature with that column shuffled, told apart by `_copy` (NULL: as it is)."""
+    rows = df.count()
+    wide = df
+    for i, f in enumerate(features):  # the shuffled value beside the own one
+        wide = shuffled_column(wide.withColumn(f"_s{i}", col(f)), f"_s{i}", keys, seed=seed + i, rows=rows)
+
+    def copy(k: int | None) -> Column:
+        return F.struct(F.lit(k).cast("int").alias("_copy"), *[(F.col(f"_s{i}") if i == k else col(f)).alias(f) for i, f in enumerate(features)])
+
+    kept = [col(c) for c in df.columns if c not in features]
+    return wide.select(*kept, F.explode(F.array(copy(None), *[copy(i) for i in range(len(features))])).alias("_row")).select(*kept, "_row.*")
+
+
 def permutation_importance(
     model: PipelineModel, df: DataFrame, target: str, features: Sequence[str], keys: Sequence[str], *,
     task: str = "classification", seed: int = 42,
 ) -> DataFrame:
-    """(feature, score, drop): how much the score falls when one column is shuffled."""
+    """(feature, score, drop): how much the score falls when one column is shuffled.
 
-    def score(frame: DataFrame) -> float:
-        scored = model.transform(frame)
-        if task == "classification":
-            return classification_scores(scored, target, "predicted").first()["accuracy"]
-        return regression_scores(scored, target, "prediction").first()["r2"]
-
-    rows = df.count()
-    base = score(df)
-    got = [(f, score(shuffled_column(df, f, keys, seed=seed + i, rows=rows))) for i, f in enumerate(features)]
-    return df.sparkSession.createDataFrame(
-        [(f, s, base - s) for f, s in got], "feature string, score double, drop double"
-    ).orderBy(F.col("drop").desc(), "feature")
+    All copies of the table are scored by the model in one pass, and their scores are one grouping.
+    """
+    scored = model.transform(shuffled_copies(df, features, keys, seed=seed))
+    if task == "classification":
+        pairs = clean_nan(scored).select(F.col("_copy").alias("_of"), col(target).cast("string").alias("y_true"), F.col("predicted").cast("string").alias("y_pred"))
+        score = ratio_or_zero(F.count_if(F.col("y_true") == F.col("y_pred")), F.count(F.lit(1)))
+    else:
+        pairs = clean_nan(scored.select(F.col("_copy").alias("_of"), col(target).cast("double").alias("y_true"), F.col("prediction").alias("y_pred")))
+        error = F.col("y_pred") - F.col("y_true")
+        score = 1.0 - F.try_divide(F.avg(error * error), F.var_pop("y_true"))
+    pairs = pairs.where("y_true is not null and y_pred is not null")
+    found = {r["_of"]: r["score"] for r in pairs.groupBy("_of").agg(score.alias("score")).collect()}  # one row a feature
+    base = found.get(None)
+    rows = [(f, found.get(i), None if base is None or found.get(i) is None else base - found[i]) for i, f in enumerate(features)]
+    return df.sparkSession.createDataFrame(rows, "feature string, score double, drop double").orderBy(F.col("drop").desc(), "feature")
 
 
 def model_importance(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -10,11 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import as_key, col, percent, require_columns
+from ..core import as_key, col, percent, require_columns, ship_package
 from ..functions import pixels, signal
 from ..functions.imageheader import read_header
+from ..sources import access
 from .profile import numeric_profile
 
+# What counts as a very small image and as a small class.
 TINY = 32
 SMALL_CLASS = 10
 SIZE_PROBS = (0.5, 0.9, 0.99)
@@ -24,18 +26,35 @@ SIZE_PROBS = (0.5, 0.9, 0.99)
 
 
 def image_headers(files: DataFrame) -> DataFrame:
-    """Add (width, height, mode) read from the header of `content`; NULL for unreadable files."""
-    require_columns(files, "content")
+    """Add (width, height, mode) read from the image headers; NULL for unreadable files.
+
+    Headers come from `content` if there is such a column, else by ranged reads from the
+    file at `path`, of which only the header structures are fetched.
+    """
+    if "content" in files.columns:
+        meta, rows = _header_udf(False)("content"), files
+    else:
+        require_columns(files, "path")
+        ship_package(files.sparkSession)
+        meta, rows = _header_udf(True)("path"), files.repartition(files.sparkSession.sparkContext.defaultParallelism)
+    return rows.withColumn("_meta", meta).select(*[col(c) for c in files.columns if c != "content"], "_meta.width", "_meta.height", "_meta.mode")
+
+
+def header_at(path: str) -> tuple[int, int, str] | None:
+    """(width, height, mode) of the image file at a path, or None."""
+    try:
+        with access.opened(path) as f:
+            return read_header(access.Ranged(f))
+    except (OSError, ValueError):
+        return None
 
-    return files.withColumn("_meta", _header_udf()("content")).select(
-        *[col(c) for c in files.columns if c != "content"], "_meta.width", "_meta.height", "_meta.mode"
-    )
 
+def _header_udf(by_path: bool):
+    read = header_at if by_path else read_header
 
-def _header_udf():
     @F.pandas_udf("width int, height int, mode string")
-    def parse(content: pd.Series) -> pd.DataFrame:
-        rows = [read_header(b) or (None, None, None) for b in content]
+    def parse(given: pd.Series) -> pd.DataFrame:
+        rows = [read(b) or (None, None, None) for b in given]
         return pd.DataFrame({
             "width": pd.array([r[0] for r in rows], dtype="Int32"),
             "height": pd.array([r[1] for r in rows], dtype="Int32"),

@@ -20,7 +20,10 @@ from ..core import bounded_values, broadcast_if_small, clean_nan, col, columns_o
 from .frequency import most_frequent, top_per_group, value_counts, value_text
 from .quantiles import exact_quantiles
 
-INFREQUENT = "__infrequent__"
+#: What a kept list ends with where a slot stands for all other values seen in training.
+INFREQUENT = None
+#: Inside the model values carry a mark that the slot has not, so no text can equal it.
+SLOT, MARK = "infrequent", "="
 MAX_DUMMY_COLUMNS = 10_000
 
 
@@ -196,10 +199,9 @@ class LabelEncode(Estimator):
         for c in self.cols:
             values = filled.select(col(c)).distinct().orderBy(quoted(c))
             labels = [r[0] for r in bounded_values(values, f"values in {c}; use label_encode")]
-            stages.append(StringIndexerModel.from_labels(labels, inputCol=c, outputCol=f"_code_{c}", handleInvalid="error"))
-        stages.append(SQLTransformer(statement="SELECT * EXCEPT ({0}), {1} FROM __THIS__".format(
-            ", ".join(f"{quoted(c)}, {quoted('_code_' + c)}" for c in self.cols),
-            ", ".join(f"cast({quoted('_code_' + c)} AS bigint) AS {quoted(c)}" for c in self.cols))))
+            stages.append(SQLTransformer(statement=f"SELECT *, {quoted(c)} AS _text FROM __THIS__"))
+            stages.append(StringIndexerModel.from_labels(labels, inputCol="_text", outputCol="_code", handleInvalid="error"))
+            stages.append(SQLTransformer(statement=f"SELECT * EXCEPT ({quoted(c)}, _text, _code), cast(_code AS bigint) AS {quoted(c)} FROM __THIS__"))
         return PipelineModel(stages)
 
 
@@ -231,7 +233,7 @@ class OneHotVector(Estimator):
         self.cols, self.max_categories = list(cols), max_categories
         self.drop, self.handle_unknown = drop, handle_unknown
 
-    def categories(self, df: DataFrame) -> dict[str, list[str]]:
+    def categories(self, df: DataFrame) -> dict[str, list[str | None]]:
         """Kept categories per column, sorted; the slot for infrequent values comes last.
 
         With max_categories any number of values will do; without, all have to fit MAX_VOCABULARY.
@@ -253,31 +255,33 @@ class OneHotVector(Estimator):
                 out[c] = sorted(v for _, v in values)
         return out
 
-    def fold_infrequent(self, df: DataFrame, kept: dict[str, list[str]]) -> SQLTransformer:
-        """Stage that joins the other values seen in training, a written table, to tell infrequent from unknown ones."""
-        capped = [c for c in self.cols if kept[c] and kept[c][-1] == INFREQUENT]
-        made = {c: category_sql(df, c) for c in self.cols}
-        if not capped:
-            return replacing(made)
-        path = new_path(df.sparkSession, "seen")
-        keep = df.sparkSession.createDataFrame([(c, v) for c in capped for v in kept[c][:-1]], "column string, value string")
-        place = F.array_position(F.array(*[F.lit(c) for c in capped]), F.col("column")) - 1
-        seen = value_counts(df, capped).where(F.col("value").isNotNull()).join(F.broadcast(keep), ["column", "value"], "left_anti")
-        seen.select(place.cast("int").alias("place"), "value").write.partitionBy("place").parquet(path)
-        joins = ""
-        for k, c in enumerate(capped):
-            name = quoted(f"_seen_{c}")
-            joins += f" LEFT JOIN (SELECT value AS {name} FROM parquet.`{path}/place={k}`) ON {name} = {made[c]}"
-            made[c] = f"CASE WHEN {name} IS NOT NULL THEN {text_sql(INFREQUENT)} ELSE {made[c]} END"
-        gone = ", ".join([quoted(c) for c in made] + [quoted(f"_seen_{c}") for c in capped])
-        return SQLTransformer(statement=f"SELECT * EXCEPT ({gone}), {', '.join(f'{e} AS {quoted(c)}' for c, e in made.items())} FROM __THIS__{joins}")
+    def fold_infrequent(self, df: DataFrame, kept: dict[str, list[str | None]]) -> SQLTransformer:
+        """Stage that adds `_cat<i>`, the marked value or the slot; it joins the other values seen in training, a
+        written table, to tell infrequent from unknown ones."""
+        capped = [c for c in self.cols if kept[c] and kept[c][-1] is INFREQUENT]
+        texts = {c: category_sql(df, c) for c in self.cols}
+        marked = {c: f"concat({text_sql(MARK)}, {e})" for c, e in texts.items()}
+        joins, gone = "", [quoted(c) for c in self.cols]
+        if capped:
+            path = new_path(df.sparkSession, "seen")
+            keep = df.sparkSession.createDataFrame([(c, v) for c in capped for v in kept[c][:-1]], "column string, value string")
+            place = F.array_position(F.array(*[F.lit(c) for c in capped]), F.col("column")) - 1
+            seen = value_counts(df, capped).where(F.col("value").isNotNull()).join(F.broadcast(keep), ["column", "value"], "left_anti")
+            seen.select(place.cast("int").alias("place"), "value").write.partitionBy("place").parquet(path)
+            for k, c in enumerate(capped):
+                joins += f" LEFT JOIN (SELECT value AS _seen{k} FROM parquet.`{path}/place={k}`) ON _seen{k} = {texts[c]}"
+                marked[c] = f"CASE WHEN _seen{k} IS NOT NULL THEN {text_sql(SLOT)} ELSE {marked[c]} END"
+                gone.append(f"_seen{k}")
+        made = [f"{e} AS {quoted(c)}" for c, e in texts.items()] + [f"{e} AS _cat{i}" for i, e in enumerate(marked.values())]
+        return SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(gone)}), {', '.join(made)} FROM __THIS__{joins}")
 
     def _fit(self, df: DataFrame) -> PipelineModel:
-        stages: list = []
-        kept = self.categories(df) if self.cols else {}
-        stages.append(self.fold_infrequent(df, kept))
-        for c in self.cols:
-            labels = kept[c]
+        if not self.cols:
+            return Pipeline(stages=[replacing({})]).fit(df)
+        kept = self.categories(df)
+        stages: list = [self.fold_infrequent(df, kept)]
+        for i, c in enumerate(self.cols):
+            labels = [SLOT if v is INFREQUENT else MARK + v for v in kept[c]]
             drops = self.drop == "first" or (self.drop == "if_binary" and len(labels) == 2)
             if self.handle_unknown == "ignore":
                 # the slot of unseen values is the one dropped; a dropped category is left unseen too
@@ -285,10 +289,11 @@ class OneHotVector(Estimator):
             else:
                 labels, last = (labels[1:] + labels[:1] if drops else labels), drops
             keep = "keep" if self.handle_unknown == "ignore" else "error"
-            stages.append(StringIndexerModel.from_labels(labels or [INFREQUENT], inputCol=c, outputCol=f"_idx_{c}", handleInvalid=keep))
-            stages.append(OneHotEncoder(inputCol=f"_idx_{c}", outputCol=f"{c}_vec", dropLast=last, handleInvalid="error"))
-        stages.append(SQLTransformer(statement="SELECT * EXCEPT ({0}) FROM __THIS__".format(
-            ", ".join(quoted(f"_idx_{c}") for c in self.cols))) if self.cols else replacing({}))
+            stages.append(StringIndexerModel.from_labels(labels or [SLOT], inputCol=f"_cat{i}", outputCol=f"_idx{i}", handleInvalid=keep))
+            stages.append(OneHotEncoder(inputCol=f"_idx{i}", outputCol=f"_vec{i}", dropLast=last, handleInvalid="error"))
+        gone = ", ".join(f"_cat{i}, _idx{i}, _vec{i}" for i in range(len(self.cols)))
+        named = ", ".join(f"_vec{i} AS {quoted(c + '_vec')}" for i, c in enumerate(self.cols))
+        stages.append(SQLTransformer(statement=f"SELECT * EXCEPT ({gone}), {named} FROM __THIS__"))
         return Pipeline(stages=stages).fit(df)
 
 
@@ -402,9 +407,14 @@ def build_preprocessor(df: DataFrame, cfg: PrepConfig | None = None, out: str =
         stages.append(OneHotVector(other, max_categories=cfg.max_ohe_categories, drop=cfg.one_hot_drop,
                                    handle_unknown=cfg.handle_unknown))
     inputs = numeric + [f"{c}_vec" for c in other]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="keep"))
-    if other:
-        stages.append(SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(quoted(f'{c}_vec') for c in other)}) FROM __THIS__"))
+    # the assembler reads dots and spaces in names as paths: such columns pass by a name of their own
+    odd = {c: f"_in{i}" for i, c in enumerate(inputs) if not re.fullmatch(r"\w+", c)}
+    if odd:
+        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(f'{quoted(c)} AS {n}' for c, n in odd.items())} FROM __THIS__"))
+    stages.append(VectorAssembler(inputCols=[odd.get(c, c) for c in inputs], outputCol=out, handleInvalid="keep"))
+    gone = [quoted(f"{c}_vec") for c in other] + list(odd.values())
+    if gone:
+        stages.append(SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(gone)}) FROM __THIS__"))
     return Pipeline(stages=stages), numeric, other
 
 

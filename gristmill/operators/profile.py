@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +41,74 @@ def prob_name(p: float) -> str:
 # --- schema, memory, duplicates, dates ---------------------------------------
 
 
+@dataclass(frozen=True)
+class Facts:
+    """What one scan tells of a table: rows, rows with a missing value, and of each column missing values, bytes and range of time."""
+
+    rows: int
+    any_missing: int
+    missing: dict[str, int]
+    bytes: dict[str, int]
+    times: dict[str, tuple[str | None, str | None]]
+
+
+def table_facts(df: DataFrame) -> Facts:
+    """Several sections of a report from one aggregate (one for each COLUMNS_PER_JOB columns)."""
+    clean = clean_nan(df)
+    floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    gone = lambda c: col(c).isNull() | F.isnan(col(c)) if c in floating else col(c).isNull()
+    total = F.lit(0)
+    for c in df.columns:
+        total = total + gone(c).cast("int")
+    dates = set(columns_of(clean, "datetime64"))
+    rows = any_missing = 0
+    missing, sizes, times = {}, {}, {}
+    for part in chunks(df.columns):
+        aggs = [F.count(F.lit(1)).alias("_rows"), F.count_if(total > 0).alias("_any")]
+        for i, c in enumerate(part):
+            aggs += [F.count_if(gone(c)).alias(f"m{i}"), _bytes_of(df, c).alias(f"b{i}")]
+            if c in dates:
+                v = _as_time(df, c)
+                aggs += [iso_text(F.min(v)).alias(f"a{i}"), iso_text(F.max(v)).alias(f"z{i}")]
+        row = df.agg(*aggs).first()
+        rows, any_missing = row["_rows"], row["_any"]
+        for i, c in enumerate(part):
+            missing[c], sizes[c] = row[f"m{i}"], row[f"b{i}"]
+            if c in dates:
+                times[c] = (row[f"a{i}"], row[f"z{i}"])
+    return Facts(rows, any_missing, missing, sizes, times)
+
+
+_scanned: ContextVar[tuple[DataFrame, Facts] | None] = ContextVar("scanned", default=None)
+
+
+def _known(df: DataFrame) -> Facts | None:
+    held = _scanned.get()
+    return held[1] if held is not None and held[0] is df else None
+
+
+@contextmanager
+def one_scan(df: DataFrame) -> Iterator[None]:
+    """Inside, shape, memory, dates and missing values of this very frame are told from one scan of it.
+
+    Where that scan fails, because some column cannot be computed, each of them scans for itself.
+    """
+    try:
+        facts = table_facts(df)
+    except Exception:  # noqa: BLE001 - the sections that read the failing column tell
+        yield
+        return
+    token = _scanned.set((df, facts))
+    try:
+        yield
+    finally:
+        _scanned.reset(token)
+
+
 def table_shape(df: DataFrame) -> DataFrame:
     """(rows, cols)"""
+    if (facts := _known(df)) is not None:
+        return df.sparkSession.createDataFrame([(facts.rows, len(df.columns))], "rows long, cols long")
     return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("cols", F.lit(len(df.columns)).cast("long"))
 
 
@@ -109,6 +178,8 @@ def _bytes_of(df: DataFrame, name: str) -> Column:
 
 def memory_summary(df: DataFrame) -> DataFrame:
     """(column, bytes): bytes of data per column, and their sum in the row '(total)'."""
+    if (facts := _known(df)) is not None:
+        return df.sparkSession.createDataFrame([*facts.bytes.items(), ("(total)", sum(facts.bytes.values()))], "column string, bytes long")
     parts = []
     for part in chunks(df.columns):
         wide = df.agg(*[_bytes_of(df, c).alias(f"b{i}") for i, c in enumerate(part)])
@@ -138,16 +209,20 @@ def iso_text(value: Column) -> Column:
     return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
 
 
+def _as_time(df: DataFrame, name: str) -> Column:
+    return col(name).cast("timestamp_ntz") if isinstance(df.schema[name].dataType, T.DateType) else col(name)
+
+
 def datetime_overview(df: DataFrame, max_columns: int | None = None) -> DataFrame:
     """(column, min, max) of every date or time column as ISO text."""
+    if (facts := _known(df)) is not None:
+        return df.sparkSession.createDataFrame([(c, *ends) for c, ends in facts.times.items()][:max_columns], "column string, min string, max string")
     cols = columns_of(df, "datetime64")[:max_columns]
     if not cols:
         return empty(df.sparkSession, "column string, min string, max string")
     aggs = []
     for i, c in enumerate(cols):
-        v = col(c)
-        if isinstance(df.schema[c].dataType, T.DateType):
-            v = v.cast("timestamp_ntz")
+        v = _as_time(df, c)
         aggs += [iso_text(F.min(v)).alias(f"a{i}"), iso_text(F.max(v)).alias(f"b{i}")]
     return rows_of(df.agg(*aggs), [
         F.struct(F.lit(c).alias("column"), F.col(f"a{i}").alias("min"), F.col(f"b{i}").alias("max"))
@@ -173,20 +248,25 @@ def numeric_profile(
     df = clean_nan(df)
     cols = numeric_columns(df) if cols is None else list(cols)
     std = F.stddev_samp if sample_std else F.stddev_pop
-    out: dict[str, list] = {}
-    rows = None
-    for part in chunks(cols):
+    def moments(part: Sequence[str]) -> list[Column]:
         aggs = [F.count(F.lit(1)).alias("_rows")]
         for i, c in enumerate(part):
             v = col(c).cast("double")
             aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), std(v).alias(f"s{i}"),
                      F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-        row = df.agg(*aggs).first()
-        rows = row["_rows"]
+        return aggs
+
+    got: list[tuple[Sequence[str], Row]] = []
+    if quantiles is None:  # one pass for the moments and the sketch of the quantiles
+        fitted = exact_quantiles(df, cols, probs, beside=moments, found=got)
+    else:
+        fitted = quantiles
+        got = [(part, df.agg(*moments(part)).first()) for part in chunks(cols)]
+    out: dict[str, list] = {}
+    for part, row in got:
         for i, c in enumerate(part):
-            missing = rows - row[f"n{i}"]
-            out[c] = [row[f"n{i}"], missing, missing / rows * 100.0 if rows else 0.0] + [row[f"{k}{i}"] for k in ("m", "s", "lo", "hi")]
-    fitted = exact_quantiles(df, cols, probs, rows=rows) if quantiles is None else quantiles
+            missing = row["_rows"] - row[f"n{i}"]
+            out[c] = [row[f"n{i}"], missing, missing / row["_rows"] * 100.0 if row["_rows"] else 0.0] + [row[f"{k}{i}"] for k in ("m", "s", "lo", "hi")]
     schema = ("column string, count long, missing long, missing_pct double, mean double, std double, min double, max double"
               + "".join(f", {prob_name(p)} double" for p in probs))
     # one short row per column
@@ -342,8 +422,16 @@ def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None, k: int
 # --- missing values ----------------------------------------------------------
 
 
+def _percent_of(part: int, whole: int) -> float:
+    return part / whole * 100.0 if whole else 0.0
+
+
 def missingness(df: DataFrame) -> DataFrame:
     """(column, rows, missing, missing_pct)"""
+    if (facts := _known(df)) is not None:
+        return df.sparkSession.createDataFrame(
+            [(c, facts.rows, n, _percent_of(n, facts.rows)) for c, n in facts.missing.items()], "column string, rows long, missing long, missing_pct double"
+        )
     df = clean_nan(df)
     parts = []
     for part in chunks(df.columns):
@@ -370,6 +458,9 @@ def missing_per_row(df: DataFrame) -> Column:
 
 def rows_with_missing(df: DataFrame) -> DataFrame:
     """(rows, rows_with_any_missing, rows_with_any_missing_pct)"""
+    if (facts := _known(df)) is not None:
+        row = (facts.rows, facts.any_missing, _percent_of(facts.any_missing, facts.rows))
+        return df.sparkSession.createDataFrame([row], "rows long, rows_with_any_missing long, rows_with_any_missing_pct double")
     df = clean_nan(df)
     out = df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(missing_per_row(df) > 0).alias("rows_with_any_missing"))
     return out.withColumn("rows_with_any_missing_pct", percent(F.col("rows_with_any_missing"), F.col("rows")))

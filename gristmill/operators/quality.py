@@ -82,16 +82,16 @@ def add_columns(df: DataFrame, derived: dict[str, Column]) -> DataFrame:
 
 def top_rows(df: DataFrame, by: str, k: int, ties: Sequence[str] = (), *, ascending: bool = False) -> DataFrame:
     """k rows with the largest (or smallest) value of a column."""
-    order = F.col(by).asc() if ascending else F.col(by).desc()
-    return df.orderBy(order, *ties).limit(k)
+    order = col(by).asc() if ascending else col(by).desc()
+    return df.orderBy(order, *map(col, ties)).limit(k)
 
 
 def first_rows(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame:
-    return df.orderBy(*order_by).limit(n)
+    return df.orderBy(*map(col, order_by)).limit(n)
 
 
 def last_rows(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame:
-    return df.orderBy(*[F.col(c).desc() for c in order_by]).limit(n)
+    return df.orderBy(*[col(c).desc() for c in order_by]).limit(n)
 
 
 def table_preview(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame:

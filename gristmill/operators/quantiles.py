@@ -1,33 +1,32 @@
-"""Exact quantiles (linear interpolation) without moving the data.
+"""Exact quantiles (linear interpolation) in three aggregates, none of which moves the data.
 
-A small random sample only proposes pivots. One counting pass then proves, for
-every column at once, how many rows lie on each pivot and between neighbours;
-tasks send a histogram, never rows. A wanted rank that falls on a pivot is
-settled; one that falls between two pivots is searched again inside that open
-interval. When few rows are left in all intervals they are counted by value.
-The driver sees pivots and counts. The result does not depend on the sample.
+A mergeable sketch proposes values around each wanted position. One aggregate then counts, for
+every column at once, the rows below and up to each of them: a wanted rank that falls on a proposed value is
+settled; any other lies between two of them. What lies there, a few rows in ten thousand, is counted
+by value. Where even that is more than SETTLE_ROWS, the sketch is drawn again inside the gaps.
+The driver sees proposed values and counts. The result does not depend on the sketch.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..core import chunks, col
 
-# Rows sampled per round; inputs of LARGE_ROWS and more get ten times as many.
-SAMPLE_ROWS = 20_000
-LARGE_ROWS = 100_000_000
-# Pivots are set around each wanted position, at these multiples of its sampling error.
-PIVOT_STEPS = (-4.0, -2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0, 4.0)
-# Open intervals with at most this many rows in total are settled by counting values.
+#: The sketch is right to one row in so many.
+ACCURACY = 10_000
+#: Values are proposed at each wanted position and at these multiples of the sketch's error from it.
+STEPS = (-2.0, 0.0, 2.0)
+#: Gaps with more rows than this in all are narrowed before their values are counted.
 SETTLE_ROWS = 1_000_000
+#: Aggregates of one job: columns are searched together up to this many.
+PER_JOB = 400
 COLUMNS_PER_PASS = 20
 
 
@@ -46,9 +45,9 @@ class _Span:
         v = col(self.column).cast("double")
         inside = v.isNotNull()
         if self.low is not None:
-            inside = inside & (v > self.low)
+            inside = inside & (v > F.lit(self.low))
         if self.high is not None:
-            inside = inside & (v < self.high)
+            inside = inside & (v < F.lit(self.high))
         return inside
 
 
@@ -59,28 +58,32 @@ def exact_quantiles(
     *,
     rows: int | None = None,
     settle_rows: int = SETTLE_ROWS,
-    sample_rows: int | None = None,
+    sample_rows: int = ACCURACY,
+    beside: Callable[[Sequence[str]], list[Column]] | None = None,
+    found: list[tuple[Sequence[str], Row]] | None = None,
 ) -> dict[str, list[float | None]]:
     """Quantiles per column as fitted constants; [None, ...] for an all-null column.
 
-    `rows` saves a count where the caller knows the number of rows.
+    sample_rows is the accuracy of the sketch. beside gives further aggregates over some
+    columns, which the first pass computes too; their rows are put into found.
     """
-    cols = list(dict.fromkeys(cols))
     out: dict[str, list[float | None]] = {}
-    if not cols:
-        return out
-    rows = df.count() if rows is None else rows
-    if sample_rows is None:
-        sample_rows = SAMPLE_ROWS * (10 if rows >= LARGE_ROWS else 1)
-    for part in chunks(cols, COLUMNS_PER_PASS):
-        out.update(_search(df, list(part), list(probs), rows, settle_rows, sample_rows))
+    cols = list(dict.fromkeys(cols))
+    width = max(1, min(COLUMNS_PER_PASS, PER_JOB // max(1, 2 * len(STEPS) * len(probs))))
+    for part in chunks(cols, width):
+        out.update(_search(df, list(part), list(probs), settle_rows, sample_rows, beside, found))
     return out
 
 
-def _search(df, cols, probs, rows, settle_rows, sample_rows):
-    spans = [_Span(c, None, None, 0, rows) for c in cols]
-    counts, points = _count_between(df, spans, _propose(df, spans, [probs] * len(spans), sample_rows, seed=0))
-    filled = {s.column: int(counts[i].sum()) for i, s in enumerate(spans)}
+def _search(df, cols, probs, settle_rows, accuracy, beside, found):
+    more = [] if beside is None else beside(cols)
+    spans = [_Span(c, None, None, 0, 0) for c in cols]
+    row = df.agg(*_sketches(spans, [probs] * len(cols), accuracy), *[F.count(col(c)).alias(f"_n{i}") for i, c in enumerate(cols)], *more).first()
+    if found is not None:
+        found.append((cols, row))
+    filled = {c: row[f"_n{i}"] for i, c in enumerate(cols)}
+    spans = [_Span(c, None, None, 0, filled[c]) for c in cols]
+    points = _proposed(row, len(spans))
     wanted = {
         (c, rank)
         for c in cols
@@ -89,18 +92,13 @@ def _search(df, cols, probs, rows, settle_rows, sample_rows):
         for rank in (math.floor((filled[c] - 1) * p), math.ceil((filled[c] - 1) * p))
     }
     values: dict[tuple[str, int], float] = {}
-    open_ = _locate(spans, counts, points, wanted, values)
-    seed = 0
+    open_ = _locate(spans, _count_between(df, spans, points), points, wanted, values)
     while open_ and sum(s.inside for s in open_) > settle_rows:
-        seed += 1
         spans = sorted(open_, key=lambda s: (s.column, s.below))
         left = {w for w in wanted if w not in values}
-        at = [
-            [(rank - s.below + 0.5) / s.inside for c, rank in left if c == s.column and s.below <= rank < s.below + s.inside]
-            for s in spans
-        ]
-        counts, points = _count_between(df, spans, _propose(df, spans, at, sample_rows, seed))
-        open_ = _locate(spans, counts, points, left, values)
+        at = [[(rank - s.below + 0.5) / s.inside for c, rank in left if c == s.column and s.below <= rank < s.below + s.inside] for s in spans]
+        points = _proposed(df.where(_any_holds(spans)).agg(*_sketches(spans, at, accuracy)).first(), len(spans))
+        open_ = _locate(spans, _count_between(df, spans, points), points, left, values)
     if open_:
         _settle(df, sorted(open_, key=lambda s: (s.column, s.below)), {w for w in wanted if w not in values}, values)
 
@@ -115,13 +113,19 @@ def _search(df, cols, probs, rows, settle_rows, sample_rows):
     return {c: [at(c, p) for p in probs] for c in cols}
 
 
-def _inside(v: np.ndarray, low: float | None, high: float | None) -> np.ndarray:
-    keep = ~np.isnan(v)
-    if low is not None:
-        keep &= v > low
-    if high is not None:
-        keep &= v < high
-    return v[keep]
+def _sketches(spans: Sequence[_Span], at: Sequence[Sequence[float]], accuracy: int) -> list[Column]:
+    """Values of each span near the wanted fractions of it."""
+    out = []
+    for i, s in enumerate(spans):
+        fractions = sorted({min(1.0, max(0.0, p + step / accuracy)) for p in at[i] for step in STEPS}) or [0.5]
+        v = col(s.column).cast("double")
+        own = v if s.low is None and s.high is None else F.when(s.holds(), v)
+        out.append(F.percentile_approx(own, fractions, accuracy).alias(f"_q{i}"))
+    return out
+
+
+def _proposed(row: Row, n: int) -> list[np.ndarray]:
+    return [np.unique(np.array(row[f"_q{i}"] or [], float)) for i in range(n)]
 
 
 def _any_holds(spans: Sequence[_Span]) -> Column:
@@ -135,90 +139,23 @@ def _any_holds(spans: Sequence[_Span]) -> Column:
     return keep
 
 
-def _values_inside(df: DataFrame, spans: Sequence[_Span]) -> DataFrame:
-    """(span, v, n): values lying inside the spans, pre-counted per Arrow batch."""
-    names = list(dict.fromkeys(s.column for s in spans))
-    limits = [(names.index(s.column), s.low, s.high) for s in spans]
-
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            data = pdf.to_numpy(dtype=float)
-            span, value, count = [], [], []
-            for i, (c, low, high) in enumerate(limits):
-                v, n = np.unique(_inside(data[:, c], low, high), return_counts=True)
-                span.append(np.full(len(v), i, dtype=np.int32))
-                value.append(v)
-                count.append(n)
-            yield pd.DataFrame(
-                {"span": np.concatenate(span), "v": np.concatenate(value), "n": np.concatenate(count)}
-            )
-
-    numbers = df.where(_any_holds(spans)).select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
-    return numbers.mapInPandas(extract, "span int, v double, n long")
-
-
-def _propose(df: DataFrame, spans: Sequence[_Span], at: Sequence[Sequence[float]], sample_rows: int, seed: int) -> list[np.ndarray]:
-    """Pivots around the wanted fractions of each span, from a sample of bounded size.
-
-    A few pivots per rank keep what each task reports short.
-    """
-    whole = all(s.low is None and s.high is None for s in spans)
-    if whole:
-        source = df.select(*[col(s.column).cast("double").alias(f"v{i}") for i, s in enumerate(spans)])
-        expected = max(s.inside for s in spans)
-    else:
-        source = _values_inside(df, spans).select("span", "v")
-        expected = sum(s.inside for s in spans)
-    fraction = min(1.0, sample_rows / max(expected, 1))
-    # limit() bounds what the driver gets even if the sample runs over its size
-    got = (source if fraction >= 1.0 else source.sample(fraction, seed=seed)).limit(4 * sample_rows).toPandas()
-    out = []
-    for i in range(len(spans)):
-        v = got[f"v{i}"].to_numpy(float) if whole else got.loc[got["span"] == i, "v"].to_numpy(float)
-        v = np.sort(v[~np.isnan(v)])
-        if len(v) > len(PIVOT_STEPS):
-            f = np.asarray(at[i], dtype=float)[:, None]
-            places = f * (len(v) - 1) + np.asarray(PIVOT_STEPS) * (1.0 + np.sqrt(len(v) * f * (1.0 - f)))
-            v = v[np.clip(np.rint(places), 0, len(v) - 1).astype(int).ravel()]
-        out.append(np.unique(v))
-    return out
-
-
-def _count_between(df: DataFrame, spans: Sequence[_Span], points: list[np.ndarray]):
-    """Rows per bin of each span: bin 2i+1 is pivot i itself, bin 2i the gap before it."""
-    bounds = [(s.low, s.high) for s in spans]
-    names = list(dict.fromkeys(s.column for s in spans))
-    place = [names.index(s.column) for s in spans]
-
-    def histogram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = [np.zeros(2 * len(p) + 1, dtype=np.int64) for p in points]
-        for pdf in batches:
-            data = pdf.to_numpy(dtype=float)
-            for i, p in enumerate(points):
-                v = _inside(data[:, place[i]], *bounds[i])
-                left = np.searchsorted(p, v, side="left")
-                right = np.searchsorted(p, v, side="right")
-                totals[i] += np.bincount(left + right, minlength=len(totals[i]))
-        for i, t in enumerate(totals):
-            used = np.flatnonzero(t)
-            if len(used):
-                yield pd.DataFrame({"span": i, "bin": used, "n": t[used]})
-
-    found = (
-        df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
-        .mapInPandas(histogram, "span int, bin int, n long")
-        .groupBy("span", "bin")
-        .agg(F.sum("n").alias("n"))
-        .toPandas()
-    )
-    counts = [np.zeros(2 * len(p) + 1, dtype=np.int64) for p in points]
-    for span, group in found.groupby("span"):
-        counts[span][group["bin"].to_numpy()] = group["n"].to_numpy()
-    return counts, points
+def _count_between(df: DataFrame, spans: Sequence[_Span], points: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows per bin of each span: bin 2i+1 is point i itself, bin 2i the gap before it."""
+    aggs = []
+    for i, (s, p) in enumerate(zip(spans, points)):
+        v = col(s.column).cast("double")
+        for j, x in enumerate(p.tolist()):
+            aggs += [F.count_if(v < F.lit(x)).alias(f"l{i}_{j}"), F.count_if(v <= F.lit(x)).alias(f"u{i}_{j}")]
+    row = df.agg(*aggs).first() if aggs else None
+    counts = []
+    for i, (s, p) in enumerate(zip(spans, points)):
+        upto = [s.below, *(row[f"{k}{i}_{j}"] for j in range(len(p)) for k in "lu"), s.below + s.inside]
+        counts.append(np.diff(np.array(upto, np.int64)))
+    return counts
 
 
 def _locate(spans, counts, points, wanted, values) -> set[_Span]:
-    """Settle ranks that fall on a pivot; return the open intervals of the others."""
+    """Settle ranks that fall on a point; return the open intervals of the others."""
     open_: set[_Span] = set()
     for i, s in enumerate(spans):
         ends = s.below + np.cumsum(counts[i])
@@ -241,12 +178,20 @@ def _settle(df: DataFrame, spans, wanted, values) -> None:
     ranks = [
         sorted(rank for c, rank in wanted if c == s.column and s.below <= rank < s.below + s.inside) for s in spans
     ]
+    names = list(dict.fromkeys(s.column for s in spans))
+    parts = []
+    for c in names:  # the spans of a column do not overlap
+        place = F.lit(None).cast("int")
+        for i, s in enumerate(spans):
+            if s.column == c:
+                place = F.when(s.holds(), F.lit(i)).otherwise(place)
+        parts.append(F.struct(place.alias("span"), col(c).cast("double").alias("v")))
+    inside = df.where(_any_holds(spans)).select(F.inline(F.filter(F.array(*parts), lambda x: x["span"].isNotNull())))
     nth = F.array(*[F.array(*[F.lit(r - s.below).cast("long") for r in rs]) for s, rs in zip(spans, ranks)])
     upto = F.sum("n").over(Window.partitionBy("span").orderBy("v"))
     found = (
-        _values_inside(df, spans)
-        .groupBy("span", "v")
-        .agg(F.sum("n").alias("n"))
+        inside.groupBy("span", "v")
+        .agg(F.count(F.lit(1)).alias("n"))
         .select("span", "v", "n", upto.alias("upto"))
         .where(F.exists(F.get(nth, F.col("span")), lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))))
         .collect()

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..core import clean_nan, col, empty, is_small, materialize, numeric_columns, require_columns
+from ..core import clean_nan, col, empty, materialize, numeric_columns, require_columns
 from ..operators import media as I
 from ..operators import profile as P
 from ..operators import textprofile as X
@@ -15,6 +17,7 @@ from ..operators.quantiles import exact_quantiles
 from ..sources import files as S
 from ..sources.tables import read_table, record, suffix
 
+T = TypeVar("T")
 SCHEMA = "section string, column string, metric string, value double, text string"
 
 
@@ -39,19 +42,30 @@ def _pairs(df: DataFrame, section: str) -> DataFrame:
 
 
 def _collect(spark: SparkSession, sections: dict[str, Callable[[], DataFrame]]) -> DataFrame:
-    """Union of the sections; one that cannot be built leaves a '<section>_error' row."""
+    """Union of the sections, each computed and written by a job of its own.
+
+    One that cannot be built, or fails while it runs, leaves a '<section>_error' row; the others stand.
+    """
     out = empty(spark, SCHEMA)
     for name, build in sections.items():
         try:
-            part = build()
+            part = materialize(build(), f"section-{name}")
         except Exception as e:  # noqa: BLE001 - a failing section must not stop the others
             part = spark.createDataFrame([(f"{name}_error", None, "error", None, str(e)[:1000])], SCHEMA)
         out = out.unionByName(part)
     return out
 
 
+def _once(build: Callable[[], T]) -> Callable[[], T]:
+    """What several sections share, made when the first of them asks; if it fails, each of them fails alone."""
+    return functools.cache(build)
+
+
 def table_report(df: DataFrame, target: str | None = None, *, k: int = 30) -> DataFrame:
-    """Schema, memory, duplicates, dates, numbers, categories, missing values, target."""
+    """Schema, memory, duplicates, dates, numbers, categories, missing values, target.
+
+    Shape, memory, dates and missing values come from one scan.
+    """
     column = F.col("column")
     fitted: dict = {}
 
@@ -74,7 +88,7 @@ def table_report(df: DataFrame, target: str | None = None, *, k: int = 30) -> Da
         return top.select(F.lit("categorical_stats").alias("section"), "column", F.lit("top_value").alias("metric"),
                           F.col("n").cast("double").alias("value"), F.col("value").alias("text"))
 
-    return _collect(df.sparkSession, {
+    sections = {
         "shape": lambda: _tidy(P.table_shape(df), "shape"),
         "schema_summary": lambda: _tidy(P.schema_summary(df).withColumn("high_cardinality", F.col("high_cardinality").cast("int")),
                                         "schema_summary", column, ("dtype",)),
@@ -88,7 +102,9 @@ def table_report(df: DataFrame, target: str | None = None, *, k: int = 30) -> Da
         "missingness_summary": lambda: _tidy(P.missingness(df), "missingness_summary", column),
         "rows_with_missing": lambda: _tidy(P.rows_with_missing(df), "rows_with_missing"),
         "target_preview": lambda: _pairs(P.target_preview(df, target), "target_preview"),
-    })
+    }
+    with P.one_scan(df):
+        return _collect(df.sparkSession, sections)
 
 
 def text_report(
@@ -97,10 +113,9 @@ def text_report(
     """Counts, lengths, tokens, labels, duplicates and character make-up of a text column."""
     require_columns(df, text)
     column = F.col("column")
-    # On large inputs tables that two sections read are written once.
-    keep = (lambda t, name: t) if is_small(df) else materialize
-    words = keep(X.token_counts(df, text, null_text=null_text), "tokens")
-    copies = keep(X.text_repeats(df, text, null_text), "repeats")
+    # tables that two sections read are written once
+    words = _once(lambda: materialize(X.token_counts(df, text, null_text=null_text), "tokens"))
+    copies = _once(lambda: materialize(X.text_repeats(df, text, null_text), "repeats"))
 
     def tokens(counts: DataFrame, name: str):
         return X.most_common(counts, k).select(
@@ -108,15 +123,15 @@ def text_report(
             F.col("count").cast("double").alias("value"), F.col("token").alias("text"))
 
     def repeats():
-        return X.top_duplicate_texts(df, text, repeats=copies).select(
+        return X.top_duplicate_texts(df, text, repeats=copies()).select(
             F.lit("duplicates").alias("section"), F.lit(None).cast("string").alias("column"), F.lit("top_duplicate_text").alias("metric"),
             F.col("count").cast("double").alias("value"), "text")
 
     sections = {
         "counts": lambda: _tidy(X.text_counts(df, text), "counts"),
         "lengths": lambda: _tidy(X.length_profile(df, text, null_text), "lengths", column),
-        "vocabulary": lambda: _tidy(X.vocabulary_size(df, text, counts=words), "token_stats"),
-        "top_unigrams": lambda: tokens(words, "top_unigram"),
+        "vocabulary": lambda: _tidy(X.vocabulary_size(df, text, counts=words()), "token_stats"),
+        "top_unigrams": lambda: tokens(words(), "top_unigram"),
     }
     if bigrams:
         sections["top_bigrams"] = lambda: tokens(X.token_counts(df, text, n=2, null_text=null_text), "top_bigram")
@@ -126,7 +141,7 @@ def text_report(
             X.label_lengths(df, text, target, null_text), "per_label_text_len", F.col("label"), ("label",)
         ).where(F.col("metric") != "label")
     sections["duplicate_rows"] = lambda: _tidy(P.duplicate_summary(df), "duplicates")
-    sections["duplicate_texts"] = lambda: _tidy(X.duplicate_texts(df, text, repeats=copies), "duplicates")
+    sections["duplicate_texts"] = lambda: _tidy(X.duplicate_texts(df, text, repeats=copies()), "duplicates")
     sections["top_duplicate_texts"] = repeats
     sections["char_composition"] = lambda: _tidy(X.character_makeup(df, text, null_text), "char_composition")
     return _collect(df.sparkSession, sections)
@@ -138,15 +153,18 @@ def _labelled(df: DataFrame, section: str, name: str) -> DataFrame:
 
 
 def image_report(files: DataFrame, root: str | None = None) -> DataFrame:
-    """Report on image files given as (path, class, content); sample paths are relative to root."""
-    headers = I.image_headers(files)
+    """Report on image files given as (path, class) or (path, class, content); sample paths are relative to root.
+
+    Headers are read once for all sections, by ranged reads where no content is given.
+    """
+    headers = _once(lambda: materialize(I.image_headers(files), "headers"))
     return _collect(files.sparkSession, {
         "classes": lambda: _tidy(I.class_count(files), "classes"),
         "class_counts_top20": lambda: _labelled(I.class_counts(files), "class_counts_top20", "class"),
         "small_classes_lt10": lambda: _labelled(I.small_classes(files), "small_classes_lt10", "class"),
-        "integrity": lambda: _tidy(I.image_integrity(headers), "integrity"),
-        "sizes": lambda: _tidy(I.image_sizes(headers), "sizes", F.col("column")),
-        "mode_counts_top": lambda: _labelled(I.image_modes(headers), "mode_counts_top", "mode"),
+        "integrity": lambda: _tidy(I.image_integrity(headers()), "integrity"),
+        "sizes": lambda: _tidy(I.image_sizes(headers()), "sizes", F.col("column")),
+        "mode_counts_top": lambda: _labelled(I.image_modes(headers()), "mode_counts_top", "mode"),
         "sample_paths": lambda: I.sample_paths(files if root is None else files.withColumn("path", S.relative_path(F.col("path"), root))).select(
             F.lit("sample_paths").alias("section"), F.lit(None).cast("string").alias("column"), F.lit("path").alias("metric"),
             F.lit(None).cast("double").alias("value"), F.col("path").alias("text")),
@@ -154,27 +172,24 @@ def image_report(files: DataFrame, root: str | None = None) -> DataFrame:
 
 
 def image_folder_report(spark: SparkSession, root: str) -> DataFrame:
-    files = S.with_content(spark, root, S.IMAGE_EXTENSIONS)
-    return image_report(files.withColumn("class", S.class_of(F.col("path"), root)), root)
+    files = materialize(S.labelled_files(spark, root, S.IMAGE_EXTENSIONS), "files")
+    return image_report(files, root)
 
 
 def image_manifest_report(
     spark: SparkSession, manifest_path: str, image_col: str, label_col: str | None = None, base_dir: str | None = None
 ) -> DataFrame:
-    """Report on the images a table lists; class counts include rows whose file is missing."""
+    """Report on the images a table lists, wherever they lie; class counts include rows whose file is missing."""
     manifest = read_table(spark, manifest_path)
     require_columns(manifest, image_col)
     root = base_dir or manifest_path.rsplit("/", 1)[0]
-    rows = S.manifest_files(manifest, image_col, S.list_files(spark, root), root)
-    content = S.with_content(spark, root, S.IMAGE_EXTENSIONS).select(S.plain_path(F.col("path")).alias("full_path"), "content")
-    headers = I.image_headers(
-        rows.where("found").select("full_path").join(content, "full_path").select(F.col("full_path").alias("path"), "content")
-    )
+    rows = materialize(S.manifest_files(manifest, image_col, base_dir=root), "manifest")
+    headers = _once(lambda: materialize(I.image_headers(rows.where("found").select(F.col("full_path").alias("path"))), "headers"))
     sections = {
         "manifest": lambda: _tidy(I.manifest_counts(rows), "manifest"),
-        "integrity": lambda: _tidy(I.image_integrity(headers), "integrity"),
-        "sizes": lambda: _tidy(I.image_sizes(headers), "sizes", F.col("column")),
-        "mode_counts_top": lambda: _labelled(I.image_modes(headers), "mode_counts_top", "mode"),
+        "integrity": lambda: _tidy(I.image_integrity(headers()), "integrity"),
+        "sizes": lambda: _tidy(I.image_sizes(headers()), "sizes", F.col("column")),
+        "mode_counts_top": lambda: _labelled(I.image_modes(headers()), "mode_counts_top", "mode"),
     }
     if label_col and label_col in manifest.columns:
         sections["class_counts_top20"] = lambda: _labelled(I.class_counts(rows, label_col), "class_counts_top20", "class")

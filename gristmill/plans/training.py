@@ -13,7 +13,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import col, quoted
+from ..core import col, quoted, work_dir
 from ..operators.evaluate import (
     class_labels, classification_report, classification_scores, confusion_matrix, evaluate_supervised, regression_scores,
 )
@@ -26,27 +26,35 @@ from ..operators.textprep import fit_term_vectors
 # Hyperparameters of the candidates.
 TREES, DEPTH, ROUNDS, RATE, SUBSAMPLE, COLUMNS, SEED, ITERATIONS = 300, 30, 400, 0.07, 0.9, 0.9, 42, 400
 
+#: Memory for the statistics of the tree nodes that one job splits.
+TREE_MEMORY_MB = 512
+#: One-against-rest boosters that are fitted side by side.
+CLASSES_AT_ONCE = 8
+
 
 def candidates(
     task: str, rows: int, classes: int = 2, *, trees: int = TREES, depth: int = DEPTH, rounds: int = ROUNDS,
     iterations: int = ITERATIONS, boosted: bool = True,
 ) -> dict:
     """Estimators to compare, by name, on columns 'features' and 'label'."""
+    # the level of a tree is one job if its nodes fit the memory; node ids spare a walk down all trees for every row
+    trees_in = {"maxMemoryInMB": TREE_MEMORY_MB, "cacheNodeIds": True, "checkpointInterval": 10, "seed": SEED}
+    boosting = {"maxIter": rounds, "stepSize": RATE, "subsamplingRate": SUBSAMPLE, "featureSubsetStrategy": str(COLUMNS), **trees_in}
     if task == "classification":
         out = {
             "LogReg": LogisticRegression(maxIter=iterations, regParam=1.0 / max(rows, 1), standardization=False),
-            "RandomForest": RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED),
+            "RandomForest": RandomForestClassifier(numTrees=trees, maxDepth=depth, **trees_in),
         }
         if boosted:
-            gbt = GBTClassifier(maxIter=rounds, stepSize=RATE, subsamplingRate=SUBSAMPLE, featureSubsetStrategy=str(COLUMNS), seed=SEED)
-            out["BoostedTrees"] = gbt if classes <= 2 else OneVsRest(classifier=gbt)
+            gbt = GBTClassifier(**boosting)
+            out["BoostedTrees"] = gbt if classes <= 2 else OneVsRest(classifier=gbt, parallelism=min(classes, CLASSES_AT_ONCE))
         return out
     out = {
         "Linear": LinearRegression(),
-        "RandomForestReg": RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=SEED),
+        "RandomForestReg": RandomForestRegressor(numTrees=trees, maxDepth=depth, **trees_in),
     }
     if boosted:
-        out["BoostedTreesReg"] = GBTRegressor(maxIter=rounds, stepSize=RATE, subsamplingRate=SUBSAMPLE, featureSubsetStrategy=str(COLUMNS), seed=SEED)
+        out["BoostedTreesReg"] = GBTRegressor(**boosting)
     return out
 
 
@@ -83,16 +91,21 @@ def run_leaderboard(
     cfg = make_config(target=target) if cfg is None else cfg
     pipeline, _, _ = build_preprocessor(train.drop(target), cfg)
     prepared = pipeline.fit(train)
+    context = train.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # boosting cuts its lineage there
+        context.setCheckpointDir(work_dir(train.sparkSession))
     before, after, labels = _label_stages(train, target, task)
     front = PipelineModel([prepared, *before])
     ready = front.transform(train).select("features", (F.col("label") + 0.0).alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
+    # prepared once for all models; a task that needs it again after a lost executor computes it anew
+    seen = PipelineModel([prepared, *before]).transform(test).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = ready.count()
         scores, models = [], {}
         for name, estimator in candidates(task, rows, len(labels), **options).items():
-            model = PipelineModel([prepared, *before, estimator.fit(ready), *after])
-            models[name] = model
-            scored = model.transform(test)
+            fitted = estimator.fit(ready)
+            models[name] = PipelineModel([prepared, *before, fitted, *after])
+            scored = PipelineModel([fitted, *after]).transform(seen)
             if task == "classification":
                 got = classification_scores(scored, target, "predicted").first()
                 scores.append((name, got["accuracy"], got["f1_weighted"]))
@@ -101,6 +114,7 @@ def run_leaderboard(
                 scores.append((name, got["r2"], got["mae"]))
     finally:
         ready.unpersist()
+        seen.unpersist()
     names = ("accuracy", "f1_weighted") if task == "classification" else ("r2", "mae")
     table = train.sparkSession.createDataFrame(scores, f"model string, {names[0]} double, {names[1]} double").orderBy(
         F.col(names[0]).desc(), "model"

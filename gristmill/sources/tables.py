@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..core import col
 from ..operators.quality import concat_tables
-from . import arrow_ipc
+from . import arrow_ipc, csv_records
 
 # Delimiters tried, and the size of the text sample they are tried on.
 DELIMITERS = [",", ";", "\t", "|", ":"]
@@ -62,18 +62,30 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header; types are inferred unless a schema is given.
 
-    multiline allows line breaks inside quotes, at the price of one task per file. Not
-    given, a scan tells whether a line has an odd number of quotes; only then it is needed.
+    Whether quoted values hold line breaks is found by a scan of the lines with quotes. If
+    some do, lines are joined to records split by split (see csv_records), so a large file
+    is still read by many tasks. multiline says it beforehand: False skips the scan.
     """
-    if multiline is None:
-        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-        multiline = bool(spark.read.text(path).where(quotes % 2 == 1).limit(1).count())
     sep = sniff_delimiter(spark, path) if sep is None else sep
-    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multiline)
+    line_sep = line_break(spark, path)
+    lines = csv_records.lines_of(spark, path, line_sep)
+    if multiline is None:
+        multiline = csv_records.spans_lines(lines, sep)
+    if multiline:
+        records, header = csv_records.csv_records(lines, sep, line_sep)
+        return csv_records.parse(records, header, sep, schema)
+    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"')
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path)
 
 
+def line_break(spark: SparkSession, path: str) -> str:
+    """What ends a line: a carriage return only where the file's start has no line feed."""
+    start = spark.read.option("lineSep", "\n").text(path).select(F.substring("value", 1, SAMPLE_BYTES).alias("v")).head()
+    text = start["v"] if start else ""
+    return "\r" if "\r" in text.rstrip("\r") and len(text) == SAMPLE_BYTES else "\n"
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """One record per line; blank lines and an absent path give no rows."""
     reader = spark.read if schema is None else spark.read.schema(schema)
