@@ -28,6 +28,8 @@ TREES, DEPTH, ROUNDS, RATE, SUBSAMPLE, COLUMNS, SEED, ITERATIONS = 300, 30, 400,
 
 #: Memory for the statistics of the tree nodes that one job splits.
 TREE_MEMORY_MB = 512
+#: Training rows of a task, where there are not more tasks than that already.
+ROWS_PER_TASK = 50_000
 #: One-against-rest boosters that are fitted side by side.
 CLASSES_AT_ONCE = 8
 
@@ -37,9 +39,9 @@ def candidates(
     iterations: int = ITERATIONS, boosted: bool = True,
 ) -> dict:
     """Estimators to compare, by name, on columns 'features' and 'label'."""
-    # the level of a tree is one job if its nodes fit the memory; node ids spare a walk down all trees for every row
+    # the level of a forest is one job if its nodes fit the memory; node ids spare a walk down all trees for every row
     trees_in = {"maxMemoryInMB": TREE_MEMORY_MB, "cacheNodeIds": True, "checkpointInterval": 10, "seed": SEED}
-    boosting = {"maxIter": rounds, "stepSize": RATE, "subsamplingRate": SUBSAMPLE, "featureSubsetStrategy": str(COLUMNS), **trees_in}
+    boosting = {"maxIter": rounds, "stepSize": RATE, "subsamplingRate": SUBSAMPLE, "featureSubsetStrategy": str(COLUMNS), "seed": SEED}
     if task == "classification":
         out = {
             "LogReg": LogisticRegression(maxIter=iterations, regParam=1.0 / max(rows, 1), standardization=False),
@@ -101,9 +103,11 @@ def run_leaderboard(
     seen = PipelineModel([prepared, *before]).transform(test).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = ready.count()
+        # a level of a tree is a job: few rows are kept in few tasks
+        ready_in = ready.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
         scores, models = [], {}
         for name, estimator in candidates(task, rows, len(labels), **options).items():
-            fitted = estimator.fit(ready)
+            fitted = estimator.fit(ready_in)
             models[name] = PipelineModel([prepared, *before, fitted, *after])
             scored = PipelineModel([fitted, *after]).transform(seen)
             if task == "classification":

@@ -245,7 +245,7 @@ def class_videos(listing: DataFrame, root: str) -> DataFrame:
 def resolve(path: Column, base_dir: str | None) -> Column:
     """Absolute form of a manifest path, relative ones taken from base_dir."""
     text = path.cast("string")
-    return text if base_dir is None else F.when(F.startswith(text, F.lit("/")) | text.contains("://"), text).otherwise(
+    return text if base_dir is None else F.when(text.rlike("^([a-zA-Z][a-zA-Z0-9+.-]*:)?/"), text).otherwise(
         F.concat(F.lit(base_dir.rstrip("/") + "/"), F.regexp_replace(text, "^\\./", ""))
     )
 
