@@ -39,7 +39,7 @@ def lean(batches: Batches) -> Batches:
     """The batches of a task. Workers outlive tasks: large blocks are mapped and go back when they are freed, the rest at the end."""
     library = _c_library()
     if library is not None:
-        library.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: else it rises with the blocks seen, and they stay with the worker
+        library.mallopt(-3, 1 << 22)  # M_MMAP_THRESHOLD: else it rises with the blocks seen, and they stay with the worker
     yield from batches
     gc.collect()
     pa.default_memory_pool().release_unused()
