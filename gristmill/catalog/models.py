@@ -10,7 +10,7 @@ from ..operators.profile import autodetect_target
 from ..operators.split import parts, random_split
 from ..plans import training as M
 from ..plans.features import build_features
-from .registry import query, rounded, table
+from .registry import query, rounded, table, union_sql
 from .text import labelled
 
 
@@ -133,7 +133,14 @@ def feature_build(spark, sf_dir):
     return out.test.select("o_orderkey", "o_orderstatus", "PCA1", "PCA2", F.col("c_mktsegment_tfidf").cast("string").alias("segment"))
 
 
-@query("target_detection", "SELECT 'label' AS target, true AS classification FROM (SELECT 1 FROM embeddings LIMIT 1)")
+_TARGETS = {"embeddings": "label", "documents": "n_chars", "labels": "toxic", "part": "p_retailprice", "customer": "c_mktsegment", "events": "props", "supplier": "s_acctbal", "orders": "o_orderpriority"}
+_TEXTS = {"customer", "events", "orders"}
+
+
+@query("target_detection", union_sql([
+    f"""SELECT '{t}' AS "table", '{c}' AS target, {'count(*) >= 0' if t in _TEXTS else f'count(DISTINCT {c}) <= greatest(20, floor(0.05 * count(*)))'} AS classification FROM {t}"""
+    for t, c in _TARGETS.items()]))
 def target_detection(spark, sf_dir):
-    name, kind = autodetect_target(table(spark, sf_dir, "embeddings"))
-    return table(spark, sf_dir, "embeddings").limit(1).select(F.lit(name).alias("target"), F.lit(kind).alias("classification"))
+    """What would be told in each table: a column with a usual name, else the last, and whether as classes."""
+    rows = [(t, *autodetect_target(table(spark, sf_dir, t))) for t in _TARGETS]
+    return spark.createDataFrame(rows, "table string, target string, classification boolean")

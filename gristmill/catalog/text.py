@@ -173,19 +173,14 @@ def clean_text_default(spark, sf_dir):
 
 
 @query("lemmatize_words", """
-WITH m AS (SELECT lower(r_name) AS token, 'region' || r_regionkey::VARCHAR AS lemma FROM region),
-w AS (SELECT n_nationkey, n_name || ' of ' || r_name AS t FROM nation JOIN region ON n_regionkey = r_regionkey),
-x AS (SELECT n_nationkey, unnest(regexp_extract_all(lower(t), '[\\p{L}\\p{N}_]+')) AS tok,
-  generate_subscripts(regexp_extract_all(lower(t), '[\\p{L}\\p{N}_]+'), 1) AS pos FROM w)
-SELECT n_nationkey, string_agg(coalesce(lemma, regexp_replace(tok, '[^a-z0-9]', '', 'g')), ' ' ORDER BY pos) AS clean_text
-FROM x LEFT JOIN m ON tok = token WHERE regexp_replace(tok, '[^a-z0-9]', '', 'g') <> '' GROUP BY 1""")
+WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda t: regexp_replace(t, '[^a-z0-9]', '', 'g')), lambda t: t <> '') AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS tok, generate_subscripts(w, 1) AS pos FROM w)
+SELECT doc_id, string_agg(CASE WHEN length(tok) >= 7 THEN substr(tok, 1, 5) || 'X' ELSE tok END, ' ' ORDER BY pos) AS clean_text FROM x GROUP BY 1""")
 def lemmatize_words(spark, sf_dir):
-    region = table(spark, sf_dir, "region")
-    lemmas = region.select(F.lower("r_name").alias("token"), F.concat(F.lit("region"), F.col("r_regionkey").cast("string")).alias("lemma"))
-    named = table(spark, sf_dir, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        "n_nationkey", F.concat("n_name", F.lit(" of "), "r_name").alias("t")
-    )
-    return C.clean_words(named, "t", stopwords=False, lemmas=lemmas).select("n_nationkey", "clean_text")
+    """All documents, with a lemma for each of their longer words."""
+    words = C.clean_words(documents(spark, sf_dir), "text", "words", stopwords=False).select(F.explode(F.split("words", " ")).alias("token")).distinct()
+    lemmas = words.where(F.length("token") >= 7).select("token", F.concat(F.substring("token", 1, 5), F.lit("X")).alias("lemma"))
+    return C.clean_words(documents(spark, sf_dir), "text", stopwords=False, lemmas=lemmas).select("doc_id", "clean_text")
 
 
 _TERMS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_][\\p{L}\\p{N}_]+')"

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import bounded_values, broadcast_if_small, clean_nan, col, is_small, json_safe, materialize, ratio_or_zero, type_class
+from ..core import bounded_values, broadcast_if_small, clean_nan, col, json_safe, materialize, ratio_or_zero, type_class
 from ..functions.ordering import bucket_of
 from .profile import distinct_more_than
 from .running import running_totals
@@ -224,16 +224,15 @@ def score_table(
 
 
 def settled(scores: DataFrame, options: dict) -> DataFrame:
-    """A score table several steps can read: written once unless it is small."""
-    if options.get("small") is None:
-        options["small"] = is_small(scores)
-    return scores if options["small"] else materialize(scores, "scores")
+    """A score table that several steps read: written once."""
+    options.pop("small", None)  # callers may still pass it; there is one plan for all sizes
+    return materialize(scores, "scores")
 
 
-def ranked_scores(scores: DataFrame, *, small: bool, bucket_rows: int | None = None) -> DataFrame:
+def ranked_scores(scores: DataFrame, *, bucket_rows: int | None = None) -> DataFrame:
     """score_table with running tp, fp (score and above) and the class totals."""
     options = {} if bucket_rows is None else {"bucket_rows": bucket_rows}
-    run = running_totals(scores, "score", ["pos", "neg"], groups=["label"], descending=True, small=small, **options)
+    run = running_totals(scores, "score", ["pos", "neg"], groups=["label"], descending=True, **options)
     totals = scores.groupBy("label").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     # one row per class
     return run.withColumnsRenamed({"pos_upto": "tp", "neg_upto": "fp"}).join(F.broadcast(totals), "label")

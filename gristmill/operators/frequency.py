@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import col, fingerprint, is_small, type_class
+from ..core import col, fingerprint, type_class
 
 
 def value_text(df: DataFrame, name: str) -> Column:

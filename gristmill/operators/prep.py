@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import bounded_values, broadcast_if_small, clean_nan, col, columns_of, is_small, materialize, new_path, numeric_columns, quoted, type_class
+from ..core import bounded_values, broadcast_if_small, clean_nan, col, columns_of, materialize, new_path, numeric_columns, quoted, type_class
 from .frequency import most_frequent, top_per_group, value_counts, value_text
 from .quantiles import exact_quantiles
 
@@ -156,9 +156,6 @@ class Scale(Estimator):
 def label_codes(df: DataFrame, column: str, null_text: str = "nan") -> DataFrame:
     """(value, code): sorted distinct values numbered from 0; missing is coded as its text."""
     values = df.select(F.coalesce(value_text(df, column), F.lit(null_text)).alias("value")).distinct()
-    if is_small(df):
-        w = Window.partitionBy(F.lit(0)).orderBy("value")
-        return values.select("value", (F.row_number().over(w) - 1).cast("long").alias("code"))
     # sorted once into a table; each value knows its partition and place therein,
     # and one short row per partition tells where the partition starts
     placed = materialize(values.orderBy("value").withColumn("id", F.monotonically_increasing_id()), "codes")

@@ -20,7 +20,6 @@ from ..core import (
     columns_of,
     empty,
     group_keys,
-    is_small,
     numeric_columns,
     percent,
     require_columns,
@@ -328,27 +327,16 @@ def correlation(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-# Above this many columns pair aggregates give way to block sums in numpy.
-PAIR_COLUMNS = 5
-
-
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(col_a, col_b, corr) for each column pair a before b; undefined pairs dropped."""
     cols = list(cols)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    if not pairs:
+    if len(cols) < 2:
         return empty(df.sparkSession, "col_a string, col_b string, corr double")
-    if len(cols) > PAIR_COLUMNS:
-        return _wide_correlation(df, cols)
-    wide = df.agg(*[correlation(col(cols[i]), col(cols[j])).alias(f"r{n}") for n, (i, j) in enumerate(pairs)])
-    return rows_of(wide, [
-        F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"), F.col(f"r{n}").alias("corr"))
-        for n, (i, j) in enumerate(pairs)
-    ]).where(F.col("corr").isNotNull() & ~F.isnan("corr"))
+    return _pair_sums(df, cols)
 
 
-def _wide_correlation(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pairwise-complete correlation of many columns.
+def _pair_sums(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Pairwise-complete correlation of columns.
 
     Each task adds up, per Arrow batch, five k x k matrices of sums over values
     centered by the column means; only those matrices are shuffled.

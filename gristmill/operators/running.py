@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import broadcast_if_small, col, is_small
+from ..core import broadcast_if_small, col
 from ..functions.ordering import bucket_of
 
 BUCKET_ROWS = 1_000_000
@@ -34,29 +34,20 @@ def running_totals(
     groups: Sequence[str] = (),
     descending: bool = False,
     suffix: str = "_upto",
-    small: bool | None = None,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Add `<value><suffix>`: the sum of value over all rows up to this one.
 
-    Rows must be unique on (groups, order); numeric `order`. Above the size
-    limit rows are cut into value ranges; a window runs inside each range and
-    the sums of the earlier ranges, one short row per range, are added on top.
-    That plan reads `df` several times: pass a written table, not a long plan.
+    Rows must be unique on (groups, order); numeric `order`. Rows are cut into
+    value ranges of bounded size; a window runs inside each range and the sums
+    of the earlier ranges, one short row per range, are added on top. `df` is
+    read several times: pass a written table, not a long plan.
     """
     groups = list(groups)
 
     def ordered(c):
         return F.col(c).desc() if descending else F.col(c).asc()
 
-    if small is None:
-        small = is_small(df)
-    if small:
-        w = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(ordered(order)).rowsBetween(
-            Window.unboundedPreceding, 0
-        )
-        return df.select("*", *[F.sum(v).over(w).alias(v + suffix) for v in values])
-
     bounds = range_bounds(df, order, bucket_rows)
     placed = df.withColumn("_range", bucket_of(F.col(order), bounds))
     totals = placed.groupBy(*groups, "_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])

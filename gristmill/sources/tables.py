@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import col
+from ..core import col, new_path
 from ..operators.quality import concat_tables
 from . import arrow_ipc, csv_records
 
@@ -174,8 +174,20 @@ def write_table(df: DataFrame, path: str, *, mode: str = "overwrite") -> str:
 
 
 def write_report(one_row: DataFrame, path: str) -> str:
-    """A report table as JSON lines; the job's commit publishes it as a whole."""
-    one_row.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """A report table as JSON lines, written aside and put in place of an earlier one when it is complete."""
+    spark = one_row.sparkSession
+    made = new_path(spark, "report").rpartition("/")[2]
+    aside, old = (f"{path.rstrip('/')}.{made}.{kind}" for kind in ("new", "old"))
+    one_row.write.option("ignoreNullFields", False).json(aside)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    system = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    had = system.exists(at(path))
+    if had and not system.rename(at(path), at(old)):
+        raise OSError(f"cannot move the earlier report at {path}")
+    if not system.rename(at(aside), at(path)):
+        raise OSError(f"cannot put the report in place at {path}; it is at {aside}")
+    if had:
+        system.delete(at(old), True)
     return path
 
 
@@ -194,7 +206,13 @@ def write_text(df: DataFrame, text: str, path: str, *, mode: str = "overwrite")
     return path
 
 
-def csv_stream(spark: SparkSession, folder: str, schema: T.StructType, *, sep: str = ",", files_per_trigger: int = 100, **options: Any) -> DataFrame:
-    """CSV files read chunk by chunk: a stream whose batches hold a bounded number of files."""
-    reader = spark.readStream.schema(schema).option("header", True).option("sep", sep)
+def csv_stream(
+    spark: SparkSession, folder: str, schema: T.StructType, *, sep: str | None = None, files_per_trigger: int = 100, **options: Any
+) -> DataFrame:
+    """CSV files read chunk by chunk: a stream whose batches hold a bounded number of files.
+
+    The delimiter is found in the files present at the start unless it is given; doubled quotes are read as one.
+    """
+    sep = sniff_delimiter(spark, folder) if sep is None else sep
+    reader = spark.readStream.schema(schema).option("header", True).option("sep", sep).option("escape", '"')
     return reader.option("maxFilesPerTrigger", files_per_trigger).options(**options).csv(folder)
