@@ -83,8 +83,7 @@ def test_one_hot_cap_at_any_number_of_values(spark, tmp_path, monkeypatch):
     assert all(len(s.getStatement()) < 2000 for s in model.stages if hasattr(s, "getStatement"))
 
 
-def test_label_codes_of_large_inputs(spark, monkeypatch):
-    monkeypatch.setattr(prep, "is_small", lambda df: False)
+def test_label_codes_of_many_values(spark):
     df = spark.createDataFrame([(f"v{i % 97:03d}" if i % 5 else None,) for i in range(1000)], "s string")
     got = {r["value"]: r["code"] for r in prep.label_codes(df, "s").collect()}
     assert got == {v: i for i, v in enumerate(sorted(got))} and "nan" in got

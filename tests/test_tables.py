@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from gristmill import core
 from gristmill.operators import frequency, profile, quality, running
-from gristmill.operators.profile import PAIR_COLUMNS
 
 
 @pytest.fixture(scope="module")
@@ -66,9 +65,10 @@ def test_empty_table(spark):
     assert profile.numeric_profile(df.select("s")).count() == 0
 
 
-def test_wide_correlation_equals_pairs(spark):
+@pytest.mark.parametrize("width", [2, 9])
+def test_wide_correlation_equals_pairs(spark, width):
     rng = np.random.default_rng(0)
-    data = rng.normal(size=(300, PAIR_COLUMNS + 4))
+    data = rng.normal(size=(300, width))
     data[:, 1] += data[:, 0]
     data[rng.random(data.shape) < 0.1] = np.nan
     pdf = pd.DataFrame(data, columns=[f"c{i}" for i in range(data.shape[1])])
@@ -128,9 +128,13 @@ def test_running_totals_two_levels(spark):
     v = np.unique(np.concatenate([rng.lognormal(0, 3, 500), rng.random(500) * 1e-6]))
     df = spark.createDataFrame(pd.DataFrame({"g": ["a", "b"] * (len(v) // 2) + ["a"] * (len(v) % 2), "v": v, "n": 1}))
     for down in (False, True):
-        small = running.running_totals(df, "v", ["n"], groups=["g"], descending=down, small=True)
-        large = running.running_totals(df, "v", ["n"], groups=["g"], descending=down, small=False, bucket_rows=37)
+        small = running.running_totals(df, "v", ["n"], groups=["g"], descending=down)
+        large = running.running_totals(df, "v", ["n"], groups=["g"], descending=down, bucket_rows=37)
         assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+        plain = df.toPandas().sort_values("v", ascending=not down)
+        plain["n_upto"] = plain.groupby("g")["n"].cumsum()
+        told = {(r["g"], r["v"]): r["n_upto"] for r in small.collect()}
+        assert told == {(r.g, r.v): r.n_upto for r in plain.itertuples()}
 
 
 def test_type_inference(spark):
