@@ -18,6 +18,8 @@ WINDOW = 10
 BLOCK_WORDS = 1_000_000
 #: Words of the windows that are searched at once; more items are searched in further rounds.
 ROUND_WORDS = 2_000_000
+#: Bytes of them likewise: what is sent to all tasks at once.
+ROUND_BYTES = 32_000_000
 #: Places a word may be off in a proximity match; GAP holds for up to three.
 NEAR = 2
 #: Free places between documents: more than two words that follow one another can be apart in a match.
@@ -99,12 +101,14 @@ def _spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(part[0]), int(part[-1]) + length) for part in np.split(starts, new) if len(part)]
 
 
-def _search(items: list[tuple[str, list[str]]], near: int):
+def _search(shared, near: int):
+    """Function of a block's postings; shared is a broadcast of the items (item_id, words)."""
+
     def block(frame: pd.DataFrame) -> pd.DataFrame:
         postings = {t: p for t, p in zip(frame["term"], frame["positions"]) if t is not None}
         ends = np.asarray(frame.loc[frame["term"].isna(), "positions"].iloc[0])
         found = defaultdict(list)
-        for item, terms in items:
+        for item, terms in shared.value:
             length = min(WINDOW, len(terms))
             sizes = [len(postings.get(t, ())) for t in terms]
             for first in range(len(terms) - length + 1):
@@ -156,16 +160,18 @@ def find_items(index: DataFrame, items: DataFrame, near: int = NEAR) -> DataFram
         map_arrow(items.select(F.col("item_id").cast("string").alias("item_id"), "text"), _windows, "item_id string, words array<string>").where("size(words) > 0").distinct(),
         "items",
     )
-    total = parted.agg(F.sum(F.size("words"))).first()[0] or 0
-    rounds = -(-total // ROUND_WORDS)
+    size = F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.octet_length(w))
+    total, held = (x or 0 for x in parted.agg(F.sum(F.size("words")), F.sum(size)).first())
+    rounds = max(-(-total // ROUND_WORDS), -(-held // ROUND_BYTES))
     out = None
     for k in range(rounds):
         some = parted.where(F.pmod(F.xxhash64("words"), F.lit(rounds)) == k) if rounds > 1 else parted
         terms = some.select(F.explode("words").alias("term")).distinct()
-        postings = index.join(terms, "term", "left_semi").select("block", "term", "positions").unionByName(
+        # no more than a round's words, so no common word's postings meet in one task
+        postings = index.join(F.broadcast(terms), "term", "left_semi").select("block", "term", "positions").unionByName(
             index.where("term is null").select("block", "term", "positions")
         )
-        asked = [(r["item_id"], r["words"]) for r in some.collect()]
+        asked = spark.sparkContext.broadcast([(r["item_id"], r["words"]) for r in some.collect()])
         found = postings.groupBy("block").applyInPandas(_search(asked, near), MATCHES)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], MATCHES)

@@ -58,7 +58,9 @@ def cells_in_order(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wan
 
 
 def _matrix(column) -> np.ndarray:
-    return np.array(column.tolist(), np.float64)
+    """Vectors as rows, each brought near 1 by a power of two: exact, and no square overflows."""
+    x = np.array(column.tolist(), np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if len(x) and x.shape[1] else x
 
 
 def nearest(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, share: float = SHARE) -> DataFrame:
@@ -85,7 +87,7 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, sh
         return spark.createDataFrame([], result)
     d = by_size[0]["d"]
     half = max(1, d // 2)
-    valid = valid.where(F.size("v") == d).distinct()
+    valid = materialize(valid.where(F.size("v") == d).distinct(), "valid")
     row = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     entries = materialize(
         valid.withColumn("r", row).where(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
@@ -159,7 +161,7 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, sh
             lengths = np.sqrt((vectors * vectors).sum(axis=1))
             for query, q, own in zip(probes["query_id"], probes["q"], probes["cells"]):
                 at = np.flatnonzero(np.isin(cells, own))
-                q = np.asarray(q, np.float64)
+                q = _matrix(pd.Series([q]))[0]
                 scores = (vectors[at] * q).sum(axis=1) / (lengths[at] * np.sqrt((q * q).sum()))
                 # the query's own vector may be among the first k + 1; ties stay in
                 best = np.partition(scores, -(k + 1))[-(k + 1)] if len(scores) > k else -np.inf
@@ -167,7 +169,8 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, sh
                 out += [(query, x, -s) for s, x in found[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    asked = valid.where(queries).dropDuplicates(["vec_id"])
+    # few and small rows, but much work on each: dealt over the tasks
+    asked = valid.where(queries).dropDuplicates(["vec_id"]).repartition(spark.sparkContext.defaultParallelism, "vec_id")
     probes = asked.mapInPandas(probe, "query_id long, q array<double>, cells array<bigint>, bin long")
     held = indexed.mapInPandas(place, "v array<double>, ids array<bigint>, n long, cell long, bin long")
     found = probes.groupBy("bin").cogroup(held.groupBy("bin")).applyInPandas(compare, "query_id long, vec_id long, score double")

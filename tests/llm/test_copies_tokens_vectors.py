@@ -136,6 +136,8 @@ def test_contamination_cases(spark):
 def test_rounds_and_blocks_change_nothing(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     want = sorted(map(str, contamination.contamination(docs, items).collect()))
+    monkeypatch.setattr(contamination, "ROUND_BYTES", 4_000)
+    assert sorted(map(str, contamination.contamination(docs, items).collect())) == want
     monkeypatch.setattr(contamination, "ROUND_WORDS", 300)
     assert sorted(map(str, contamination.contamination(docs, items).collect())) == want
 
@@ -323,6 +325,21 @@ def test_vector_cases(spark):
     assert multiindex.nearest(df.limit(0)).count() == 0 and [tuple(r)[:3] for r in multiindex.nearest(df.where("vec_id in (50, 3)")).collect()] == [(50, 1, 3)]
 
 
+def test_vectors_of_any_size(spark):
+    """Squares of these components overflow or vanish; the cosines do not."""
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((60, 6))
+    rows = [(i, (x * [1.0, 1e200, 1e-200][i % 3]).tolist()) for i, x in enumerate(v)]
+    got = defaultdict(list)
+    for r in sorted(multiindex.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), share=1.0).collect()):
+        got[r.query_id].append((r.vec_id, r.score))
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    for q in (0, 50):
+        s = u @ u[q]
+        s[q] = -2
+        assert [i for i, _ in got[q]] == np.argsort(-s)[:5].tolist() and np.allclose([x for _, x in got[q]], np.sort(s)[::-1][:5])
+
+
 def test_url_rules(spark):
     rows = ["http://A.Example.NET/en/1?x#y", "https://example.net/fr", "https://myexample.com/de/", "http://x.example.com/de/1", "http://org/fr/1", "http://a.org/en/", "http://x.net", "no host", None, "", "://", "http://h.com?q=/de/", "http://sub.cheap-pills.example.com/en/5", "http://x.com://y/z"]
     df = spark.createDataFrame([(i, u, "v") for i, u in enumerate(rows)], "page_id long, url string, verdict string")
