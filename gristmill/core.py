@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Data estimated below this size may take the short plan of an operator (one
-# aggregation buffer, one window, a broadcast). Everything larger takes the
-# distributed plan, which gives the same result.
+# Inputs estimated below this size are dealt over the cores before costly per-row work;
+# larger ones have splits enough. Operators have one plan for all sizes.
 SMALL_BYTES = 64 * 1024 * 1024
 
 # Sides of a join up to this estimate may be broadcast.
