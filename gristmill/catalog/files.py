@@ -118,14 +118,15 @@ def file_listing(spark, sf_dir):
 
 
 def _groups(spark, sf_dir):
-    """One file name per language and source; a third of them hidden by `_`, a third by `.`."""
-    docs = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.max("n_chars").alias("most"))
-    number = F.regexp_replace("source", "[^0-9]", "").cast("int") % 3
-    return docs.withColumn("name", F.concat(F.element_at(F.array(F.lit("_"), F.lit("."), F.lit("")), number + 1), "source"))
+    """One file name per language and 200 document numbers; a third of them hidden by `_`, a third by `.`."""
+    number = F.floor(F.col("doc_id") / 200).cast("long")
+    docs = table(spark, sf_dir, "documents").groupBy("lang", number.alias("k")).agg(F.count("*").alias("n"), F.max("n_chars").alias("most"))
+    mark = F.element_at(F.array(F.lit("_"), F.lit("."), F.lit("")), (F.col("k") % 3 + 1).cast("int"))
+    return docs.withColumn("name", F.concat(mark, F.lit("b"), F.col("k").cast("string")))
 
 
-_GROUPS = """(SELECT lang, source, count(*) AS n, max(n_chars) AS most, ['_', '.', ''][regexp_replace(source, '[^0-9]', '', 'g')::INTEGER % 3 + 1] || source AS name
-  FROM documents GROUP BY lang, source)"""
+_GROUPS = """(SELECT lang, doc_id // 200 AS k, count(*) AS n, max(n_chars) AS most, ['_', '.', ''][doc_id // 200 % 3 + 1] || 'b' || (doc_id // 200) AS name
+  FROM documents GROUP BY lang, doc_id // 200)"""
 
 
 @query("file_names_kept", f"SELECT '_' || lang || '/' || name || '.TXT' AS path, '.txt' AS ext, n * 2 AS length FROM {_GROUPS}")
@@ -142,11 +143,11 @@ def _png(width, height):
     def word(c):
         return F.lpad(F.hex(c), 8, "0")
 
-    return F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), word(width), word(height), F.lit("0802"), F.lit("000000"), F.repeat(F.lit("00"), 100_000)))
+    return F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), word(width), word(height), F.lit("0802"), F.lit("000000"), F.repeat(F.lit("00"), 20_000)))
 
 
 def _pictures(spark, sf_dir, folder):
-    """A picture file of 100 KB per language and source, as wide as there are documents."""
+    """A picture file of 20 KB per group, as wide as there are documents."""
     pictures = _groups(spark, sf_dir).select(F.concat("lang", F.lit("/"), "name", F.lit(".png")).alias("path"), _png(F.col("n"), F.col("most")).alias("content"))
     A.write_contents(pictures, folder)
 
@@ -159,12 +160,12 @@ def image_headers_of_files(spark, sf_dir):
     return I.image_headers(S.list_files(spark, folder, ["png"]).select("path")).withColumn("path", S.relative_path(F.col("path"), folder))
 
 
-@query("manifest_of_folders", f"""SELECT lang AS class, count(*) AS rows_scanned, count(*) FILTER (source <> 'src1') AS found FROM {_GROUPS} GROUP BY 1""")
+@query("manifest_of_folders", f"""SELECT lang AS class, count(*) AS rows_scanned, count(*) FILTER (k <> 1) AS found FROM {_GROUPS} GROUP BY 1""")
 def manifest_of_folders(spark, sf_dir):
     """A manifest of absolute paths in folders apart from each other and from its base; some files are missing."""
     folder = new_path(spark, "apart")
     groups = _groups(spark, sf_dir)
-    A.write_contents(groups.where("source <> 'src1'").select(F.concat("lang", F.lit("/deep/"), "name", F.lit(".png")).alias("path"), F.lit("x").cast("binary").alias("content")), folder)
+    A.write_contents(groups.where("k <> 1").select(F.concat("lang", F.lit("/deep/"), "name", F.lit(".png")).alias("path"), F.lit("x").cast("binary").alias("content")), folder)
     root = A.qualified(spark, folder)
     manifest = groups.select(F.concat(F.lit(root + "/"), "lang", F.lit("/deep/"), "name", F.lit(".png")).alias("image"), F.col("lang").alias("class"))
     found = S.manifest_files(manifest, "image", base_dir="/absent")
@@ -234,7 +235,7 @@ def zip_directory(spark, sf_dir):
 
 
 @query("source_listing", f"""SELECT 'folder' AS kind, lang || '/' || name || '.png' AS path FROM {_GROUPS} UNION ALL SELECT 'zip', lang || '.jpg' FROM (SELECT DISTINCT lang FROM documents)
-UNION ALL SELECT 'file', 'en/' || name || '.png' FROM {_GROUPS} WHERE lang = 'en' AND source = 'src0'""")
+UNION ALL SELECT 'file', 'en/' || name || '.png' FROM {_GROUPS} WHERE lang = 'en' AND k = 0""")
 def source_listing(spark, sf_dir):
     """The pictures of a folder, of a ZIP and of a single file by the same call."""
     folder = new_path(spark, "sources")
@@ -247,7 +248,7 @@ def source_listing(spark, sf_dir):
             z.writestr(f"{lang}.txt", lang)
     A.write_contents(spark.createDataFrame([("all.zip", packed.getvalue())], "path string, content binary"), folder)
     own = lambda at, kind: S.list_source(spark, at, "image").select(F.lit(kind).alias("kind"), F.col("path"))
-    found = own(folder, "folder").unionByName(own(f"{folder}/en/_src0.png", "file"))
+    found = own(folder, "folder").unionByName(own(f"{folder}/en/_b0.png", "file"))
     members = own(f"{folder}/all.zip", "zip").withColumn("path", F.substring_index("path", "#", -1))
     return found.withColumn("path", S.relative_path(F.col("path"), folder)).unionByName(members)
 
