@@ -59,6 +59,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(tasks) if tasks > 1 else df
 
 
+def dealt(df: DataFrame, rows_per_task: int) -> DataFrame:
+    """The rows in tasks of about so many; up to that many rows stay as they are.
+
+    A file's row group is one split however large, so an input may have far fewer splits than its size asks for.
+    """
+    tasks = -(-df.count() // rows_per_task)
+    return df.repartition(tasks) if tasks > 1 else df
+
+
 def type_class(dtype: T.DataType) -> str:
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return "datetime64"

@@ -13,7 +13,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import col, quoted, work_dir
+from ..core import col, dealt, quoted, work_dir
 from ..operators.evaluate import (
     class_labels, classification_report, classification_scores, confusion_matrix, evaluate_supervised, regression_scores,
 )
@@ -83,6 +83,17 @@ def _label_stages(df: DataFrame, target: str, task: str) -> tuple[list, list, li
     return [text, index], [name], labels
 
 
+def _training_tasks(ready: DataFrame, rows: int) -> DataFrame:
+    """The prepared rows in tasks of ROWS_PER_TASK.
+
+    A level of a tree is a job, so few rows are kept in few tasks; many rows are dealt evenly,
+    since a file's row group is one split however large. Their order decides what is drawn for
+    a tree, so it follows from the rows themselves.
+    """
+    tasks = max(1, -(-rows // ROWS_PER_TASK))
+    return ready.coalesce(1) if tasks == 1 else ready.repartition(tasks).sortWithinPartitions(F.xxhash64("features", "label"))
+
+
 def run_leaderboard(
     train: DataFrame, test: DataFrame, target: str, *, cfg: PrepConfig | None = None, task: str | None = None, **options
 ) -> Leaderboard:
@@ -100,11 +111,13 @@ def run_leaderboard(
     front = PipelineModel([prepared, *before])
     ready = front.transform(train).select("features", (F.col("label") + 0.0).alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
     # prepared once for all models; a task that needs it again after a lost executor computes it anew
-    seen = PipelineModel([prepared, *before]).transform(test).persist(StorageLevel.MEMORY_AND_DISK)
+    seen = PipelineModel([prepared, *before]).transform(dealt(test, ROWS_PER_TASK)).persist(StorageLevel.MEMORY_AND_DISK)
+    ready_in = ready
     try:
         rows = ready.count()
-        # a level of a tree is a job: few rows are kept in few tasks
-        ready_in = ready.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+        ready_in = _training_tasks(ready, rows).persist(StorageLevel.MEMORY_AND_DISK)
+        ready_in.count()
+        ready.unpersist()
         scores, models = [], {}
         for name, estimator in candidates(task, rows, len(labels), **options).items():
             fitted = estimator.fit(ready_in)
@@ -118,6 +131,7 @@ def run_leaderboard(
                 scores.append((name, got["r2"], got["mae"]))
     finally:
         ready.unpersist()
+        ready_in.unpersist()
         seen.unpersist()
     names = ("accuracy", "f1_weighted") if task == "classification" else ("r2", "mae")
     table = train.sparkSession.createDataFrame(scores, f"model string, {names[0]} double, {names[1]} double").orderBy(
@@ -191,7 +205,7 @@ def full_evaluation(path_or_model: str | PipelineModel, df: DataFrame, target: s
     AUC, average precision and log loss are left out where it gives no probabilities.
     """
     model = PipelineModel.load(path_or_model) if isinstance(path_or_model, str) else path_or_model
-    scored = model.transform(df)
+    scored = model.transform(dealt(df, ROWS_PER_TASK))
     names = next((s.getLabels() for s in model.stages if isinstance(s, IndexToString)), None)
     if names is None:
         return ModelEvaluation(evaluate_supervised(scored, target, "prediction", task="regression"), None, None)
