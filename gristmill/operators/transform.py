@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import chunks, clean_nan, col, quoted
+from ..core import chunks, clean_nan, col, dealt, quoted
 from .prep import category_sql, double_sql, number_sql, replacing, text_sql
 from .quantiles import exact_quantiles
 
@@ -22,6 +23,8 @@ CANDIDATES = 17
 STEPS = 8
 #: Aggregates of one job: columns are searched together up to this many.
 PER_JOB = 400
+#: Rows of a task in the search for exponents, where a file's splits hold more.
+ROWS_PER_TASK = 50_000
 #: Rounds after which one-dimensional k-means stops moving its centres.
 KMEANS_ROUNDS = 100
 
@@ -42,6 +45,15 @@ def power_sql(x: str, exponent: float, method: str) -> str:
     return f"CASE WHEN {x} >= 0 THEN {up} WHEN {x} < 0 THEN {down} END"
 
 
+def _powers_sql(method: str) -> str:
+    """power_sql of the columns x and e."""
+    if method == "box_cox":
+        return "CASE WHEN x > 0 THEN CASE WHEN e = 0 THEN ln(x) ELSE (pow(x, e) - 1) / e END END"
+    up = "CASE WHEN e = 0 THEN log1p(x) ELSE (pow(x + 1, e) - 1) / e END"
+    down = "CASE WHEN e = 2 THEN -log1p(-x) ELSE -(pow(1 - x, 2 - e) - 1) / (2 - e) END"
+    return f"CASE WHEN x >= 0 THEN {up} WHEN x < 0 THEN {down} END"
+
+
 def _slope_sql(x: str, method: str) -> str:
     """Logarithm of the transform's derivative, but for the factor (exponent - 1)."""
     return f"CASE WHEN {x} > 0 THEN ln({x}) END" if method == "box_cox" else f"signum({x}) * log1p(abs({x}))"
@@ -64,32 +76,42 @@ class PowerTransform(Estimator):
         self.cols, self.method, self.standardize = list(cols), method, standardize
 
     def likelihoods(self, df: DataFrame, grid: Mapping[str, Sequence[float]]) -> dict[str, list[float | None]]:
-        """Log likelihood of each column's exponents, in one aggregate; None where it is undefined."""
-        aggs = []
-        for i, (c, exponents) in enumerate(grid.items()):
-            x = double_sql(c)
-            aggs += [F.expr(f"count({power_sql(x, 1.0, self.method)})").alias(f"n{i}"), F.expr(f"sum({_slope_sql(x, self.method)})").alias(f"s{i}")]
-            aggs += [F.expr(f"var_pop({power_sql(x, e, self.method)})").alias(f"v{i}_{j}") for j, e in enumerate(exponents)]
-        row = df.agg(*[a for a in aggs]).select(*[
-            F.expr(f"CASE WHEN v{i}_{j} > 0 AND v{i}_{j} < double('infinity') THEN -n{i} / 2 * ln(v{i}_{j}) + ({number_sql(e)} - 1) * s{i} END").alias(f"l{i}_{j}")
-            for i, exponents in enumerate(grid.values()) for j, e in enumerate(exponents)
-        ]).first()
-        return {c: [row[f"l{i}_{j}"] for j in range(len(exponents))] for i, (c, exponents) in enumerate(grid.items())}
+        """Log likelihood of each column's exponents, in one aggregate; None where it is undefined.
+
+        Each number meets its column's exponents as rows: an aggregate of so many columns would be too large to compile.
+        """
+        numbers = F.array(*[F.struct(F.lit(i).alias("i"), F.expr(double_sql(c)).alias("x")) for i, c in enumerate(grid)])
+        rows = df.select(F.inline(numbers)).where("x is not null").withColumn("s", F.expr(_slope_sql("x", self.method)))
+        points = df.sparkSession.createDataFrame([(i, j, float(e)) for i, es in enumerate(grid.values()) for j, e in enumerate(es)], "i int, j int, e double")
+        made = rows.join(F.broadcast(points), "i").withColumn("v", F.expr(_powers_sql(self.method)))
+        found = made.groupBy("i", "j", "e").agg(F.count("v").alias("n"), F.sum("s").alias("s"), F.var_pop("v").alias("v"))
+        likelihood = F.expr("CASE WHEN v > 0 AND v < double('infinity') THEN -n / 2 * ln(v) + (e - 1) * s END")
+        got = {(r["i"], r["j"]): r["l"] for r in found.select("i", "j", likelihood.alias("l")).collect()}  # one row an exponent
+        return {c: [got.get((i, j)) for j in range(len(exponents))] for i, (c, exponents) in enumerate(grid.items())}
 
     def exponents(self, df: DataFrame) -> dict[str, float]:
         out = {}
-        for some in chunks(self.cols, max(1, PER_JOB // CANDIDATES)):
-            ranges = {c: EXPONENTS for c in some}
-            for _ in range(STEPS):
-                grid = {c: [lo + (hi - lo) * k / (CANDIDATES - 1) for k in range(CANDIDATES)] for c, (lo, hi) in ranges.items()}
-                found = self.likelihoods(df, grid)
-                for c, values in found.items():
-                    best = max((k for k, v in enumerate(values) if v is not None), key=values.__getitem__, default=None)
-                    if best is not None:
-                        out[c] = grid[c][best]
-                        ranges[c] = (grid[c][max(0, best - 1)], grid[c][min(CANDIDATES - 1, best + 1)])
+        for some in chunks(list(dict.fromkeys(self.cols)), max(1, PER_JOB // CANDIDATES)):
+            # every step reads these columns again, and a row takes CANDIDATES powers a column: kept, in tasks of bounded size
+            rows = dealt(df.select(*map(col, some)), ROWS_PER_TASK).persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                out |= self._searched(rows, some)
+            finally:
+                rows.unpersist()
         return {c: out.get(c, 1.0) for c in self.cols}
 
+    def _searched(self, rows: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+        out, ranges = {}, {c: EXPONENTS for c in cols}
+        for _ in range(STEPS):
+            grid = {c: [lo + (hi - lo) * k / (CANDIDATES - 1) for k in range(CANDIDATES)] for c, (lo, hi) in ranges.items()}
+            found = self.likelihoods(rows, grid)
+            for c, values in found.items():
+                best = max((k for k, v in enumerate(values) if v is not None), key=values.__getitem__, default=None)
+                if best is not None:
+                    out[c] = grid[c][best]
+                    ranges[c] = (grid[c][max(0, best - 1)], grid[c][min(CANDIDATES - 1, best + 1)])
+        return out
+
     def _fit(self, df: DataFrame) -> SQLTransformer:
         if not self.cols:
             return replacing({})

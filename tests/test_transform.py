@@ -120,3 +120,12 @@ def test_rows_by_dotted_names(spark):
     df = spark.createDataFrame([(1, 9.0), (2, 8.0), (3, 7.0)], "`a.b` int, `c.d` double")
     assert quality.top_rows(df, "c.d", 1, ["a.b"]).first()[0] == 1 and quality.first_rows(df, ["c.d"], 1).first()[0] == 3
     assert quality.table_preview(df, ["a.b"], 1).count() == 2
+
+
+def test_exponents_of_one_split_are_searched_in_many_tasks(spark, monkeypatch):
+    df = spark.range(1000).select((F.col("id") * F.col("id") + 1.0).alias("x")).coalesce(1)
+    whole = transform.PowerTransform(["x"]).exponents(df)
+    tasks, plain = [], transform.PowerTransform.likelihoods
+    monkeypatch.setattr(transform, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(transform.PowerTransform, "likelihoods", lambda self, rows, grid: tasks.append(rows.rdd.getNumPartitions()) or plain(self, rows, grid))
+    assert transform.PowerTransform(["x"]).exponents(df)["x"] == pytest.approx(whole["x"]) and set(tasks) == {10}
