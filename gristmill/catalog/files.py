@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..core import new_path
@@ -199,15 +199,15 @@ def text_checksums(spark, sf_dir):
 def archives(spark, sf_dir):
     """One ZIP per document: its text below the folder of its language."""
 
-    @F.pandas_udf("binary")
-    def pack(name: pd.Series, text: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def pack(name: pa.Array, text: pa.Array) -> pa.Array:
         def one(n, t):
             out = io.BytesIO()
             with zipfile.ZipFile(out, "w") as z:
                 z.writestr(n, t)
             return out.getvalue()
 
-        return pd.Series([one(n, t) for n, t in zip(name, text)])
+        return pa.array((one(n.as_py(), t.as_py()) for n, t in zip(name, text)), pa.binary())
 
     name = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return table(spark, sf_dir, "documents").select(

@@ -27,6 +27,8 @@ IMAGE_EXTENSIONS = [*EXTENSIONS["image"], ".tif"]
 CLASS_VIDEO_EXTENSIONS = [".mp4", ".avi", ".mov", ".mkv"]
 #: Bytes of unpacked members that a task hands on together.
 MEMBER_BYTES = 16_000_000
+#: Members listed by a task before they go on.
+MEMBER_ROWS = 1_000
 DESCRIPTIONS = {
     "tabular": "Tabular data (CSV/Parquet/Excel/JSONL)",
     "text": "Unstructured text files",
@@ -138,10 +140,14 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _list_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = []
     for path, z, error in _archives(batches):
-        rows = [(path, m.filename, f"zip://{path}#{m.filename}", m.file_size, None) for m in z.infolist() if not m.is_dir()] if z else [(path, None, None, None, error)]
-        if rows:
+        rows += [(path, m.filename, f"zip://{path}#{m.filename}", m.file_size, None) for m in z.infolist() if not m.is_dir()] if z else [(path, None, None, None, error)]
+        if len(rows) >= MEMBER_ROWS:
             yield _rows(_LISTED, rows)
+            rows = []
+    if rows:
+        yield _rows(_LISTED, rows)
 
 
 def _read_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

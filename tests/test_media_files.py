@@ -226,3 +226,20 @@ def test_stream_equals_batch(spark, tmp_path):
     for r in numeric_profile(df, ["id", "v"]).collect():
         for c in ("count", "missing", "mean", "std", "min", "max"):
             assert got[r["column"]][c] == pytest.approx(r[c])
+
+
+def test_members_of_many_archives_go_on_together():
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    def packed(name):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(name, "x")
+        return out.getvalue()
+
+    batch = pa.RecordBatch.from_pydict({"path": ["a", "b", "c"], "content": [packed("1"), b"none", packed("2")]})
+    listed = list(files._list_members(iter([batch])))
+    assert len(listed) == 1 and listed[0].column("member").to_pylist() == ["1", None, "2"]
