@@ -84,13 +84,15 @@ def _label_stages(df: DataFrame, target: str, task: str) -> tuple[list, list, li
 
 
 def _training_tasks(ready: DataFrame, rows: int) -> DataFrame:
-    """The prepared rows in tasks of ROWS_PER_TASK.
+    """The prepared rows in tasks of ROWS_PER_TASK at most.
 
-    A level of a tree is a job, so few rows are kept in few tasks; many rows are dealt evenly,
-    since a file's row group is one split however large. Their order decides what is drawn for
-    a tree, so it follows from the rows themselves.
+    A level of a tree is a job, so few rows are kept in one task; many rows are dealt evenly, in as many
+    tasks as all cores work through together, since a file's row group is one split however large. Their
+    order decides what is drawn for a tree, so it follows from the rows themselves.
     """
-    tasks = max(1, -(-rows // ROWS_PER_TASK))
+    tasks, cores = max(1, -(-rows // ROWS_PER_TASK)), ready.sparkSession.sparkContext.defaultParallelism
+    if tasks > 1:
+        tasks = -(-tasks // cores) * cores
     return ready.coalesce(1) if tasks == 1 else ready.repartition(tasks).sortWithinPartitions(F.xxhash64("features", "label"))
 
 

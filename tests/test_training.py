@@ -83,7 +83,8 @@ def test_training_rows_of_one_split_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(training, "ROWS_PER_TASK", 100)
     one = spark.range(600).select(array_to_vector(F.array(F.col("id").cast("double"))).alias("features"), (F.col("id") % 2 + 0.0).alias("label")).coalesce(1)
     held = [training._training_tasks(one, 600).rdd.glom().map(lambda rows: [int(r["features"][0]) for r in rows]).collect() for _ in range(2)]
-    assert len(held[0]) == 6 and max(map(len, held[0])) <= 110 and held[0] == held[1]
+    cores = spark.sparkContext.defaultParallelism
+    assert len(held[0]) == -(-6 // cores) * cores and max(map(len, held[0])) <= 110 and held[0] == held[1]
     assert sorted(i for task in held[0] for i in task) == list(range(600))
     assert training._training_tasks(one.repartition(3), 80).rdd.getNumPartitions() == 1
     assert core.dealt(one, 100).rdd.getNumPartitions() == 6 and core.dealt(one, 600).rdd.getNumPartitions() == 1
