@@ -8,6 +8,7 @@ import itertools
 import json
 import os
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,9 @@ from gristmill.core import materialize, ship_package
 
 Batches = Iterator[pa.RecordBatch]
 
+#: Bytes of a batch of whole texts on its way to an encoder: executor and worker hold it several times over.
+BATCH_BYTES = 8_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -58,6 +62,18 @@ def map_arrow(df: DataFrame, task: Callable[[Batches], Batches], schema: str) ->
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(named, schema)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES):
+    """Jobs run inside send batches of about that many bytes to Python; the session's own bound is back afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
@@ -102,7 +118,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 #: Texts are encoded in slices of about this many bytes (one text at least), which bounds what a task holds.
-SLICE_BYTES = 10_000_000
+SLICE_BYTES = 4_000_000
 
 #: UTF-8 forms of the white space beyond ASCII: the first byte, and what follows it.
 _WIDE_SPACES = {
@@ -155,11 +171,11 @@ class WordTokenizer:
     different ones reach the tokenizer. Plain ones (Latin letters, perhaps with marks behind them) are
     encoded in lines of many, parted again at the pieces that mark a border.
     Ids are 16-bit. From call to call the ids of at most KEEP plain words are kept, in flat
-    arrays of about 30 bytes a word.
+    arrays of about 30 bytes a word; each call holds a hash table over them beside.
     """
 
     TOGETHER = 200
-    KEEP = 1_200_000
+    KEEP = 300_000
     shared: dict[int, "WordTokenizer"] = {}
 
     def __init__(self, spec: str):

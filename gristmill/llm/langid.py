@@ -238,9 +238,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], pieces: list[
         scores = WordScores(Pieces(shared.value), table.value) if langs else None
         for batch in batches:
             named, value = [], []
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             for start in range(0, len(texts), 200):
-                spelled = [LETTERS(t.lower()) if t else [] for t in texts[start : start + 200]]
+                spelled = [LETTERS(t.lower()) if t else [] for t in texts.slice(start, 200).to_pylist()]
                 if scores is not None:
                     scores.learn({w for words in spelled for w in words})
                 for words in spelled:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.core import broadcast_if_small, materialize
-from gristmill.llm.common import Batches, WordTokenizer, batch_of, in_slices, map_arrow, task_number
+from gristmill.llm.common import Batches, WordTokenizer, batch_of, in_slices, map_arrow, small_batches, task_number
 
 CAPACITY = 2048
 END = 0
@@ -59,7 +59,8 @@ def token_pieces(docs: DataFrame, spec: str, capacity: int = CAPACITY, with_ids:
                 yield batch_of(schema, *zip(*rows))
 
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialize(map_arrow(asked, encode, PIECES + (", ids binary" if with_ids else "")), "pieces")
+    with small_batches(docs.sparkSession):
+        return materialize(map_arrow(asked, encode, PIECES + (", ids binary" if with_ids else "")), "pieces")
 
 
 def fullest(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

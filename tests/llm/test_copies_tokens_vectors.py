@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.llm import contamination, extract, multiindex, neardup, packing, urls, wavelet
-from gristmill.llm.common import WordTokenizer, in_slices, read_text
+from gristmill.llm.common import BATCH_BYTES, SLICE_BYTES, WordTokenizer, in_slices, map_arrow, read_text, small_batches
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, component_id string, bands int"
@@ -63,6 +63,35 @@ def plain_components(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
+def test_encoders_hold_little(spark, monkeypatch):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    texts = spark.range(6000).select(F.repeat(F.lit("x"), 3500).alias("text")).coalesce(1)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key)
+    with small_batches(spark):
+        found = [r["n"] for r in map_arrow(texts, sizes, "n long").collect()]
+    assert sum(found) > 20_000_000 and max(found) < BATCH_BYTES + 100_000 and spark.conf.get(key) == own
+
+    used, write = [], packing.materialize
+    monkeypatch.setattr(packing, "materialize", lambda df, name: used.append((name, spark.conf.get(key))) or write(df, name))
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+    assert packing.pack_documents(docs, read_text(P.path("byte_bpe_50k.json"))).count() == 2
+    assert ("pieces", str(BATCH_BYTES)) in used and spark.conf.get(key) == own
+
+    tokenizer = WordTokenizer(read_text(P.path("byte_bpe_50k.json")))
+    letters = np.array(list("abcdefghijklmnop"))
+    words = ["".join(letters[[n >> s & 15 for s in range(0, 20, 4)]]) for n in range(450_000)]
+    held = pa.record_batch([pa.array([" ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)] * 5)], ["text"])
+    slices, kept = list(in_slices(held)), []
+    for some in slices:
+        tokenizer.encode(some.column("text"))
+        kept.append(len(tokenizer.known))
+    assert len(slices) > 2 and SLICE_BYTES <= 4_000_000 and max(kept) <= 300_000
+
+
 def test_near_duplicates(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choices("abcdefgh", k=4))
