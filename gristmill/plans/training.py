@@ -22,6 +22,7 @@ from ..operators.profile import is_classification_target
 from ..operators.quality import drop_missing
 from ..operators.split import parts, random_split
 from ..operators.textprep import fit_term_vectors
+from ..operators.trees import find_cells, fit_trees
 
 # Hyperparameters of the candidates.
 TREES, DEPTH, ROUNDS, RATE, SUBSAMPLE, COLUMNS, SEED, ITERATIONS = 300, 30, 400, 0.07, 0.9, 0.9, 42, 400
@@ -30,6 +31,8 @@ TREES, DEPTH, ROUNDS, RATE, SUBSAMPLE, COLUMNS, SEED, ITERATIONS = 300, 30, 400,
 TREE_MEMORY_MB = 512
 #: Training rows of a task, where there are not more tasks than that already.
 ROWS_PER_TASK = 50_000
+#: Test rows of a task: each goes down all trees of a forest.
+SCORED_PER_TASK = 10_000
 #: One-against-rest boosters that are fitted side by side.
 CLASSES_AT_ONCE = 8
 
@@ -113,16 +116,17 @@ def run_leaderboard(
     front = PipelineModel([prepared, *before])
     ready = front.transform(train).select("features", (F.col("label") + 0.0).alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
     # prepared once for all models; a task that needs it again after a lost executor computes it anew
-    seen = PipelineModel([prepared, *before]).transform(dealt(test, ROWS_PER_TASK)).persist(StorageLevel.MEMORY_AND_DISK)
+    seen = PipelineModel([prepared, *before]).transform(dealt(test, SCORED_PER_TASK)).persist(StorageLevel.MEMORY_AND_DISK)
     ready_in = ready
     try:
         rows = ready.count()
         ready_in = _training_tasks(ready, rows).persist(StorageLevel.MEMORY_AND_DISK)
         ready_in.count()
         ready.unpersist()
+        cells = find_cells(ready_in, rows, classification=task == "classification")
         scores, models = [], {}
         for name, estimator in candidates(task, rows, len(labels), **options).items():
-            fitted = estimator.fit(ready_in)
+            fitted = fit_trees(estimator, ready_in, cells)
             models[name] = PipelineModel([prepared, *before, fitted, *after])
             scored = PipelineModel([fitted, *after]).transform(seen)
             if task == "classification":

@@ -88,3 +88,48 @@ def test_training_rows_of_one_split_are_dealt(spark, monkeypatch):
     assert sorted(i for task in held[0] for i in task) == list(range(600))
     assert training._training_tasks(one.repartition(3), 80).rdd.getNumPartitions() == 1
     assert core.dealt(one, 100).rdd.getNumPartitions() == 6 and core.dealt(one, 600).rdd.getNumPartitions() == 1
+
+
+def _ready(spark, label):
+    """Vectors of a number and a category in few cells."""
+    from gristmill.operators.prep import build_preprocessor, make_config
+
+    df = spark.range(900).select(
+        (F.hash("id") % 40).cast("double").alias("x"), F.concat(F.lit("g"), F.pmod(F.hash("id", F.lit(1)), F.lit(3))).alias("g"),
+        F.pmod(F.hash("id", F.lit(2)), F.lit(17)).cast("double").alias("z"),
+    ).withColumn("label", label)
+    pipeline, _, _ = build_preprocessor(df.select("x", "g"), make_config(numeric_cols=("x",), categorical_cols=("g",)))
+    return pipeline.fit(df).transform(df).select("features", "label").coalesce(1).cache()
+
+
+@pytest.mark.parametrize("classes", [True, False])
+def test_trees_of_cells_are_those_of_mllib(spark, classes):
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    from gristmill.operators import trees
+
+    told = F.col("x") + 2 * F.col("z") + F.when(F.col("g") == "g1", F.col("x")).otherwise(5)
+    ready = _ready(spark, (told > 20).cast("double") if classes else told)
+    kinds = (GBTClassifier, RandomForestClassifier) if classes else (GBTRegressor, RandomForestRegressor)
+    cells = trees.find_cells(ready, 900, classification=classes, max_bins=100)
+    assert cells.counts.sum() == 900 and len(cells.bins) < 900
+    for e in (kinds[0](maxIter=6, maxBins=100, seed=1), kinds[1](numTrees=1, bootstrap=False, maxDepth=4, maxBins=100, seed=1)):
+        mllib, own = e.fit(ready), trees.fit_trees(e, ready, cells)
+        assert type(own) is type(mllib) and own.treeWeights == mllib.treeWeights and own.getMaxDepth() == mllib.getMaxDepth()
+        for a, b in zip(mllib.transform(ready).collect(), own.transform(ready).collect(), strict=True):
+            assert a["prediction"] == pytest.approx(b["prediction"])
+            if classes:
+                assert a["probability"].toArray() == pytest.approx(b["probability"].toArray())
+
+
+@pytest.mark.parametrize("target", ["big", "num"])
+def test_rounds_of_boosting_are_no_scans(spark, rows, target):
+    train, test = split.parts(split.random_split(rows.drop({"big": "num", "num": "big"}[target]), ["id"], 0.25))
+    task, context, jobs = {"big": "classification", "num": "regression"}[target], spark.sparkContext, {}
+    for rounds in (2, 12):
+        context.setJobGroup(f"{target}-{rounds}", "board")
+        training.run_leaderboard(train.drop("id"), test, target, task=task, trees=2, depth=2, rounds=rounds, iterations=2)
+        jobs[rounds] = len(context.statusTracker().getJobIdsForGroup(f"{target}-{rounds}"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[12] <= jobs[2] + 2
