@@ -123,6 +123,24 @@ def test_trees_of_cells_are_those_of_mllib(spark, classes):
                 assert a["probability"].toArray() == pytest.approx(b["probability"].toArray())
 
 
+def test_forest_draws_rows_one_by_one(spark):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from gristmill.operators import trees
+
+    ready = _ready(spark, F.col("x") + F.col("z"))
+    cells = trees.find_cells(ready, 900, classification=False)
+    totals = {}
+    for replace in (True, False):
+        drawn = trees._drawn_sums(ready, cells, 60, 1.0 if replace else 0.9, replace, 7).collect()
+        totals[replace] = [trees.np.frombuffer(bytes(r["sums"])).reshape(-1, 3)[:, 0].sum() for r in drawn]
+    assert trees.np.std(totals[True]) == pytest.approx(30, rel=0.5)  # of 900 Poisson draws; drawing whole cells spreads further
+    assert trees.np.mean(totals[False]) == pytest.approx(810, rel=0.02) and trees.np.std(totals[False]) == pytest.approx(9, rel=0.5)
+    forest = RandomForestRegressor(numTrees=30, maxDepth=6, featureSubsetStrategy="all", seed=3)
+    own, mllib = (m.transform(ready).selectExpr("avg(power(prediction - label, 2))").first()[0] for m in (trees.fit_trees(forest, ready, cells), forest.fit(ready)))
+    assert own == pytest.approx(mllib, rel=0.1)
+
+
 @pytest.mark.parametrize("target", ["big", "num"])
 def test_rounds_of_boosting_are_no_scans(spark, rows, target):
     train, test = split.parts(split.random_split(rows.drop({"big": "num", "num": "big"}[target]), ["id"], 0.25))
