@@ -99,7 +99,7 @@ def saved_model_report(spark, sf_dir):
 
 @query("permutation_importance")
 def permutation_importance(spark, sf_dir):
-    board, _, test = _board(spark, sf_dir, boosted=False)
+    board, _, test = _board(spark, sf_dir)
     return X.permutation_importance(board.models[board.best], test, "industrial", ["c_acctbal", "n_name", "r_name"], ["c_custkey"])
 
 

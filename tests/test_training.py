@@ -151,3 +151,19 @@ def test_rounds_of_boosting_are_no_scans(spark, rows, target):
         jobs[rounds] = len(context.statusTracker().getJobIdsForGroup(f"{target}-{rounds}"))
     context.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[12] <= jobs[2] + 2
+
+
+def test_importance_is_that_of_the_whole_board(spark, monkeypatch):
+    from gristmill.catalog import models
+
+    class Asked(Exception):
+        pass
+
+    def asked(*a, **options):
+        raise Asked(options)
+
+    monkeypatch.setattr(models.M, "run_leaderboard", asked)
+    monkeypatch.setattr(models, "members", lambda spark, _: spark.range(40).selectExpr("id AS c_custkey", "if(id % 2 = 0, 'yes', 'no') AS industrial"))
+    with pytest.raises(Asked) as got:
+        models.permutation_importance(spark, "")
+    assert got.value.args[0].get("boosted", True)
